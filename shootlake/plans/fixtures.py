@@ -159,3 +159,112 @@ def sql(body: str, *names: str, also: dict[str, str] | None = None) -> str:
     ctes = [f"{n} AS MATERIALIZED ({SQL[n][1]})" for n in order]
     ctes += [f"{n} AS MATERIALIZED ({text})" for n, text in (also or {}).items()]
     return ("WITH " + ",\n".join(ctes) + "\n" if ctes else "") + body
+
+
+# Override rules by key: when the key is present, and its value; both dialects read this text.
+OVERRIDES = {
+    "exposure": ("o_orderkey % 3 = 0", "o_orderkey % 9 / 2 - 2"),
+    "white_balance_temperature": ("o_orderkey % 3 = 0", "CASE WHEN o_orderkey % 6 = 0 THEN NULL WHEN o_orderkey % 21 = 0 THEN 900 ELSE 3000 + o_orderkey % 5000 END"),
+    "lut_path": ("o_orderkey % 12 = 0", "CASE WHEN o_orderkey % 24 = 0 THEN '/luts/abs.cube' ELSE 'luts/film.cube' END"),
+    "lut_strength": ("o_orderkey % 12 = 0", "o_orderkey % 11 / 10"),
+    "tone_shadows": ("o_orderkey % 5 = 1", "CASE WHEN o_orderkey % 35 = 1 THEN 2.5 ELSE o_orderkey % 25 / 8 - 1.5 END"),
+    "grain_amount": ("o_orderkey % 5 = 1", "o_orderkey % 3 / 4"),
+    "lens_correction": ("o_orderkey % 7 = 2", "o_orderkey % 2 = 0"),
+    "lens_correction_strength": ("o_orderkey % 7 = 2", "o_orderkey % 30 / 10"),
+    "neural_noise_reduction": ("o_orderkey % 7 = 3", "o_orderkey % 13 / 10"),
+}
+# Project defaults that differ from the standard ones.
+PROJECT_DEFAULTS = {
+    "exposure": "project_id % 5 / 10",
+    "lut_path": "CASE WHEN project_id % 4 = 0 THEN 'luts/base.cube' END",
+    "grain_size": "1 + project_id % 3 / 2",
+}
+_PHOTO = {
+    "project_id": "o_custkey % 20",
+    "stem": "concat('PB', lpad(cast(o_orderkey % 300 as {s}), 4, '0'), CASE WHEN o_orderkey % 50 = 7 THEN '-2' ELSE '' END)",
+    "output": "CASE WHEN o_orderkey % 20 = 3 THEN concat('/exports/', cast(o_orderkey as {s}), '.tif') WHEN o_orderkey % 20 = 13 THEN concat('final/', cast(o_orderkey as {s}), '.jpg') END",
+}
+_PHOTO["input"] = "concat(CASE WHEN o_orderkey % 6 = 5 THEN 'inbox/' ELSE '/card/' END, cast(o_orderkey % 4 as {s}), '/', " + _PHOTO["stem"] + ", '.ORF')"
+_DISABLED = {"2-HIGH": ["tone"], "3-MEDIUM": ["optics", "film"], "4-NOT SPECIFIED": ["white_balance"], "5-LOW": ["noise_reduction"]}
+
+
+def photos(spark: SparkSession, sf: str) -> DataFrame:
+    from shootlake.operators import settings as S
+    from shootlake.sources.tables import RECIPE, SETTINGS
+    o = table(spark, sf, "orders")
+    kept = F.filter(F.array(*[
+        F.when(F.expr(when), F.struct(F.lit(k).alias("key"), S.setting(k, F.expr(v)).alias("value")))
+        for k, (when, v) in OVERRIDES.items()]), lambda e: e.isNotNull())
+    off = F.expr("cast(array() as array<string>)")
+    for priority, stages in _DISABLED.items():
+        off = F.when(F.col("o_orderpriority") == priority, F.array(*[F.lit(s) for s in stages])).otherwise(off)
+    return o.select(
+        F.expr(_PHOTO["project_id"]).alias("project_id"), F.col("o_orderkey").alias("seq"),
+        F.col("o_orderkey").alias("photo_id"), F.expr(_PHOTO["input"].format(s="string")).alias("input"),
+        F.expr(_PHOTO["output"].format(s="string")).alias("output"),
+        F.map_from_entries(kept).cast(SETTINGS).alias("overrides"), off.alias("disabled"),
+        F.lit(None).cast(RECIPE).alias("recipe"), F.lit(None).cast("int").alias("recipe_output"),
+        (F.col("o_orderstatus") == "F").alias("selected"))
+
+
+def projects(spark: SparkSession, sf: str) -> DataFrame:
+    from shootlake.operators import settings as S
+    from shootlake.sources.tables import EXPORT
+    p = table(spark, sf, "orders").select(F.expr(_PHOTO["project_id"]).alias("project_id")).distinct()
+    export = F.struct(
+        F.expr("CASE WHEN project_id % 7 = 3 THEN 'png' WHEN project_id % 2 = 0 THEN 'jpeg' ELSE 'tiff' END").alias("format"),
+        F.expr("CASE WHEN project_id % 9 = 4 THEN 101 ELSE 92 END").alias("quality"),
+        F.expr("CASE WHEN project_id % 6 = 2 THEN 0 WHEN project_id % 2 = 1 THEN 2048 END").alias("max_width"),
+        F.lit(None).alias("max_height"), F.lit(True).alias("keep_metadata"),
+        F.expr("project_id % 2 = 0").alias("timestamp_names")).cast(EXPORT)
+    return p.select("project_id", F.expr("concat('out/p', project_id)").alias("output_dir"),
+                    S.defaults(**{k: F.expr(v) for k, v in PROJECT_DEFAULTS.items()}).alias("defaults"),
+                    export.alias("export"))
+
+
+def presets(spark: SparkSession, sf: str) -> DataFrame:
+    from shootlake.operators import settings as S
+    p = table(spark, sf, "part")
+    changed = {"exposure": F.expr("p_size / 25 - 1"), "noise_reduction": F.expr("p_partkey % 10 / 10"),
+               "lut_path": F.expr("CASE WHEN p_partkey % 3 = 0 THEN 'luts/preset.cube' END")}
+    by_recipe = F.col("p_partkey") % 5 == 0
+    return p.select(
+        F.expr("CASE WHEN p_partkey % 2 = 0 THEN 'project' ELSE 'local' END").alias("origin"),
+        F.expr("p_partkey % 20").alias("project_id"), F.col("p_partkey").alias("seq"), F.col("p_name").alias("name"),
+        F.expr("cast(floor(p_retailprice) as bigint)").alias("written"), S.defaults(**changed).alias("settings"),
+        F.expr("CASE WHEN p_size % 2 = 0 THEN array('tone') ELSE cast(array() as array<string>) END").alias("disabled"),
+        F.when(by_recipe, S.default_recipe()).alias("recipe"), F.when(by_recipe, F.lit(2)).alias("recipe_output"))
+
+
+def _photo_sql() -> dict[str, tuple[tuple[str, ...], str]]:
+    from shootlake.functions.settings_keys import DEFAULTS, FLAGS, KEYS, TEXTS
+
+    def lit(v):
+        return "NULL" if v is None else str(v).lower() if isinstance(v, bool) else f"{float(v)}::DOUBLE"
+
+    def typed(k, text):
+        return text if k in FLAGS | TEXTS else f"CAST({text} AS DOUBLE)"
+
+    off = "CASE o_orderpriority " + " ".join(
+        f"WHEN '{p}' THEN [{', '.join(repr(s) for s in stages)}]" for p, stages in _DISABLED.items()) + " ELSE CAST([] AS VARCHAR[]) END"
+    has = ", ".join(f"{w} AS has_{k}, {typed(k, v)} AS ov_{k}" for k, (w, v) in OVERRIDES.items())
+    base = ", ".join(f"{typed(k, PROJECT_DEFAULTS.get(k, lit(DEFAULTS.get(k, 0.0))))} AS df_{k}" for k in KEYS)
+    e = ", ".join((f"CASE WHEN has_{k} THEN ov_{k} ELSE df_{k} END" if k in OVERRIDES else f"df_{k}") + f" AS {k}" for k in KEYS)
+    pid, inp, out, stem = (_PHOTO[k].format(s="varchar") for k in ("project_id", "input", "output", "stem"))
+    return {
+        "photos": ((), f"SELECT {pid} AS project_id, o_orderkey AS seq, o_orderkey AS photo_id, {inp} AS input, {stem} AS stem, {out} AS output, "
+                       f"{off} AS disabled, o_orderstatus = 'F' AS selected, {has} FROM orders"),
+        "projects": ((), f"SELECT project_id, concat('out/p', project_id) AS output_dir, "
+                         "CASE WHEN project_id % 7 = 3 THEN 'png' WHEN project_id % 2 = 0 THEN 'jpeg' ELSE 'tiff' END AS format, "
+                         "CASE WHEN project_id % 9 = 4 THEN 101 ELSE 92 END AS quality, "
+                         "CASE WHEN project_id % 6 = 2 THEN 0 WHEN project_id % 2 = 1 THEN 2048 END AS max_width, "
+                         f"project_id % 2 = 0 AS timestamp_names, {base} FROM (SELECT DISTINCT {pid} AS project_id FROM orders)"),
+        "effective": (("photos", "projects"), f"SELECT photo_id, project_id, disabled, selected, {e} FROM photos JOIN projects USING (project_id)"),
+        "presets": ((), """SELECT CASE WHEN p_partkey % 2 = 0 THEN 'project' ELSE 'local' END AS origin, p_partkey % 20 AS project_id,
+            p_partkey AS seq, p_name AS name, CAST(floor(p_retailprice) AS BIGINT) AS written, p_size / 25 - 1 AS exposure,
+            p_partkey % 10 / 10 AS noise_reduction, CASE WHEN p_partkey % 3 = 0 THEN 'luts/preset.cube' END AS lut_path,
+            p_size % 2 = 0 AS tone_off, p_partkey % 5 = 0 AS by_recipe FROM part"""),
+    }
+
+
+SQL.update(_photo_sql())
