@@ -270,23 +270,38 @@ def camera_matrix(cameras: DataFrame, m: str = "xyz_to_camera") -> DataFrame:
     Rows are scaled to map white to white before inverting. A matrix of the wrong length, with a
     number that is not finite, with a row summing to nothing, or without an inverse is not ok.
     """
-    whole = F.coalesce((F.size(m) == 9) & F.forall(m, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))), F.lit(False))
-    df = cameras.withColumn("_whole", whole)
-    entry = [[F.when(F.col("_whole"), F.get(m, F.lit(i * 3 + j))) for j in range(3)] for i in range(3)]
-    df = df.withColumns({f"_p{i}{j}": K.dot([K.RGB_TO_XYZ[k][j] for k in range(3)], entry[i]) for i in range(3) for j in range(3)})
-    df = df.withColumns({f"_q{i}": F.col(f"_p{i}0") + F.col(f"_p{i}1") + F.col(f"_p{i}2") for i in range(3)})
-    df = df.withColumns({f"_p{i}{j}": F.col(f"_p{i}{j}") / F.when(F.abs(f"_q{i}") >= 1e-7, F.col(f"_q{i}"))
-                         for i in range(3) for j in range(3)})
+    whole = (F.size(m) == 9) & F.forall(m, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
 
-    def p(i: int, j: int) -> Column:
-        return F.col(f"_p{i % 3}{j % 3}")
+    def scaled(e: Column) -> Column:
+        rows = [[K.dot([K.RGB_TO_XYZ[k][j] for k in range(3)], [e[i * 3 + k] for k in range(3)]) for j in range(3)] for i in range(3)]
+        return F.array(*[rows[i][j] / _over(rows[i][0] + rows[i][1] + rows[i][2], 1e-7) for i in range(3) for j in range(3)])
 
-    df = df.withColumns({f"_c{i}{j}": p(j + 1, i + 1) * p(j + 2, i + 2) - p(j + 1, i + 2) * p(j + 2, i + 1)
-                         for i in range(3) for j in range(3)})
-    df = df.withColumn("_det", F.col("_p00") * F.col("_c00") + F.col("_p01") * F.col("_c10") + F.col("_p02") * F.col("_c20"))
-    df = df.withColumns({f"c{i}{j}": F.col(f"_c{i}{j}") / F.when(F.abs("_det") > 1e-9, F.col("_det")) for i in range(3) for j in range(3)})
-    df = df.withColumn("matrix_ok", F.col("c00").isNotNull())
-    return df.drop("_whole", "_det", *[f"_q{i}" for i in range(3)], *[f"_{n}{i}{j}" for n in "pc" for i in range(3) for j in range(3)])
+    inverse = _let(_let(F.when(whole, F.col(m)), scaled), _inverse)
+    df = cameras.withColumn("_inverse", inverse)
+    return df.select(*cameras.columns, *[F.col("_inverse")[i * 3 + j].alias(f"c{i}{j}") for i in range(3) for j in range(3)],
+                     F.coalesce(F.forall("_inverse", lambda v: v.isNotNull()), F.lit(False)).alias("matrix_ok"))
+
+
+def _let(value: Column, body) -> Column:
+    """`body` of a value bound once, however often the body reads it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _over(v: Column, least: float) -> Column:
+    return F.when(F.abs(v) > least, v)
+
+
+def _inverse(e: Column) -> Column:
+    """Inverse of a 3x3 matrix held as nine numbers; nulls when it has none."""
+    def at(i: int, j: int) -> Column:
+        return e[(i % 3) * 3 + j % 3]
+
+    def cofactor(i: int, j: int) -> Column:
+        return at(i + 1, j + 1) * at(i + 2, j + 2) - at(i + 1, j + 2) * at(i + 2, j + 1)
+
+    adjugate = F.array(*[cofactor(j, i) for i in range(3) for j in range(3)])
+    return _let(F.struct(adjugate.alias("a"), _over(sum((at(0, k) * cofactor(0, k) for k in range(3)), F.lit(0.0)), 1e-9).alias("d")),
+                lambda s: F.transform(s["a"], lambda v: v / s["d"]))
 
 
 def camera_to_linear(px: DataFrame) -> DataFrame:
@@ -310,15 +325,10 @@ KELVIN_BELIEVED = (1500.0, 25000.0)
 
 def as_shot_kelvin(cameras: DataFrame, m: str = "xyz_to_camera") -> DataFrame:
     """Add `kelvin`, the temperature the camera balanced for, or null when it cannot be told."""
-    e = [[F.get(m, F.lit(i * 3 + j)) for j in range(3)] for i in range(3)]
-    inv = [[e[(j + 1) % 3][(i + 1) % 3] * e[(j + 2) % 3][(i + 2) % 3]
-            - e[(j + 1) % 3][(i + 2) % 3] * e[(j + 2) % 3][(i + 1) % 3] for j in range(3)] for i in range(3)]
-    df = cameras.withColumns({f"_a{i}{j}": inv[i][j] for i in range(3) for j in range(3)})
-    df = df.withColumn("_det", sum((e[0][k] * F.col(f"_a{k}0") for k in range(3)), F.lit(0.0)))
     gains = [F.col(f"gain_{c}") for c in RGB]
-    usable = (gains[0] > 0) & (gains[1] > 0) & (gains[2] > 0)
-    df = df.withColumns({f"_x{i}": sum((F.col(f"_a{i}{j}") / F.when(usable, gains[j]) for j in range(3)), F.lit(0.0))
-                         / F.when(F.abs("_det") > 1e-12, F.col("_det")) for i in range(3)})
+    usable = (gains[0] > 0) & (gains[1] > 0) & (gains[2] > 0) & (F.size(m) == 9)
+    df = cameras.withColumn("_i", _let(F.when(usable, F.col(m)), _inverse))
+    df = df.withColumns({f"_x{i}": sum((F.col("_i")[i * 3 + j] / gains[j] for j in range(3)), F.lit(0.0)) for i in range(3)})
     df = df.withColumn("_sum", F.col("_x0") + F.col("_x1") + F.col("_x2"))
     df = df.withColumn("_sum", F.when(F.col("_sum") > 0, F.col("_sum")))
     df = df.withColumn("_den", F.lit(MCCAMY_Y) - F.col("_x1") / F.col("_sum"))
@@ -327,4 +337,4 @@ def as_shot_kelvin(cameras: DataFrame, m: str = "xyz_to_camera") -> DataFrame:
     n = F.col("_n")
     df = df.withColumn("_k", ((n * a + b) * n + c) * n + d)
     return df.withColumn("kelvin", F.when(F.col("_k").between(*KELVIN_BELIEVED), F.col("_k"))).drop(
-        "_det", "_sum", "_den", "_n", "_k", *[f"_x{i}" for i in range(3)], *[f"_a{i}{j}" for i in range(3) for j in range(3)])
+        "_i", "_sum", "_den", "_n", "_k", "_x0", "_x1", "_x2")
