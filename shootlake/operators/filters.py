@@ -1,11 +1,22 @@
-"""Neighbourhood filters: denoise and sharpen."""
+"""Neighbourhood filters over tiles: denoise and sharpen.
+
+Frames are cut into tiles with a halo once; every pass along rows or columns is then a window inside
+a tile, with no further shuffle.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shootlake.functions import colour as K
+from shootlake.operators import geometry, tiles
+
+RGB = ("r", "g", "b")
+# The blur kernel, its range sigma, and deviations each detail band must clear.
+KERNEL, SIGMA_BASE, SIGMA_SLOPE, FINE, COARSE = (1.0, 4.0, 6.0, 4.0, 1.0), 0.012, 0.055, 2.25, 0.5
+# Smallest sharpening radius, its longest kernel arm, and the darkest luma sharpened.
+RADIUS_MIN, ARM_MAX, LUMA_MIN = 0.6, 16, 1e-5
 
 
 def scale_ratio(pixels: Column, full_pixels: Column) -> Column:
@@ -15,3 +26,106 @@ def scale_ratio(pixels: Column, full_pixels: Column) -> Column:
 
 def scaled_strength(strength: Column, scale: Column) -> Column:
     return strength * K.clamp(scale * 2 - 1, 0.0, 1.0)
+
+
+def _luma() -> Column:
+    return K.luminance(*[F.col(c) for c in RGB], K.LUMA_ROUNDED)
+
+
+def guided_blur(df: DataFrame, sources: dict[str, str], guide: str, step: int, amount: Column | None = None) -> DataFrame:
+    """Blur each `out: source` at `step`, tap weights falling with the guide's difference: rows, then columns."""
+    offsets = [step * k for k in (-2, -1, 0, 1, 2)]
+    df = df.withColumns({f"_h{o}": F.col(s) for o, s in sources.items()})
+    for axis in ("x", "y"):
+        df = tiles.taps(df, {"_gt": guide, **{f"_t{o}": f"_h{o}" for o in sources}}, axis, offsets)
+        sigma = F.lit(SIGMA_BASE) + F.sqrt(F.greatest(F.col(guide), F.lit(0.0))) * SIGMA_SLOPE
+        weights = [F.lit(k) / (F.pow((F.col("_gt")[i] - F.col(guide)) / F.col("_sg"), F.lit(2.0)) + 1) for i, k in enumerate(KERNEL)]
+        df = df.withColumn("_sg", sigma).withColumn("_ws", F.array(*weights))
+        df = df.withColumn("_wt", sum((F.col("_ws")[i] for i in range(5)), F.lit(0.0)))
+        df = df.withColumns({f"_h{o}": sum((F.col(f"_t{o}")[i] * F.col("_ws")[i] for i in range(5)), F.lit(0.0)) / F.col("_wt")
+                             for o in sources})
+    mixed = {o: F.col(f"_h{o}") if amount is None else F.col(s) + (F.col(f"_h{o}") - F.col(s)) * amount for o, s in sources.items()}
+    return df.withColumns(mixed).drop("_gt", "_sg", "_ws", "_wt", *[f"_{p}{o}" for p in "ht" for o in sources])
+
+
+def median_3x3(df: DataFrame, values: list[str], amount: Column) -> DataFrame:
+    """Mix each value toward the median of its 3x3 neighbourhood, edges repeated."""
+    df = tiles.taps(df, {f"_r{v}": v for v in values}, "x", [-1, 0, 1])
+    df = tiles.taps(df, {f"_c{v}": f"_r{v}" for v in values}, "y", [-1, 0, 1])
+    return df.withColumns({v: F.col(v) + (F.array_sort(F.flatten(F.col(f"_c{v}")))[4] - F.col(v)) * amount for v in values}).drop(
+        *[f"_{p}{v}" for p in "rc" for v in values])
+
+
+def noise_reduction(px: DataFrame, settings: DataFrame, tile: int = tiles.TILE) -> DataFrame:
+    """Edge-aware denoise. `settings` has (image_id, strength, deviations), one row per frame.
+
+    Brightness keeps detail that stands clear of the frame's measured noise. Colour is filtered at
+    half size: each 2x2 block travels as one row holding its pixels, so coming back needs no join.
+    """
+    joined = px.join(settings.select("image_id", F.col("strength").alias("_s"), "deviations"), "image_id").withColumn("_y", _luma())
+    df = tiles.split(joined, geometry.REACH["noise_reduction"], tile)
+    df = guided_blur(df, {"_b1": "_y"}, "_y", 1)
+    df = guided_blur(df, {"_b2": "_b1"}, "_y", 2)
+    noise = F.element_at("deviations", K.noise_bin(F.col("_y")) + 1)
+    df = df.withColumn("_n", noise * K.clamp(F.col("_s"), 0.0, 1.0))
+    df = df.withColumn("_clean", F.col("_b2") + K.garrote(F.col("_b1") - F.col("_b2"), F.col("_n") * COARSE)
+                       + K.garrote(F.col("_y") - F.col("_b1"), F.col("_n") * FINE))
+    half = df.groupBy(*tiles.KEYS, "_s", F.floor(F.col("y") / 2).cast("int").alias("_hy"), F.floor(F.col("x") / 2).cast("int").alias("_hx")).agg(
+        F.collect_list(F.struct("y", "x", "r", "g", "b", "_clean")).alias("_block"),
+        F.avg(F.col("b") - F.col("_y")).alias("_cb"), F.avg(F.col("r") - F.col("_y")).alias("_cr"), F.avg("_clean").alias("_guide"))
+    half = half.withColumnsRenamed({"_hy": "y", "_hx": "x"})
+    s = K.clamp(F.col("_s"), 0.0, 1.0)
+    half = median_3x3(half, ["_cb", "_cr"], F.least(s * 1.5, F.lit(1.0)))
+    for step, amount in ((1, F.least(s * 1.8, F.lit(1.0))), (2, F.least(s * 1.25, F.lit(1.0))), (4, K.clamp((s - 0.2) * 1.25, 0.0, 1.0))):
+        half = guided_blur(half, {"_cb": "_cb", "_cr": "_cr"}, "_guide", step, amount)
+    # a full-size pixel lies a quarter or three quarters of the way between two half-size ones
+    for axis in ("x", "y"):
+        half = tiles.taps(half, {f"_t{c}": c for c in ("_cb", "_cr")}, axis, [-1, 0, 1])
+        for c in ("_cb", "_cr"):
+            def pair(a, b, c=c, axis=axis):
+                if axis == "x":
+                    return F.col(f"_t{c}")[a] * 0.25 + F.col(f"_t{c}")[b] * 0.75
+                return F.zip_with(F.col(f"_t{c}")[a], F.col(f"_t{c}")[b], lambda p, q: p * 0.25 + q * 0.75)
+            half = half.withColumn(c, F.array(pair(0, 1), pair(2, 1)))
+    out = half.select("image_id", "_ty", "_tx", "_s", "_cb", "_cr", F.explode("_block").alias("_p")).select(
+        "image_id", "_ty", "_tx", "_s", "_p.*", "_cb", "_cr")
+    at = lambda c: F.col(c)[F.col("y") % 2][F.col("x") % 2]
+    out = out.withColumns({"_r": F.col("_clean") + at("_cr"), "_b": F.col("_clean") + at("_cb")})
+    out = out.withColumn("_g", (F.col("_clean") - F.col("_r") * K.LUMA_ROUNDED[0] - F.col("_b") * K.LUMA_ROUNDED[2]) / K.LUMA_ROUNDED[1])
+    same = F.col("_s") == 0
+    return tiles.trim(out.withColumns({c: F.when(same, F.col(c)).otherwise(F.col(f"_{c}")) for c in RGB}), tile).select("image_id", "y", "x", *RGB)
+
+
+def gaussian(radius: Column) -> Column:
+    """Normalised kernel from -arm to arm as an array; the arm is three radii, 1 to 16 samples."""
+    arm = F.least(F.greatest(F.ceil(radius * 3), F.lit(1)), F.lit(ARM_MAX)).cast("int")
+    raw = F.transform(F.sequence(-arm, arm), lambda o: F.exp(-(o * o) / (radius * radius * 2)))
+    return F.transform(raw, lambda v: v / F.aggregate(raw, F.lit(0.0), lambda a, b: a + b))
+
+
+def sharpen(px: DataFrame, settings: DataFrame, tile: int = tiles.TILE) -> DataFrame:
+    """Unsharp mask on the root of luma, noise kept out, put back as a gain on all channels.
+
+    `settings` has (image_id, amount, radius, threshold, deviations), one row per frame, the radius
+    already scaled to the render.
+    """
+    base = settings.select("image_id", "amount", F.greatest("radius", F.lit(RADIUS_MIN)).alias("_rad"), "threshold", "deviations")
+    base = base.withColumn("_kernel", gaussian(F.col("_rad"))).withColumn("_arm", F.floor(F.size("_kernel") / 2).cast("int"))
+    df = tiles.split(px.join(base, "image_id").withColumn("_y", _luma()).withColumn("_e", F.sqrt(F.greatest("_y", F.lit(0.0)))),
+                     geometry.REACH["sharpen"], tile)
+    df = df.withColumn("_blur", F.col("_e"))
+    for axis in ("x", "y"):
+        w = tiles.along(axis)
+        seen = F.collect_list("_blur").over(w.rowsBetween(-ARM_MAX, ARM_MAX))
+        df = df.withColumns({"_seen": seen, "_before": F.size(F.collect_list("_blur").over(w.rowsBetween(-ARM_MAX, -1)))})
+        # samples beyond the edge repeat the edge: clamp the index into what the window saw
+        last = F.size("_seen")
+        at = F.sequence(-F.col("_arm"), F.col("_arm"))
+        picked = F.transform(at, lambda o: F.element_at("_seen", F.least(F.greatest(F.col("_before") + o + 1, F.lit(1)), last)))
+        df = df.withColumn("_blur", F.aggregate(F.zip_with(picked, F.col("_kernel"), lambda v, k: v * k), F.lit(0.0), lambda a, b: a + b))
+    noise = F.element_at("deviations", K.noise_bin(F.col("_y")) + 1)
+    df = df.withColumn("_d", K.garrote(F.col("_e") - F.col("_blur"), F.col("threshold") * noise / (F.greatest("_e", F.lit(1e-3)) * 2)))
+    df = df.withColumn("_k", F.pow(F.greatest(F.col("_e") + F.col("amount") * F.col("_d"), F.lit(0.0)), F.lit(2.0)) / F.col("_y"))
+    keep = (F.col("amount") <= 0) | (F.col("_y") <= LUMA_MIN)
+    return tiles.trim(df.withColumns({c: F.when(keep, F.col(c)).otherwise(F.col(c) * F.col("_k")) for c in RGB}), tile).select(
+        "image_id", "y", "x", *RGB)

@@ -130,7 +130,7 @@ def region_with_halo(spark, sf):
 _RECT = "0.1 AS l, 0.2 AS t, 0.3 + image_id % 3 / 10 AS w, 0.25 AS h"
 
 
-def _rect_sql(code):
+def rect_sql(code):
     r, b = "1 - l - w", "1 - t - h"
     table = {1: ("l", "t", "w", "h"), 2: (r, "t", "w", "h"), 3: (r, b, "w", "h"), 4: ("l", b, "w", "h"), 5: ("t", "l", "h", "w"),
              6: (b, "l", "h", "w"), 7: (b, r, "h", "w"), 8: ("t", r, "h", "w")}
@@ -140,7 +140,7 @@ def _rect_sql(code):
 _NAMES = ("rect_left", "rect_top", "rect_width", "rect_height")
 
 
-@query("rect_to_display", fx.sql("SELECT image_id, " + ", ".join(f"round(CAST({e} AS DOUBLE), 6) AS {n}" for e, n in zip(_rect_sql("orientation"), _NAMES))
+@query("rect_to_display", fx.sql("SELECT image_id, " + ", ".join(f"round(CAST({e} AS DOUBLE), 6) AS {n}" for e, n in zip(rect_sql("orientation"), _NAMES))
                                  + f" FROM (SELECT *, {_RECT} FROM frames)", "frames"))
 def rect_to_display(spark, sf):
     r = [F.lit(0.1), F.lit(0.2), F.expr("0.3D + image_id % 3 / 10"), F.lit(0.25)]
@@ -148,7 +148,7 @@ def rect_to_display(spark, sf):
 
 
 @query("rect_to_sensor", fx.sql("SELECT image_id, " + ", ".join(
-    f"round(CAST({e} AS DOUBLE), 6) AS {n}" for e, n in zip(_rect_sql("[1, 2, 3, 4, 5, 8, 7, 6][orientation]"), _NAMES))
+    f"round(CAST({e} AS DOUBLE), 6) AS {n}" for e, n in zip(rect_sql("[1, 2, 3, 4, 5, 8, 7, 6][orientation]"), _NAMES))
     + f", CAST(CASE WHEN orientation IN (2, 4, 5, 7) THEN -1.5 ELSE 1.5 END AS DOUBLE) AS angle FROM (SELECT *, {_RECT} FROM frames)", "frames"))
 def rect_to_sensor(spark, sf):
     r = [F.lit(0.1), F.lit(0.2), F.expr("0.3D + image_id % 3 / 10"), F.lit(0.25)]
