@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from shootlake.functions import bits
 from shootlake.functions import colour as K
+from shootlake.functions.binding import let
 
 RGB = ("r", "g", "b")
 
@@ -276,17 +277,12 @@ def camera_matrix(cameras: DataFrame, m: str = "xyz_to_camera") -> DataFrame:
         rows = [[K.dot([K.RGB_TO_XYZ[k][j] for k in range(3)], [e[i * 3 + k] for k in range(3)]) for j in range(3)] for i in range(3)]
         return F.array(*[rows[i][j] / _over(rows[i][0] + rows[i][1] + rows[i][2], 1e-7) for i in range(3) for j in range(3)])
 
-    inverse = _let(_let(F.when(whole, F.col(m)), scaled), _inverse)
+    inverse = let(let(F.when(whole, F.col(m)), scaled), _inverse)
     df = cameras.withColumn("_inverse", inverse)
     return df.select(*cameras.columns, *[F.col("_inverse")[i * 3 + j].alias(f"c{i}{j}") for i in range(3) for j in range(3)],
                      F.coalesce(F.forall("_inverse", lambda v: v.isNotNull()), F.lit(False)).alias("matrix_ok"))
 
 
-def _let(value: Column, body) -> Column:
-    """`body` of a value bound once, however often the body reads it."""
-    return F.transform(F.array(value), body)[0]
-
-
 def _over(v: Column, least: float) -> Column:
     return F.when(F.abs(v) > least, v)
 
@@ -300,7 +296,7 @@ def _inverse(e: Column) -> Column:
         return at(i + 1, j + 1) * at(i + 2, j + 2) - at(i + 1, j + 2) * at(i + 2, j + 1)
 
     adjugate = F.array(*[cofactor(j, i) for i in range(3) for j in range(3)])
-    return _let(F.struct(adjugate.alias("a"), _over(sum((at(0, k) * cofactor(0, k) for k in range(3)), F.lit(0.0)), 1e-9).alias("d")),
+    return let(F.struct(adjugate.alias("a"), _over(sum((at(0, k) * cofactor(0, k) for k in range(3)), F.lit(0.0)), 1e-9).alias("d")),
                 lambda s: F.transform(s["a"], lambda v: v / s["d"]))
 
 
@@ -327,7 +323,7 @@ def as_shot_kelvin(cameras: DataFrame, m: str = "xyz_to_camera") -> DataFrame:
     """Add `kelvin`, the temperature the camera balanced for, or null when it cannot be told."""
     gains = [F.col(f"gain_{c}") for c in RGB]
     usable = (gains[0] > 0) & (gains[1] > 0) & (gains[2] > 0) & (F.size(m) == 9)
-    df = cameras.withColumn("_i", _let(F.when(usable, F.col(m)), _inverse))
+    df = cameras.withColumn("_i", let(F.when(usable, F.col(m)), _inverse))
     df = df.withColumns({f"_x{i}": sum((F.col("_i")[i * 3 + j] / gains[j] for j in range(3)), F.lit(0.0)) for i in range(3)})
     df = df.withColumn("_sum", F.col("_x0") + F.col("_x1") + F.col("_x2"))
     df = df.withColumn("_sum", F.when(F.col("_sum") > 0, F.col("_sum")))

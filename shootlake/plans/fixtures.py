@@ -268,3 +268,67 @@ def _photo_sql() -> dict[str, tuple[tuple[str, ...], str]]:
 
 
 SQL.update(_photo_sql())
+
+
+KIND_BY_PART = ["white_balance", "exposure", "noise_reduction", "tone", "optics", "film", "blend",
+                "color_subtract", "contrast", "sharpen", "crop", "rotate", "curves"]
+# Parameters by kind, read from one order line; both dialects read this text.
+_NODE_PARAMS = {
+    "white_balance": {"white_balance_temperature": "3000 + 100 * q", "white_balance_tint": "d * 100 - 5"},
+    "exposure": {"exposure": "d * 20 - 1"}, "noise_reduction": {"noise_reduction": "d * 5"}, "tone": {"tone_shadows": "t * 10"},
+    "optics": {"lens_correction": "q % 2", "lens_correction_strength": "d * 10"},
+    "film": {"lut_strength": "d * 10", "grain_amount": "t * 5"}, "color_subtract": {"red": "t * 20", "blue": "d"},
+    "contrast": {"contrast": "0.5 + d * 10"}, "sharpen": {"amount": "d * 10", "radius": "1 + t * 10"},
+    "crop": {"left": "d", "top": "t", "width": "0.5 + t", "height": "0.5"}, "rotate": {"quarter_turns": "q % 4"},
+}
+
+
+def recipes(spark: SparkSession, sf: str) -> DataFrame:
+    """(recipe_id, recipe, recipe_output): the lines of an order as a chain of nodes.
+
+    Only orders of at most 64 lines are gathered into a recipe, counted beforehand, so one giant order
+    never meets in one task; it has no recipe, as a recipe holds at most 64 nodes.
+    """
+    from shootlake.functions.recipe_kinds import MAX_NODES
+    from shootlake.sources.tables import RECIPE
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_tax", "l_returnflag")
+    small = lines.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= MAX_NODES)
+    rows = lines.join(small, "l_orderkey").groupBy("l_orderkey", "n").agg(F.array_sort(F.collect_list(F.struct(
+        "l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_tax", "l_returnflag"))).alias("lines"))
+    params = "CASE kind " + " ".join(
+        f"WHEN '{k}' THEN map(" + ", ".join(f"'{p}', cast({e} as double)" for p, e in ps.items()) + ")" for k, ps in _NODE_PARAMS.items()
+    ) + " ELSE cast(map() as map<string,double>) END"
+    kinds = "array(" + ", ".join(f"'{k}'" for k in KIND_BY_PART) + ")"
+    flat = rows.selectExpr("l_orderkey AS recipe_id", "n", "posexplode(lines) AS (i, l)").selectExpr(
+        "recipe_id", "n", "i + 1 AS id", "l.l_quantity AS q", "l.l_discount AS d", "l.l_tax AS t", "l.l_returnflag = 'R' AS bypassed",
+        f"CASE WHEN l.l_suppkey % 17 = 0 THEN 'node' ELSE {kinds}[cast(l.l_partkey % 13 as int)] END AS kind",
+        "CASE WHEN recipe_id % 7 = 0 AND i = 0 THEN cast(recipe_id div 7 % 6 as int) ELSE -1 END AS broken")
+    nodes = flat.selectExpr("recipe_id", "n", "broken", f"""named_struct(
+        'id', CASE WHEN broken = 0 THEN 0 ELSE id END, 'kind', CASE WHEN broken = 4 THEN 'mystery' ELSE kind END,
+        'params', CASE WHEN broken = 3 THEN map('bogus', 1D) ELSE {params} END,
+        'points', CASE WHEN kind = 'curves' AND broken <> 4 THEN map('red', array(0D, 0D, 0.5D, 0.5D + d, 1D, 1D)) ELSE cast(map() as map<string,array<double>>) END,
+        'lut', CASE WHEN kind = 'film' AND q % 2 = 0 THEN 'luts/film.cube' END, 'opacity', CASE WHEN kind = 'blend' THEN d * 10 ELSE 1D END,
+        'inputs', CASE WHEN broken = 2 THEN cast(array() as array<int>) WHEN broken = 1 THEN array(5000) WHEN kind = 'blend' THEN array(id - 1, 0) ELSE array(id - 1) END,
+        'bypassed', bypassed, 'kind_states', null) AS node""")
+    return nodes.groupBy("recipe_id", "n").agg(
+        F.array_sort(F.collect_list("node"), lambda a, b: a["id"] - b["id"]).cast(RECIPE).alias("recipe"), F.max("broken").alias("broken")).select(
+        "recipe_id", "recipe", F.expr("cast(CASE WHEN broken = 5 THEN 9999 WHEN recipe_id % 5 = 0 AND n > 1 THEN n - 1 ELSE n END as int)").alias("recipe_output"))
+
+
+def _recipe_sql() -> dict[str, tuple[tuple[str, ...], str]]:
+    kinds = "[" + ", ".join(f"'{k}'" for k in KIND_BY_PART) + "]"
+    return {
+        "nodes": ((), f"""
+          SELECT *, CASE WHEN broken IN (1, 2) THEN NULL WHEN broken = 0 THEN 0 ELSE rid - 1 END AS in1, CASE WHEN kind0 = 'blend' AND broken NOT IN (1, 2) THEN 0 END AS in2,
+                 CASE WHEN kind0 = 'blend' THEN d * 10 ELSE 1 END AS opacity FROM (
+            SELECT *, CASE WHEN broken = 4 THEN 'mystery' ELSE kind0 END AS kind, CASE WHEN broken = 0 THEN 0 ELSE rid END AS id,
+                   CASE WHEN recipe_id % 5 = 0 AND n > 1 THEN n - 1 ELSE n END AS output FROM (
+              SELECT l_orderkey AS recipe_id, rid, n, l_quantity AS q, l_discount AS d, l_tax AS t, l_returnflag = 'R' AS bypassed,
+                     CASE WHEN l_suppkey % 17 = 0 THEN 'node' ELSE {kinds}[l_partkey % 13 + 1] END AS kind0,
+                     CASE WHEN l_orderkey % 7 = 0 AND rid = 1 THEN l_orderkey // 7 % 6 ELSE -1 END AS broken FROM (
+                SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_quantity, l_discount, l_tax, l_returnflag) AS rid,
+                       count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem)))"""),
+    }
+
+
+SQL.update(_recipe_sql())

@@ -50,9 +50,10 @@ def waveform_shading(spark, sf):
 
 _LUMA = f"SELECT image_id, y, x, width, height, {LUM_R} AS l FROM pixels JOIN frames USING (image_id)"
 _LAPLACE = """
-  SELECT c.image_id, CAST(least(floor(sqrt(least(greatest(c.l, 0), 1)) * 8), 7) AS BIGINT) AS bin, abs(c.l - (w.l + e.l + n.l + s.l) / 4) AS magnitude
-  FROM luma c JOIN luma w ON w.image_id = c.image_id AND w.y = c.y AND w.x = c.x - 1 JOIN luma e ON e.image_id = c.image_id AND e.y = c.y AND e.x = c.x + 1
-  JOIN luma n ON n.image_id = c.image_id AND n.x = c.x AND n.y = c.y - 1 JOIN luma s ON s.image_id = c.image_id AND s.x = c.x AND s.y = c.y + 1"""
+  SELECT image_id, CAST(least(floor(sqrt(least(greatest(l, 0), 1)) * 8), 7) AS BIGINT) AS bin, abs(l - (w + e + n + s) / 4) AS magnitude FROM (
+    SELECT *, lag(l) OVER wx AS w, lead(l) OVER wx AS e, lag(l) OVER wy AS n, lead(l) OVER wy AS s FROM luma
+    WINDOW wx AS (PARTITION BY image_id, y ORDER BY x), wy AS (PARTITION BY image_id, x ORDER BY y))
+  WHERE w IS NOT NULL AND e IS NOT NULL AND n IS NOT NULL AND s IS NOT NULL"""
 _PROFILE = {
     "luma": _LUMA, "samples": _LAPLACE,
     "quart": "SELECT image_id, bin, magnitude / 0.3186 / 1.118034 AS d FROM (SELECT *, row_number() OVER (PARTITION BY image_id, bin ORDER BY magnitude) - 1 AS k, count(*) OVER (PARTITION BY image_id, bin) AS n FROM samples) WHERE n >= 32 AND k = n // 4",
@@ -254,8 +255,10 @@ _SHARP = {
     "roots": "SELECT *, sqrt(greatest(l, 0)) AS e FROM luma",
     "kern": "SELECT image_id, o, exp(-o * o / (2 * rad * rad)) AS k FROM (SELECT image_id, 0.6 + image_id % 3 / 2 AS rad FROM frames), range(-16, 17) q(o) WHERE abs(o) <= least(greatest(ceil(3 * rad), 1), 16)",
     "kernel": "SELECT image_id, o, k / sum(k) OVER (PARTITION BY image_id) AS k FROM kern",
-    "hb": "SELECT c.image_id, c.y, c.x, c.height, c.width, c.l, c.e, sum(t.e * k) AS v FROM roots c JOIN kernel q ON q.image_id = c.image_id JOIN roots t ON t.image_id = c.image_id AND t.y = c.y AND t.x = least(greatest(c.x + o, 0), c.width - 1) GROUP BY ALL",
-    "vb": "SELECT c.image_id, c.y, c.x, c.l, c.e, sum(t.v * k) AS v FROM hb c JOIN kernel q ON q.image_id = c.image_id JOIN hb t ON t.image_id = c.image_id AND t.x = c.x AND t.y = least(greatest(c.y + o, 0), c.height - 1) GROUP BY ALL",
+    "taps": "SELECT c.image_id, c.y, c.x, c.height, c.width, c.l, c.e, k, least(greatest(c.x + o, 0), c.width - 1) AS tx, o FROM roots c JOIN kernel q ON q.image_id = c.image_id",
+    "hb": "SELECT c.image_id, c.y, c.x, c.height, c.width, c.l, c.e, sum(t.e * k) AS v FROM taps c JOIN roots t ON t.image_id = c.image_id AND t.y = c.y AND t.x = c.tx GROUP BY ALL",
+    "taps2": "SELECT c.*, k, least(greatest(c.y + o, 0), c.height - 1) AS ty FROM hb c JOIN kernel q ON q.image_id = c.image_id",
+    "vb": "SELECT c.image_id, c.y, c.x, c.l, c.e, sum(t.v * k) AS v FROM taps2 c JOIN hb t ON t.image_id = c.image_id AND t.x = c.x AND t.y = c.ty GROUP BY ALL",
     "det": "SELECT vb.*, e - v AS d, 0.5 * p.d / (2 * greatest(e, 0.001)) AS lim FROM vb JOIN profile p ON p.image_id = vb.image_id AND p.bin = least(floor(sqrt(least(greatest(l, 0), 1)) * 8), 7)",
     "gain": "SELECT image_id, y, x, CASE WHEN l <= 1e-5 THEN 1 ELSE power(greatest(e + 1.5 * CASE WHEN lim <= 0 THEN d WHEN abs(d) <= lim THEN 0 ELSE d * (1 - power(lim / d, 2)) END, 0), 2) / l END AS k FROM det",
 }
