@@ -11,13 +11,13 @@ from shootlake.plans.registry import query
 _W = "(PARTITION BY recipe_id ORDER BY rid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
 
 
-def checked(source):
-    """Errors per node of a chain: what each rule says given the nodes above it."""
+def checked(source, linked="true"):
+    """Errors per node of a chain: what each rule says given the nodes above it that are linked to it."""
     return f"""SELECT *, CASE WHEN kind = 'mystery' THEN ['kind'] ELSE [] END AS e_kind,
       coalesce(domain_above = 'film', false) AND kind NOT IN ('film', 'crop', 'rotate', 'node') AS e_domain,
       kind = 'optics' AND NOT bypassed AND moved > 0 AS e_optics, kind = 'blend' AND NOT bypassed AND moved > 0 AS e_geometry FROM (
-      SELECT *, coalesce(sum(CASE WHEN kind IN ('crop', 'rotate') AND NOT bypassed THEN 1 ELSE 0 END) OVER {_W}, 0) AS moved,
-             last_value(CASE WHEN kind NOT IN ('crop', 'rotate', 'node') THEN kind END IGNORE NULLS) OVER {_W} AS domain_above FROM {source})"""
+      SELECT *, coalesce(sum(CASE WHEN kind IN ('crop', 'rotate') AND NOT bypassed AND {linked} THEN 1 ELSE 0 END) OVER {_W}, 0) AS moved,
+             last_value(CASE WHEN kind NOT IN ('crop', 'rotate', 'node') AND {linked} THEN kind END IGNORE NULLS) OVER {_W} AS domain_above FROM {source})"""
 
 
 def _recipes(spark, sf):
@@ -31,14 +31,14 @@ def sound(spark, sf):
 
 # Word lists as the fold reports them: node by node, each node's in this order, then the output.
 _FLAWS = {
-    "flaws": checked("nodes"),
-    "words": """SELECT recipe_id, rid, list_filter([CASE WHEN broken = 0 THEN 'order' END,
+    "flaws": checked("nodes", "broken <> 0"),
+    "words": """SELECT recipe_id, rid, output, list_filter([CASE WHEN broken = 0 THEN 'order' END,
         CASE WHEN broken = 1 OR (rid = 2 AND recipe_id % 7 = 0 AND recipe_id // 7 % 6 = 0) THEN 'upstream' END, CASE WHEN kind = 'mystery' THEN 'kind' END,
         CASE WHEN broken = 2 OR (broken IN (1, 4) AND kind0 = 'blend') THEN 'arity' END, CASE WHEN broken = 3 OR (broken = 4 AND len(params) > 0) THEN 'params' END,
         CASE WHEN e_domain AND broken NOT IN (1, 2) THEN 'domain' END, CASE WHEN e_optics THEN 'optics' END, CASE WHEN e_geometry THEN 'geometry' END], lambda w: w IS NOT NULL) AS w
       FROM (SELECT *, CASE WHEN kind0 IN ('blend', 'curves', 'node') THEN [] ELSE [1] END AS params FROM flaws)""",
-    "sentence": """SELECT w.recipe_id, array_to_string(flatten(list(w ORDER BY w.rid)), ' ') || CASE WHEN recipe_id % 7 = 0 AND recipe_id // 7 % 6 = 5 THEN CASE WHEN len(flatten(list(w))) > 0 THEN ' output' ELSE 'output' END ELSE '' END AS errors
-      FROM words w GROUP BY w.recipe_id""",
+    "sentence": """SELECT recipe_id, array_to_string(flatten(list(w ORDER BY rid)) || CASE WHEN recipe_id % 7 = 0 AND (recipe_id // 7 % 6 = 5
+        OR recipe_id // 7 % 6 = 0 AND max(output) = 1) THEN ['output'] ELSE [] END, ' ') AS errors FROM words GROUP BY recipe_id""",
     "good": "SELECT recipe_id FROM sentence WHERE errors = ''",
 }
 
