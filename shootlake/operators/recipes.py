@@ -105,11 +105,12 @@ def errors(nodes: Column, output: Column) -> Column:
             F.when(shows & ~kind.isin(R.READS_DISPLAY), F.lit("domain")),
             F.when((kind == "optics") & live & (history(first) != ""), F.lit("optics")),
             F.when(blend & live & (history(first) != history(F.get(inputs, F.lit(1)))), F.lit("geometry"))))
-        keeps = (kind == "film") | (kind.isin(R.KEEPS_DOMAIN) & F.coalesce(F.array_contains(s["display"], first), F.lit(False)))
+        fresh = n["id"] > F.element_at(s["seen"], -1)  # a repeated id never stands in for the node it repeats
+        keeps = fresh & ((kind == "film") | (kind.isin(R.KEEPS_DOMAIN) & F.coalesce(F.array_contains(s["display"], first), F.lit(False))))
         return F.struct(
             F.array_append(s["seen"], n["id"]).alias("seen"),
             F.when(keeps, F.array_append(s["display"], n["id"])).otherwise(s["display"]).alias("display"),
-            F.map_concat(F.map_filter(s["moved"], lambda k, _: k != n["id"]), F.create_map(n["id"], after)).alias("moved"),
+            F.when(fresh, F.map_concat(s["moved"], F.create_map(n["id"], after))).otherwise(s["moved"]).alias("moved"),
             F.concat(s["errors"], found).alias("errors"))
 
     lost = lambda s: F.when(~F.coalesce(F.array_contains(s["seen"], output), F.lit(False)), F.array(F.lit("output"))).otherwise(

@@ -212,14 +212,18 @@ def content_spans(spark, sf):
     return _long(M.content_spans(M.border_lines(M.base_like(px, M.border_base(px, fx.frames(spark, sf))))), "start", "length", "lines")
 
 
-@query("negative_frames", fx.sql("""
-  SELECT image_id, """ + ", ".join(f"round(base_{c}, 6) AS base_{c}" for c in RGB) + """, round(CASE WHEN orientation IN (2, 4, 5, 7) THEN -coalesce(tilt, 0) ELSE coalesce(tilt, 0) END + 0, 5) AS angle,
-     """ + ", ".join(f"round({e}, 6) AS {n}" for e, n in zip(
-    rect_sql("orientation"),
-    ("rect_left", "rect_top", "rect_width", "rect_height"))) + """
-  FROM (SELECT *, CASE WHEN ok THEN least(greatest(cl / width - 0.03, 0.05), 1 - l) ELSE 1 END AS w, CASE WHEN ok THEN least(greatest(rl / height - 0.03, 0.05), 1 - t) ELSE 1 END AS h
-    FROM (SELECT *, CASE WHEN ok THEN least(greatest(cs / width + 0.015, 0), 0.95) ELSE 0 END AS l, CASE WHEN ok THEN least(greatest(rs / height + 0.015, 0), 0.95) ELSE 0 END AS t FROM boxes))
-  JOIN base USING (image_id) LEFT JOIN tilts USING (image_id)""", "pixels", "frames", also=_NEGATIVE))
+def negative_frames_sql(select):
+    """`select` over the detected frames, whose rectangle is in display fractions."""
+    rect = ", ".join(f"{e} AS {n}" for e, n in zip(rect_sql("orientation"), ("rect_left", "rect_top", "rect_width", "rect_height")))
+    return f"""{select} FROM (SELECT *, {rect} FROM (
+      SELECT *, CASE WHEN ok THEN least(greatest(cl / width - 0.03, 0.05), 1 - l) ELSE 1 END AS w, CASE WHEN ok THEN least(greatest(rl / height - 0.03, 0.05), 1 - t) ELSE 1 END AS h FROM (
+        SELECT *, CASE WHEN ok THEN least(greatest(cs / width + 0.015, 0), 0.95) ELSE 0 END AS l, CASE WHEN ok THEN least(greatest(rs / height + 0.015, 0), 0.95) ELSE 0 END AS t FROM boxes))
+      JOIN base USING (image_id) LEFT JOIN tilts USING (image_id))"""
+
+
+@query("negative_frames", fx.sql(negative_frames_sql("SELECT image_id, " + ", ".join(f"round(base_{c}, 6) AS base_{c}" for c in RGB)
+    + ", round(CASE WHEN orientation IN (2, 4, 5, 7) THEN -coalesce(tilt, 0) ELSE coalesce(tilt, 0) END + 0, 5) AS angle, "
+    + ", ".join(f"round(rect_{n}, 6) AS rect_{n}" for n in ("left", "top", "width", "height"))), "pixels", "frames", also=_NEGATIVE))
 def negative_frames(spark, sf):
     n = M.negative_frames(fx.pixels(spark, sf), fx.frames(spark, sf))
     return n.select("image_id", *[F.round(c, 6).alias(c) for c in n.columns if c.startswith(("base", "rect"))],
