@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +29,10 @@ def _number(word: Column) -> Column:
     return F.when(~F.isnan(v) & (F.abs(v) < float("inf")), v)
 
 
+def _item(key: int | str) -> Callable[[Column], Column]:
+    return lambda v: v[key]
+
+
 def _triplet(words: Column, start: int) -> Column:
     return F.array(*[_number(F.get(words, F.lit(start + i))) for i in range(3)])
 
@@ -67,7 +73,7 @@ def parse(cubes: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.when(F.exists(F.zip_with("dmin", "dmax", lambda a, b: b <= a), lambda x: x), F.lit("domain"))))
     judged = files.withColumn("problems", problems)
     good = judged.where(F.size("problems") == 0).select("lut_id", "size", "dmin", "dmax", *[
-        F.transform("values", lambda v, i=i: v[i]).alias(f"lut_{c}") for i, c in enumerate("rgb")])
+        F.transform("values", _item(i)).alias(f"lut_{c}") for i, c in enumerate("rgb")])
     return good, judged.where(F.size("problems") > 0).select("lut_id", "problems")
 
 
@@ -83,4 +89,4 @@ def from_lattice(points: DataFrame, domains: DataFrame) -> DataFrame:
     """LUT rows from lattice points and (lut_id, size, dmin, dmax); at most 65 cubed points each."""
     packed = points.groupBy("lut_id").agg(F.array_sort(F.collect_list(F.struct("bi", "gi", "ri", "r", "g", "b"))).alias("p"))
     return packed.join(domains, "lut_id").select("lut_id", "size", "dmin", "dmax", *[
-        F.transform("p", lambda v, c=c: v[c]).alias(f"lut_{c}") for c in "rgb"])
+        F.transform("p", _item(c)).alias(f"lut_{c}") for c in "rgb"])
