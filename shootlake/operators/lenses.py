@@ -63,7 +63,6 @@ def _matches(asked: DataFrame, names: DataFrame) -> DataFrame:
     def slices(c: str, n: int) -> Column:
         return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i: F.substring(F.col(c), i, F.lit(n))))
 
-    met = None
     equal = asked.join(names, F.col("asked") == F.col("name")).select("asked", "name")
     inside = asked.where(F.length("asked") >= PART).withColumn("_g", F.explode(slices("asked", PART))).join(
         names.where(F.length("name") >= PART).withColumn("_g", F.substring("name", 1, PART)), "_g").where(
@@ -76,8 +75,10 @@ def _matches(asked: DataFrame, names: DataFrame) -> DataFrame:
         short = asked.where(F.length("asked") == n).join(
             names.where(F.length("name") >= PART).withColumn("_g", F.explode(slices("name", n))), F.col("asked") == F.col("_g"))
         met = met.unionByName(short.select("asked", "name"))
-    blank = asked.where(F.col("asked") == "").limit(1)
-    return met.unionByName(blank.join(names.where(F.length("name") >= PART), F.lit(True)).select("asked", "name")).distinct()
+    # an empty name lies inside every candidate; at most one distinct name is empty
+    blank = asked.where(F.col("asked") == "").join(
+        names.where(F.length("name") >= PART).withColumn("_g", F.lit("")), F.col("asked") == F.col("_g"))
+    return met.unionByName(blank.select("asked", "name")).distinct()
 
 
 def match_camera(photos: DataFrame, cameras: DataFrame) -> DataFrame:

@@ -39,51 +39,54 @@ def automatic_stem(photos: DataFrame) -> DataFrame:
 def free_stems(photos: DataFrame, width: int = ordered.DEFAULT_WIDTH) -> DataFrame:
     """Add `final_stem`: repeats of a stem get -2, -3 ... in project order, never a name already given.
 
-    Only photos without an explicit output in projects naming by timestamp take part. A stem that can
-    clash with a literal "-n" stem goes through its family one by one, since each choice depends on
-    those before it; a family is one stem with its numbered variants. All other stems are numbered by
-    counting, in chunks of the project, so one stem repeated without end is no single task.
+    Only photos without an explicit output in projects naming by timestamp take part. A photo's rank
+    among those of its stem is counted in chunks of the project, so one stem repeated without end is no
+    single task, and mostly the rank is the number. Choices depend on each other only where a literal
+    "-n" stem meets its parent stem, and there only up to the largest such n: those photos alone are
+    settled one by one, and later ones of the stem follow by a fixed shift.
     """
     plays = F.col("timestamp_names") & F.col("output").isNull()
     idle = photos.where(~plays).withColumn("final_stem", F.col("auto_stem"))
-    active = photos.where(plays).withColumn("_family", F.regexp_replace("auto_stem", r"(-\d+)+$", ""))
-    stems = active.groupBy("project_id", "_family", "auto_stem").agg(F.count(F.lit(1)).alias("_uses"))
-    # a family clashes when it holds a numbered stem whose parent stem is there too
-    parents = stems.withColumn("_parent", F.regexp_replace("auto_stem", r"-\d+$", "")).where(F.col("_parent") != F.col("auto_stem"))
-    clash = parents.select("project_id", "_family", "_parent").join(
-        stems.select("project_id", "_family", F.col("auto_stem").alias("_parent")), ["project_id", "_family", "_parent"], "left_semi"
-    ).select("project_id", "_family").distinct()
     keys = ["project_id", "auto_stem"]
-    plain = ordered.with_chunk(active.join(clash, ["project_id", "_family"], "left_anti"), "seq", width)
-    per_chunk = plain.groupBy(*keys, ordered.CHUNK).agg(F.count(F.lit(1)).alias("_c"))
+    active = ordered.with_chunk(photos.where(plays), "seq", width)
+    per_chunk = active.groupBy(*keys, ordered.CHUNK).agg(F.count(F.lit(1)).alias("_c"))
     earlier = Window.partitionBy(*keys).orderBy(ordered.CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    per_chunk = per_chunk.withColumn("_before", F.coalesce(F.sum("_c").over(earlier), F.lit(0))).drop("_c")
-    place = F.col("_before") + F.row_number().over(Window.partitionBy(*keys, ordered.CHUNK).orderBy("seq"))
-    counted = plain.join(per_chunk, [*keys, ordered.CHUNK]).withColumn("_k", place)
-    counted = counted.withColumn("final_stem", F.when(F.col("_k") == 1, F.col("auto_stem")).otherwise(
-        F.concat("auto_stem", F.lit("-"), F.col("_k").cast("string")))).select(*photos.columns, "final_stem")
-    contested = active.join(clash, ["project_id", "_family"], "left_semi")
-    named = contested.select("project_id", "_family", "seq", "auto_stem").groupBy("project_id", "_family").applyInPandas(
-        _first_free, "project_id long, seq long, final_stem string")
-    settled = contested.join(named, ["project_id", "seq"]).select(*photos.columns, "final_stem")
-    return idle.unionByName(counted).unionByName(settled)
+    before = per_chunk.withColumn("_before", F.coalesce(F.sum("_c").over(earlier), F.lit(0))).drop("_c")
+    place = F.row_number().over(Window.partitionBy(*keys, ordered.CHUNK).orderBy("seq")) + F.col("_before")
+    ranked = active.join(before, [*keys, ordered.CHUNK]).withColumn("_rank", place)
+
+    stems = per_chunk.select(*keys).distinct()
+    children = stems.select("project_id", F.col("auto_stem").alias("_child"), F.regexp_replace("auto_stem", r"-\d+$", "").alias("auto_stem"),
+                            F.regexp_extract("auto_stem", r"-([1-9]\d{0,17})$", 1).try_cast("long").alias("_number"))
+    met = children.where("_child <> auto_stem").join(stems, keys, "left_semi")
+    family = F.regexp_replace("auto_stem", r"(-\d+)+$", "")
+    reach = met.groupBy(*keys).agg(F.coalesce(F.max("_number"), F.lit(1)).alias("_reach"))
+    involved = reach.unionByName(met.select("project_id", F.col("_child").alias("auto_stem"), F.lit(1).cast("long").alias("_reach")))
+    involved = involved.groupBy(*keys).agg(F.greatest(F.max("_reach"), F.lit(1)).alias("_reach"))
+    contested = ranked.join(involved, keys).where(F.col("_rank") <= F.col("_reach"))
+    settled = contested.select("project_id", family.alias("_family"), "seq", "auto_stem", "_rank").groupBy("project_id", "_family").applyInPandas(
+        _first_free, "project_id long, seq long, auto_stem string, _rank long, _settled long")
+    shifts = settled.groupBy(*keys).agg(F.max_by(F.col("_settled") - F.col("_rank"), "_rank").alias("_shift"))
+    numbered = (ranked.join(settled.select("project_id", "seq", "_settled"), ["project_id", "seq"], "left").join(shifts, keys, "left")
+                .withColumn("_number", F.coalesce(F.col("_settled"), F.col("_rank") + F.coalesce("_shift", F.lit(0)))))
+    final = F.when(F.col("_number") == 1, F.col("auto_stem")).otherwise(F.concat("auto_stem", F.lit("-"), F.col("_number").cast("string")))
+    return idle.unionByName(numbered.withColumn("final_stem", final).select(*photos.columns, "final_stem"))
 
 
 def _first_free(rows: pd.DataFrame) -> pd.DataFrame:
+    """The number each photo's stem ends up with; 1 is the bare stem."""
     rows = rows.sort_values("seq")
     taken: set[str] = set()
     upto: dict[str, int] = {}
-    names = []
+    numbers = []
     for stem in rows["auto_stem"]:
-        n = upto.get(stem, 1)
-        name = stem if n == 1 else f"{stem}-{n}"
-        while name in taken:
+        n = upto.get(stem, 0) + 1
+        while (stem if n == 1 else f"{stem}-{n}") in taken:
             n += 1
-            name = f"{stem}-{n}"
-        taken.add(name)
+        taken.add(stem if n == 1 else f"{stem}-{n}")
         upto[stem] = n
-        names.append(name)
-    return pd.DataFrame({"project_id": rows["project_id"], "seq": rows["seq"], "final_stem": names})
+        numbers.append(n)
+    return rows.drop(columns="_family").assign(_settled=numbers)[["project_id", "seq", "auto_stem", "_rank", "_settled"]]
 
 
 def next_still_name(photos: DataFrame, presets: DataFrame) -> DataFrame:
