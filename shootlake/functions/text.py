@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 EPOCH_1900 = 2208988800
 
 
+def trimmed(value: Column) -> Column:
+    return F.btrim(value, F.lit(" \t\r"))
+
+
 def usable(value: Column) -> Column:
-    """The value, or null when it is empty, a dash, "none", or mentions "unknown"."""
-    trimmed = F.btrim(value, F.lit(" \t\r"))
-    low = F.lower(trimmed)
-    return F.when((trimmed != "") & (trimmed != "-") & (low != "none") & ~low.contains("unknown"), trimmed)
+    """A trimmed value, or null when it is empty, a dash, "none", or mentions "unknown"."""
+    return F.when((F.length(value) > 0) & (value != "-") & ~value.rlike("(?i)^none$|unknown"), value)
 
 
 def star_rating(*values: Column) -> Column:

@@ -14,7 +14,8 @@ TAGS = ["lens", "lens_model", "lens_type", "lens_id", "rating", "xmp_rating",
 
 
 def usable_tags(exif_raw: DataFrame) -> DataFrame:
-    return exif_raw.select("photo_id", *[T.usable(F.col(t)).alias(t) for t in TAGS])
+    clean = exif_raw.select("photo_id", *[T.trimmed(F.col(t)).alias(t) for t in TAGS])
+    return clean.select("photo_id", *[T.usable(F.col(t)).alias(t) for t in TAGS])
 
 
 def records(exif_raw: DataFrame) -> DataFrame:

@@ -37,27 +37,31 @@ def empty() -> Column:
     return F.expr(f"cast(map() as {SETTINGS})")
 
 
-def stage_of() -> Column:
-    return F.create_map(*[F.lit(x) for stage, keys in STAGES.items() for key in keys for x in (key, stage)])
-
-
 def overlay(base: Column, top: Column) -> Column:
     """`top` wins per key, also where its value is null."""
     return F.map_concat(F.map_filter(base, lambda k, _: ~F.map_contains_key(top, k)), top)
 
 
+def effective(defaults_: Column, overrides: Column) -> Column:
+    """A complete setting map with the overrides on top; present-but-null overrides count."""
+    chosen = [F.when(F.map_contains_key(overrides, k), F.element_at(overrides, k)).otherwise(F.element_at(defaults_, k)) for k in KEYS]
+    whole = F.map_from_arrays(F.array(*[F.lit(k) for k in KEYS]), F.array(*chosen))
+    return F.when(F.size(overrides) == 0, defaults_).otherwise(whole)
+
+
 def bypass(settings: Column, disabled: Column) -> Column:
-    """Settings whose switched-off stages hold their identity values."""
-    stages, same = stage_of(), identity()
-    return F.transform_values(settings, lambda k, v: F.when(
-        F.array_contains(disabled, F.element_at(stages, k)), F.element_at(same, k)).otherwise(v))
+    """Complete settings whose switched-off stages hold their identity values."""
+    held = [F.when(F.array_contains(disabled, stage), setting(k, IDENTITY.get(k, 0.0))).otherwise(F.element_at(settings, k))
+            for stage, keys in STAGES.items() for k in keys]
+    whole = F.map_from_arrays(F.array(*[F.lit(k) for k in KEYS]), F.array(*held))
+    return F.when(F.size(disabled) == 0, settings).otherwise(whole)
 
 
 def with_effective(photos: DataFrame, projects: DataFrame) -> DataFrame:
     """Add `effective` and `rendered` settings. One project row meets many photos: Spark broadcasts
     projects when they are small and splits a hot project when they are not."""
     joined = photos.join(projects.select("project_id", "defaults"), "project_id")
-    return (joined.withColumn("effective", overlay(F.col("defaults"), F.col("overrides")))
+    return (joined.withColumn("effective", effective(F.col("defaults"), F.col("overrides")))
             .withColumn("rendered", bypass(F.col("effective"), F.col("disabled"))).drop("defaults"))
 
 

@@ -18,6 +18,10 @@ def build_session(app: str = "shootlake", master: str | None = None, **conf: str
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # pixel stages do much work per byte: let small shuffles keep their parallelism
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
+        # the JVM never compiles a method above 8000 bytes; such stages run faster split up
+        "spark.sql.codegen.hugeMethodLimit": "8000",
     }
     for key, value in {**defaults, **conf}.items():
         builder = builder.config(key, value)
