@@ -19,6 +19,7 @@ from shootlake.functions import recipe_kinds as R
 from shootlake.operators import filters, geometry, grading, measure
 from shootlake.operators import recipes as RE
 from shootlake.operators import settings as S
+from shootlake.session import ensure_checkpoint_dir
 
 # Kinds whose result depends on the frame being upright already.
 UPRIGHT_FIRST = {"noise_reduction", "contrast", "sharpen", "tone", "film", "color_subtract", "crop", "rotate", "curves"}
@@ -58,6 +59,13 @@ def _upright(b: Branch) -> Branch:
     return replace(b, px=geometry.orient(b.px, b.frames), frames=sizes, upright=True)
 
 
+def _held(b: Branch) -> Branch:
+    """The branch written to the checkpoint folder: what follows reads these pixels several times, and
+    without a cut each reading would repeat every node before it."""
+    ensure_checkpoint_dir(b.px.sparkSession)
+    return replace(b, px=b.px.checkpoint())
+
+
 def _params(rows: DataFrame, node_id: int) -> DataFrame:
     mine = rows.select("image_id", F.filter("nodes", lambda n: n["id"] == node_id)[0].alias("n"))
     return mine.select("image_id", F.col("n.p").alias("p"), F.col("n.points").alias("points"),
@@ -81,6 +89,8 @@ def _node(kind: str, ins: list[Branch], params: DataFrame, luts: DataFrame | Non
         mixed = grading.blend(a.px.join(params.select("image_id", "p"), "image_id"), b.px, _p(0))
         return replace(a, px=mixed.select("image_id", "y", "x", *grading.RGB))
     b = _upright(ins[0]) if kind in UPRIGHT_FIRST else ins[0]
+    if kind in ("noise_reduction", "sharpen", "crop"):
+        b = _held(b)
     scale = filters.scale_ratio(F.col("scaled_pixels"), F.col("full_pixels"))
     if kind == "exposure":
         return _point(b, params, lambda d: grading.exposure(d, _p(0)))
@@ -158,7 +168,8 @@ def render_by_shape(px: DataFrame, frames: DataFrame, recipes: DataFrame, luts:
 
     Only the distinct shapes, a short text each, come to the driver; there are as many as presets.
     """
-    rows = prepared(recipes)
+    ensure_checkpoint_dir(px.sparkSession)
+    rows = prepared(recipes).checkpoint()  # one short row per photo, read again by every node
     for shape in rows.select("shape").distinct().toLocalIterator():
         yield shape[0], apply_shape(px, frames, rows.where(F.col("shape") == shape[0]), shape[0], luts, lens_map, tile)
 

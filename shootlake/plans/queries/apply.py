@@ -124,15 +124,3 @@ def negative_recipes(spark, sf):
     r = A.negative_recipe(blank, M.negative_frames(px, f), 1, 2)
     p = lambda n, k: F.round(F.element_at(F.col("recipe")[n]["params"], k), 6)
     return r.select("image_id", p(0, "left").alias("crop_left"), p(0, "width").alias("crop_width"), p(1, "red").alias("red"), p(1, "blue").alias("blue"))
-
-
-@query("full_recipe_render")
-def full_recipe_render(spark, sf):
-    """Eleven kinds in one recipe, filters and geometry included. No SQL: see the noise reduction query."""
-    f = frames(spark, sf)
-    nodes = _chain(("white_balance", [0], _map(white_balance_temperature="4500", white_balance_tint="2"), 1.0), ("exposure", [1], _map(exposure="0.3"), 1.0),
-                   ("optics", [2], _map(lens_correction="1", lens_correction_strength="0.5"), 1.0), ("noise_reduction", [3], _map(noise_reduction="0.4"), 1.0),
-                   ("tone", [4], _map(tone_shadows="0.5"), 1.0), ("contrast", [5], _map(contrast="1.2"), 1.0), ("crop", [6], _map(left="0.1", top="0.1", width="0.8", height="0.8", angle="3"), 1.0),
-                   ("rotate", [7], _map(quarter_turns="1"), 1.0), ("sharpen", [8], _map(amount="0.8"), 1.0), ("curves", [9], None, 1.0), ("film", [10], _map(lut_strength="0.5", grain_amount="0.3"), 1.0))
-    recipes = f.select("image_id", nodes.alias("recipe"), F.lit(11).alias("recipe_output"))
-    return out(_union(A.render_by_shape(fx.pixels(spark, sf), f, recipes, lut_rows(spark, sf), QG.lens_map(spark, sf))), 4)

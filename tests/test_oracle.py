@@ -25,4 +25,4 @@ def test_every_query_is_registered_once():
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert len(entry.queries()) > 120
     assert set(entry.queries()) - set(entry.oracle_sql()) == {
-        "noise_reduction", "full_recipe_render", "collision_free_names", "recipe_rewire"}
+        "noise_reduction", "collision_free_names", "recipe_rewire"}
