@@ -9,12 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from shootlake.llm import chat_format, quality_rules, secret_scans, sentence_pieces, token_counts
+from shootlake.llm import chat_format, framed_ids, quality_rules, secret_scans, sentence_pieces, token_counts
 from shootlake.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
+WORDS = public_tokenizers.path("word_bpe_49k.json")
 TOKEN_LIMIT = 4096
 
 
@@ -89,3 +90,9 @@ def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
         F.sha2(secret_scans.listed(base), 256).alias("base_sha256"), secret_scans.listed(F.col("spans")).alias("spans"))
+
+
+@query
+def op9_binary_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder, manifest = framed_ids.write(table(spark, sf_dir, "documents"), WORDS, end_id=1)
+    return framed_ids.read(folder, framed_ids.with_starts(manifest)).withColumnRenamed("id", "doc_id")

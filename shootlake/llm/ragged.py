@@ -73,32 +73,36 @@ def merge_all(symbols: np.ndarray, offsets: np.ndarray, pairs: PairTable) -> tup
     n = len(offsets) - 1
     sym, seq = symbols.astype(np.int64), np.repeat(np.arange(n), np.diff(offsets))
     done_seq, done_sym = [], []
-    rank = _ranks(sym, seq, pairs, np.arange(len(sym)))
+    row = _rows(sym, seq, pairs, np.arange(len(sym)))
+    ranks = np.append(pairs.rank, NONE)  # row -1: no pair
     while len(sym):
+        rank = ranks[row]
         starts = np.flatnonzero(np.concatenate(([True], seq[1:] != seq[:-1])))
-        lengths = np.diff(np.append(starts, len(seq)))
-        low = np.minimum.reduceat(rank, starts)
-        lows = np.repeat(low, lengths)
+        lows = np.repeat(np.minimum.reduceat(rank, starts), np.diff(np.append(starts, len(seq))))
         over = lows == NONE
         if over.any():
             done_seq.append(seq[over])
             done_sym.append(sym[over])
             live = ~over
-            sym, seq, rank, lows = sym[live], seq[live], rank[live], lows[live]
+            sym, seq, row, rank, lows = sym[live], seq[live], row[live], rank[live], lows[live]
             if not len(sym):
                 break
         here = np.flatnonzero(rank == lows)
+        number = np.arange(len(here))
         run = np.concatenate(([True], here[1:] != here[:-1] + 1))
         first = np.concatenate(([True], seq[here[1:]] != seq[here[:-1]]))
-        place = np.arange(len(here)) - np.maximum.accumulate(np.where(run, np.arange(len(here)), 0))
-        here = here[first | (pairs.together[lows[here]] & (place % 2 == 0))]
-        sym[here] = pairs.result[pairs.find(sym[here], sym[here + 1])]
+        place = number - np.maximum.accumulate(np.where(run, number, 0))
+        chosen = first | (pairs.together[lows[here]] & (place % 2 == 0))
+        here = here[chosen]
+        sym[here] = pairs.result[row[here]]
         keep = np.ones(len(sym), bool)
         keep[here + 1] = False
-        moved = here - np.arange(len(here))
-        sym, seq, rank = sym[keep], seq[keep], rank[keep]
-        touched = np.unique(np.concatenate([moved, np.maximum(moved - 1, 0)]))
-        rank[touched] = _ranks(sym, seq, pairs, touched)
+        touched = np.zeros(len(sym), bool)
+        touched[here] = True
+        sym, seq, row, touched = sym[keep], seq[keep], row[keep], touched[keep]
+        touched[:-1] |= touched[1:]
+        at = np.flatnonzero(touched)
+        row[at] = _rows(sym, seq, pairs, at)
     if not done_seq:
         return np.zeros(0, np.int64), np.zeros(n + 1, np.int64)
     seq, sym = np.concatenate(done_seq), np.concatenate(done_sym)
@@ -106,11 +110,45 @@ def merge_all(symbols: np.ndarray, offsets: np.ndarray, pairs: PairTable) -> tup
     return sym[order], offsets_of(np.bincount(seq, minlength=n))
 
 
-def _ranks(sym: np.ndarray, seq: np.ndarray, pairs: PairTable, at: np.ndarray) -> np.ndarray:
-    out = np.full(len(at), NONE)
+def _rows(sym: np.ndarray, seq: np.ndarray, pairs: PairTable, at: np.ndarray) -> np.ndarray:
+    """Row of the pair that starts at each place, or -1."""
+    out = np.full(len(at), -1, np.int64)
     inner = np.flatnonzero(at + 1 < len(sym))
     inner = inner[seq[at[inner]] == seq[at[inner] + 1]]
-    row = pairs.find(sym[at[inner]], sym[at[inner] + 1])
-    hit = row >= 0
-    out[inner[hit]] = pairs.rank[row[hit]]
+    out[inner] = pairs.find(sym[at[inner]], sym[at[inner] + 1])
     return out
+
+
+class Memo:
+    """Rows of numbers remembered by 64-bit key, in sorted order; starts anew when it is full."""
+
+    def __init__(self, most: int):
+        self.most = most
+        self.forget()
+
+    def forget(self) -> None:
+        self.keys, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.pool, self.used, self.ends = np.zeros(1 << 16, np.int32), 0, np.zeros(1, np.int64)
+
+    def missing(self, keys: np.ndarray) -> np.ndarray:
+        """Places in `keys` (distinct, sorted) that are not remembered."""
+        if len(self.keys) > self.most:
+            self.forget()
+        if not len(self.keys):
+            return np.arange(len(keys))
+        near = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.flatnonzero(self.keys[near] != keys)
+
+    def add(self, keys: np.ndarray, flat: np.ndarray, offsets: np.ndarray) -> None:
+        at = np.searchsorted(self.keys, keys)
+        self.keys = np.insert(self.keys, at, keys)
+        self.place = np.insert(self.place, at, len(self.ends) - 1 + np.arange(len(keys)))
+        if self.used + len(flat) > len(self.pool):
+            self.pool = np.concatenate([self.pool[:self.used], np.zeros(self.used + 2 * len(flat), np.int32)])
+        self.pool[self.used:self.used + len(flat)] = flat
+        self.ends = np.append(self.ends, self.used + offsets[1:])
+        self.used += len(flat)
+
+    def rows(self, keys: np.ndarray) -> np.ndarray:
+        """Row numbers of remembered keys, for gathering from (pool, ends)."""
+        return self.place[np.searchsorted(self.keys, keys)]
