@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from shootlake.llm import chat_format, framed_ids, quality_rules, secret_scans, sentence_pieces, token_counts
+from shootlake.llm import (
+    chat_format, framed_ids, quality_rules, secret_scans, sentence_pieces, token_counts, warc_archive)
 from shootlake.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -96,3 +97,23 @@ def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_binary_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder, manifest = framed_ids.write(table(spark, sf_dir, "documents"), WORDS, end_id=1)
     return framed_ids.read(folder, framed_ids.with_starts(manifest)).withColumnRenamed("id", "doc_id")
+
+
+@query
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    # pages carry no capture time: seconds from a fixed day, by id
+    time = F.timestamp_seconds(F.lit(1_704_067_200) + F.coalesce("page_id", F.lit(0)))
+    folder, captures = warc_archive.write(pages, "page_id", "url", "html", time)
+    return warc_archive.read(folder, warc_archive.merge(captures)).drop("payload").withColumnRenamed("id", "page_id")
+
+
+ORACLE["op10_warc"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, strlen(html) AS n, sha1(html) AS digest FROM p),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY digest) AS original FROM d)
+SELECT page_id, n AS payload_bytes, digest AS payload_digest,
+  CASE WHEN n >= 1000 AND page_id <> original THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 1000 AND page_id <> original THEN original END AS refers_to
+FROM m
+"""
