@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from shootlake.llm import (
-    chat_format, framed_ids, quality_rules, secret_scans, sentence_pieces, token_counts, warc_archive)
+    chat_format, framed_ids, near_duplicates, quality_rules, secret_scans, sentence_pieces, token_counts, warc_archive)
 from shootlake.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -117,3 +117,10 @@ SELECT page_id, n AS payload_bytes, digest AS payload_digest,
   CASE WHEN n >= 1000 AND page_id <> original THEN original END AS refers_to
 FROM m
 """
+
+
+@query
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates.find(table(spark, sf_dir, "documents"), words=2, percent=80)
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"),
+                        (F.col("id") == F.col("component")).alias("kept"))
