@@ -13,6 +13,9 @@ from shootlake.llm.shared import settle, table
 
 STAGES = [
     ("quality_rules", stages.keep_good),
+    ("near_duplicates", stages.keep_one_of_each),
+    ("decontamination", stages.drop_leaks),
+    ("secrets", stages.mask_secrets),
     ("sentencepiece", stages.encode_pieces),
 ]
 

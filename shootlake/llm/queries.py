@@ -10,7 +10,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from shootlake.llm import (
-    chat_format, framed_ids, near_duplicates, quality_rules, secret_scans, sentence_pieces, token_counts, warc_archive)
+    chat_format, decontamination, framed_ids, near_duplicates, quality_model, quality_rules, secret_scans, sentence_pieces,
+    token_counts, warc_archive)
 from shootlake.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -124,3 +125,20 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates.find(table(spark, sf_dir, "documents"), words=2, percent=80)
     return found.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"),
                         (F.col("id") == F.col("component")).alias("kept"))
+
+
+@query
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.scan(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", F.explode("matches").alias("m")).select(
+        "doc_id", F.col("m.item").alias("item_id"), F.col("m.start").alias("start"), F.col("m.end").alias("end"),
+        F.col("m.edits").alias("edits"))
+
+
+@query
+def op6_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fold = lambda i: F.pmod(F.crc32(F.col(i).cast("string").cast("binary")), F.lit(4))
+    labels = table(spark, sf_dir, "labels").where(fold("doc_id") != 2).select(F.col("doc_id").alias("id"), "quality")
+    scored = quality_model.score(table(spark, sf_dir, "documents"), labels)
+    return scored.select(F.col("id").alias("doc_id"), F.coalesce(fold("id") == 2, F.lit(False)).alias("held_out"), "score",
+                         (F.col("score") >= 0.7).cast("int").alias("predicted"))

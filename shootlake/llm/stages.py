@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shootlake.llm import quality_rules, sentence_pieces
+from shootlake.llm import decontamination, near_duplicates, quality_rules, secret_scans, sentence_pieces
+from shootlake.llm.shared import settle, table
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -17,6 +18,33 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return judged.where("quality.kept").select("row.*")
 
 
+def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: that with the smallest id. Documents without id stay; of rows that
+    share the smallest id, all stay."""
+    found = near_duplicates.find(docs)
+    gone = settle(found.where("id <> component").select("id").distinct(), "gone")
+    return docs.join(gone, docs["doc_id"] == gone["id"], "left_anti")
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark passage."""
+    rows = docs.select(F.struct("*").alias("row"), F.col("text"))
+    found = decontamination.scan(rows, table(spark, sf_dir, "benchmark"))
+    return found.where(F.size("matches") == 0).select("row.*")
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with secrets in their texts replaced by a mark; n_chars follows the text."""
+    found = secret_scans.scan(docs.select(F.struct("*").alias("row"), F.col("text")))
+    clean = secret_scans.masked(F.col("text"), F.col("spans"))
+    fields = [F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in ("text", "n_chars")]
+    out = found.select(*fields, clean.alias("text"), "row")
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("text") == F.col("row.text"), F.col("row.n_chars")).otherwise(
+            F.length("text").cast(docs.schema["n_chars"].dataType)))
+    return out.select(*docs.columns)
+
+
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document kept, with the digest of the text they decode to."""
     coded = sentence_pieces.decode(sentence_pieces.encode(docs, PIECES), PIECES)
