@@ -42,11 +42,11 @@ class Rule(NamedTuple):
 
 #: Bounds a text must keep. Ratios are per word or per line with a word.
 RULES = (
-    Rule("word_length", "word_chars / n_words", 1.5, 20.0),
-    Rule("symbols_per_word", "n_symbols / n_words", 0.0, 0.5),
-    Rule("stop_words", "n_stop_words / n_words", 0.01, 1.0),
+    Rule("word_length", "word_chars / nullif(n_words, 0)", 1.5, 20.0),
+    Rule("symbols_per_word", "n_symbols / nullif(n_words, 0)", 0.0, 0.5),
+    Rule("stop_words", "n_stop_words / nullif(n_words, 0)", 0.01, 1.0),
     Rule("repeated_lines", "n_dup_lines / greatest(n_lines, 1)", 0.0, 0.5),
-    Rule("shouting", "n_capital_words / n_words", 0.0, 0.7),
+    Rule("shouting", "n_capital_words / nullif(n_words, 0)", 0.0, 0.7),
 )
 
 

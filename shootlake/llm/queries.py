@@ -42,6 +42,35 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")))
 
 
+ORACLE["op2_quality_rules"] = r"""
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS text FROM documents),
+w AS (
+  SELECT *, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words,
+    list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+  FROM t),
+grams AS (
+  SELECT doc_id, i, array_to_string(words[i:i + 7], ' ') AS gram
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 6)) AS i FROM w)),
+again AS (
+  SELECT doc_id, i FROM grams QUALIFY count(*) OVER (PARTITION BY doc_id, gram) > 1),
+marked AS (
+  SELECT doc_id, count(DISTINCT i + k) AS n FROM again, (SELECT unnest(range(0, 8)) AS k) GROUP BY doc_id),
+m AS (
+  SELECT w.doc_id, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars,
+    len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+    len(lines) AS n_lines, coalesce(marked.n, 0) AS n_repeat_words,
+    len(list_filter(words, lambda x: list_contains([{stops}], lower(x)))) AS n_stop_words,
+    len(list_filter(words, lambda x: regexp_matches(x, '^\p{Lu}[^\p{Ll}]+$'))) AS n_capital_words
+  FROM w LEFT JOIN marked ON w.doc_id = marked.doc_id),
+v AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND {rules} AS kept
+FROM v
+""".replace("{stops}", ", ".join(f"'{w}'" for w in quality_rules.STOP_WORDS)).replace("{rules}", " AND ".join(
+    f"coalesce({r.value} BETWEEN {r.least} AND {r.most}, false)" for r in quality_rules.RULES))
+
+
 @query
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = token_counts.count_tokens(table(spark, sf_dir, "documents"), PIECES)
@@ -142,3 +171,25 @@ def op6_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = quality_model.score(table(spark, sf_dir, "documents"), labels)
     return scored.select(F.col("id").alias("doc_id"), F.coalesce(fold("id") == 2, F.lit(False)).alias("held_out"), "score",
                          (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+ORACLE["op7_near_duplicates"] = r"""
+WITH RECURSIVE t AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 1], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w), 2))) AS i FROM t WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id
+  JOIN n x ON x.doc_id = a.doc_id JOIN n y ON y.doc_id = b.doc_id
+  WHERE 100 * x.n >= 80 * y.n AND 100 * y.n >= 80 * x.n
+  GROUP BY a.doc_id, b.doc_id, x.n, y.n HAVING 100 * count(*) >= 80 * (x.n + y.n - count(*))),
+reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM documents
+  UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, r.c AS component_id, d.doc_id = r.c AS kept
+FROM documents d JOIN (SELECT a, min(b) AS c FROM reach GROUP BY a) r ON r.a = d.doc_id
+LEFT JOIN n ON n.doc_id = d.doc_id
+"""
