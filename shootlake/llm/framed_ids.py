@@ -1,8 +1,8 @@
 """Token-id output as length-delimited binary records.
 
 `encode` gives the ids of texts with a lower-casing, byte-level vocabulary with word ends. `write` puts each document's ids
-into one record of a shard file: length (8 bytes), masked CRC-32C of the length, the ids as unsigned 32-bit integers,
-masked CRC-32C of the ids; all numbers little-endian. Beside each shard an index file holds (offset, length) of every
+into one record of a shard file: length (8 bytes), masked CRC-32C of the length, the ids as unsigned integers, masked
+CRC-32C of the ids; all numbers little-endian. Ids take 2 bytes where the vocabulary fits, else 4; the manifest tells. Beside each shard an index file holds (offset, length) of every
 record, for reading in any order. Shards follow ascending id; the returned manifest, one row per document, is what counts:
 files of failed attempts are in no manifest and never read. `read` fetches records by the manifest and checks both sums.
 
@@ -220,7 +220,8 @@ def words(path: str) -> Words:
 class _Shard:
     """A record file and its index, written front to back."""
 
-    def __init__(self, folder: str):
+    def __init__(self, folder: str, width: int):
+        self.width = width
         self.name = f"{uuid.uuid4().hex}.ids"
         fs, self.folder = file_system(folder)
         fs.create_dir(self.folder, recursive=True)
@@ -230,16 +231,17 @@ class _Shard:
 
     def add(self, flat: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Append a record per row; returns where each begins."""
-        data, sizes = flat.astype("<u4").view(np.uint8), np.diff(offsets) * 4
+        width = self.width
+        data, sizes = flat.astype(f"<u{width}").view(np.uint8), np.diff(offsets) * width
         heads = sizes.astype("<u8").view(np.uint8)
         head_sums = masked_crc32c(heads, np.arange(len(sizes) + 1) * 8, 8)
-        sums = masked_crc32c(data, offsets * 4)
+        sums = masked_crc32c(data, offsets * width)
         at = offsets_of(sizes + 16)
         out = np.zeros(at[-1], np.uint8)
         place = at[:-1, None]
         out[place + np.arange(8)] = heads.reshape(-1, 8)
         out[place + 8 + np.arange(4)] = head_sums.astype("<u4").view(np.uint8).reshape(-1, 4)
-        out[np.arange(len(data)) + np.repeat(at[:-1] + 12 - offsets[:-1] * 4, sizes)] = data
+        out[np.arange(len(data)) + np.repeat(at[:-1] + 12 - offsets[:-1] * width, sizes)] = data
         out[at[1:, None] - 4 + np.arange(4)] = sums.astype("<u4").view(np.uint8).reshape(-1, 4)
         begins = self.size + at[:-1]
         self.file.write(out.tobytes())
@@ -253,7 +255,7 @@ class _Shard:
 
 
 def write(df: DataFrame, model: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[str, DataFrame]:
-    """Write all documents; (folder, manifest of id, part, place, shard, at, n_tokens)."""
+    """Write all documents; (folder, manifest of id, part, place, shard, at, n_tokens, width)."""
     from pyspark import TaskContext
     spark = df.sparkSession
     folder = fresh_path(spark, "records")
@@ -261,6 +263,7 @@ def write(df: DataFrame, model: str, end_id: int, id_col: str = "doc_id", text_c
     ordered = source.repartitionByRange("id", "tie").sortWithinPartitions("id", "tie")
 
     def run(batches):
+        width = 2 if max(words(model).library.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
         shard, place, part = None, 0, TaskContext.get().partitionId()
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
@@ -273,17 +276,17 @@ def write(df: DataFrame, model: str, end_id: int, id_col: str = "doc_id", text_c
                 if shard is None or shard.size > SHARD:
                     if shard:
                         shard.close()
-                    shard = _Shard(folder)
+                    shard = _Shard(folder, width)
                 begins = shard.add(full, ends)
                 yield pa.RecordBatch.from_arrays([
                     rows.column("id"), pa.array(np.full(len(n), part)), pa.array(place + np.arange(len(n))),
-                    pa.array([shard.name] * len(n)), pa.array(begins), pa.array(n)],
-                    ["id", "part", "place", "shard", "at", "n_tokens"])
+                    pa.array([shard.name] * len(n)), pa.array(begins), pa.array(n),
+                    pa.array(np.full(len(n), width))], ["id", "part", "place", "shard", "at", "n_tokens", "width"])
                 place += len(n)
         if shard:
             shard.close()
     kind = source.schema["id"].dataType.simpleString()
-    manifest = ordered.mapInArrow(run, f"id {kind}, part long, place long, shard string, at long, n_tokens long")
+    manifest = ordered.mapInArrow(run, f"id {kind}, part long, place long, shard string, at long, n_tokens long, width long")
     return folder, settle(manifest, "manifest")
 
 
@@ -302,13 +305,15 @@ def read(folder: str, manifest: DataFrame) -> DataFrame:
         opened, source = None, None
         for batch in batches:
             begins = batch.column("at").to_numpy()
-            sizes = batch.column("n_tokens").to_numpy() * 4
+            widths = batch.column("width").to_numpy()
+            sizes = batch.column("n_tokens").to_numpy() * widths
             shards = batch.column("shard").to_pylist()
             found = []
             at = 0
             while at < len(begins):  # stretches of following records in one read
                 end = at + 1
-                while (end < len(begins) and shards[end] == shards[at] and begins[end] == begins[end - 1] + sizes[end - 1] + 16
+                while (end < len(begins) and shards[end] == shards[at] and widths[end] == widths[at]
+                       and begins[end] == begins[end - 1] + sizes[end - 1] + 16
                        and begins[end] - begins[at] < 8 << 20):
                     end += 1
                 if opened != shards[at]:
@@ -329,8 +334,9 @@ def read(folder: str, manifest: DataFrame) -> DataFrame:
                 if ((told != sizes[at:end]).any() or (masked_crc32c(body, bounds) != sums).any()
                         or (masked_crc32c(heads[:, :8].copy().ravel(), np.arange(len(told) + 1) * 8, 8) != head_sums).any()):
                     raise ValueError(f"damaged record in {shards[at]} near byte {begins[at]}")
-                view = body.tobytes()
-                found += [(n // 4, zlib.crc32(view[a:a + n])) for a, n in zip(bounds[:-1].tolist(), told.tolist())]
+                ids = body.view(f"<u{widths[at]}").astype("<u4").tobytes()
+                found += [(n // 4, zlib.crc32(ids[a:a + n])) for a, n in zip(
+                    (bounds[:-1] // widths[at] * 4).tolist(), (told // widths[at] * 4).tolist())]
                 at = end
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("start"),
                                               pa.array([n for n, _ in found], pa.int64()),
@@ -339,5 +345,5 @@ def read(folder: str, manifest: DataFrame) -> DataFrame:
         if source:
             source.close()
     kind = manifest.schema["id"].dataType.simpleString()
-    return manifest.select("id", "start", "shard", "at", "n_tokens").mapInArrow(
+    return manifest.select("id", "start", "shard", "at", "n_tokens", "width").mapInArrow(
         run, f"id {kind}, start long, n_tokens long, ids_crc32 long")
