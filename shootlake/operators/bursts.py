@@ -30,27 +30,9 @@ def index(captures: DataFrame, within: int = WITHIN_SECONDS, distance: int = SIG
           width: int = ordered.DEFAULT_WIDTH) -> DataFrame:
     """Add `burst` (from 0, input order), `place` (from 0), `size`, `boundary` and `distance`.
 
-    While every project fits `width` rows the whole index is one shuffle on the project. A larger
-    project is cut into chunks of at most `width` sequence numbers instead.
+    A project is cut into chunks of at most `width` sequence numbers; one summary row per chunk carries
+    the state on, so no project is a single task.
     """
-    if ordered.largest_group(captures, ["project_id"]) <= width:
-        return _index_whole(captures, within, distance)
-    return _index_chunked(captures, within, distance, width)
-
-
-def _index_whole(captures: DataFrame, within: int, distance: int) -> DataFrame:
-    order = Window.partitionBy("project_id").orderBy("seq")
-    frame = F.struct("seconds", "signature")
-    bits, starts = _parts(within, distance, frame, F.col("_before"))
-    marked = (captures.withColumn("_before", F.lag(frame).over(order))
-              .withColumn("distance", bits).withColumn("boundary", starts))
-    numbered = marked.withColumn("burst", F.sum(F.col("boundary").cast("long")).over(order))
-    burst = Window.partitionBy("project_id", "burst")
-    return (numbered.withColumn("place", F.row_number().over(burst.orderBy("seq")).cast("long") - 1)
-            .withColumn("size", F.count(F.lit(1)).over(burst)).drop("_before"))
-
-
-def _index_chunked(captures: DataFrame, within: int, distance: int, width: int) -> DataFrame:
     inside = Window.partitionBy("project_id", CHUNK).orderBy("seq")
     frame = F.struct("seconds", "signature")
     bits, starts = _parts(within, distance, frame, F.col("_before"))

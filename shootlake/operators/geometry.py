@@ -120,7 +120,7 @@ def remap(px: DataFrame, lens_map: DataFrame, frames: DataFrame, strength: Colum
 
     `strength` blends between leaving places alone and the map, a zoom hides the border it cannot
     fill, and zoomed places read the map itself bilinearly. Channels with their own map are one
-    call each.
+    call each. Frames the map says nothing about keep their pixels; `without_map` lists them.
     """
     sized = lens_map.join(frames.select("image_id", "width", "height", strength.alias("_s")), "image_id")
     mapped = sized.withColumns({"gx": F.col("x") + (F.col("mx") - F.col("x")) * F.col("_s"),
@@ -130,7 +130,14 @@ def remap(px: DataFrame, lens_map: DataFrame, frames: DataFrame, strength: Colum
     asked = grid(zoomed).withColumns({"sx": cx + (F.col("x") - cx) / F.col("zoom"), "sy": cy + (F.col("y") - cy) / F.col("zoom")})
     places = gather(asked.select("image_id", "y", "x", "width", "height", "sx", "sy"), mapped, ("gx", "gy"), tile)
     points = places.drop("sx", "sy").withColumnsRenamed({"gx": "sx", "gy": "sy"})
-    return gather(points, px, tile=tile).select("image_id", "y", "x", *RGB)
+    corrected = gather(points, px, tile=tile).select("image_id", "y", "x", *RGB)
+    plain = px.join(without_map(frames, lens_map), "image_id", "left_semi")
+    return corrected.unionByName(plain.select(*corrected.columns))
+
+
+def without_map(frames: DataFrame, lens_map: DataFrame) -> DataFrame:
+    """(image_id) of frames that a lens map has no place for."""
+    return frames.select("image_id").join(lens_map.select("image_id").distinct(), "image_id", "left_anti")
 
 
 def target_size(frames: DataFrame, max_width: Column, max_height: Column, by_orientation: bool = True) -> DataFrame:

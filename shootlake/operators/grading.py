@@ -161,9 +161,10 @@ def film_lut(px: DataFrame, luts: DataFrame, strength: Column, lut_id: str = "lu
     """Trilinear look-up mixed in by strength; `luts` has one row per LUT with its lattice as arrays.
 
     A lattice is at most 65 cubed triplets, so a LUT is one small row. The join carries it to the
-    pixels, by broadcast while all LUTs together are small, and no pixel row is multiplied.
+    pixels, by broadcast while all LUTs together are small, and no pixel row is multiplied. Pixels that
+    name no LUT stay as they are; those that name an absent one are refused (see `absent_luts`).
     """
-    joined = px.join(luts, lut_id, "left")
+    joined = px.join(luts, lut_id, "left").where(F.col(lut_id).isNull() | F.col("size").isNotNull())
     for i, c in enumerate(RGB):
         lo, hi = F.element_at("dmin", i + 1), F.element_at("dmax", i + 1)
         joined = joined.withColumn(f"_n{c}", K.clamp((F.col(c) - lo) / (hi - lo), 0.0, 1.0) * (F.col("size") - 1))
@@ -185,8 +186,15 @@ def film_lut(px: DataFrame, luts: DataFrame, strength: Column, lut_id: str = "lu
     return joined.withColumns(out).select(*[c for c in px.columns])
 
 
+def absent_luts(asked: DataFrame, luts: DataFrame, lut_id: str = "lut_id") -> DataFrame:
+    """Rows of `asked` that name a LUT which is not there."""
+    return asked.where(F.col(lut_id).isNotNull()).join(luts.select(lut_id), lut_id, "left_anti")
+
+
 # Row and column multipliers of the grain hash, and the strongest grain.
 GRAIN_ROW, GRAIN_COLUMN, GRAIN_DEPTH = 0x6EED0E9DA4D94A4F, 0x517CC1B727220A95, 0.16
+# Fixed value: what a film node's ordinal is multiplied by before it is mixed into the seed.
+GRAIN_ORDINAL = 0x9E3779B9
 
 
 def grain(px: DataFrame, amount: Column, size: Column, seed: Column) -> DataFrame:
@@ -205,7 +213,7 @@ def grain(px: DataFrame, amount: Column, size: Column, seed: Column) -> DataFram
 
 def film_seed(seed: Column, ordinal: int) -> Column:
     """The seed of the n-th grainy film node of a recipe, counted from 0 in execution order."""
-    return seed.bitwiseXOR(F.lit(bits.signed(ordinal * bits.SPLITMIX_STEP)).cast("long"))
+    return seed.bitwiseXOR(F.lit(bits.signed(ordinal * GRAIN_ORDINAL)).cast("long"))
 
 
 def blend(a: DataFrame, b: DataFrame, opacity: Column | float) -> DataFrame:

@@ -20,12 +20,6 @@ def with_chunk(df: DataFrame, seq: str, width: int = DEFAULT_WIDTH) -> DataFrame
     return df.withColumn(CHUNK, F.floor(F.col(seq) / F.lit(width)).cast("long"))
 
 
-def largest_group(df: DataFrame, keys: list[str]) -> int:
-    """Rows of the biggest key: one pruned scan whose counts combine map-side; returns one number."""
-    biggest = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()
-    return int(biggest[0] or 0)
-
-
 def pick_rank(df: DataFrame, keys: list[str], value: str, rank: Column, bins: int = 1024,
               lo: float = 0.0, hi: float = 1.0) -> DataFrame:
     """The exact value at 0-based `rank` (an expression over the group's row count `n`) per group.

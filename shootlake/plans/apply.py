@@ -86,7 +86,10 @@ def _node(kind: str, ins: list[Branch], params: DataFrame, luts: DataFrame | Non
         a, b = ins
         if a.upright != b.upright:
             a, b = _upright(a), _upright(b)
-        mixed = grading.blend(a.px.join(params.select("image_id", "p"), "image_id"), b.px, _p(0))
+        # branches of unequal size: the photo is refused as a whole, not cut to what both cover
+        sizes = b.frames.select("image_id", F.col("width").alias("_w"), F.col("height").alias("_h"))
+        fits = a.frames.join(sizes, "image_id").where("width = _w AND height = _h").select("image_id")
+        mixed = grading.blend(a.px.join(params.select("image_id", "p").join(fits, "image_id"), "image_id"), b.px, _p(0))
         return replace(a, px=mixed.select("image_id", "y", "x", *grading.RGB))
     b = _upright(ins[0]) if kind in UPRIGHT_FIRST else ins[0]
     if kind in ("noise_reduction", "sharpen", "crop"):
@@ -110,7 +113,7 @@ def _node(kind: str, ins: list[Branch], params: DataFrame, luts: DataFrame | Non
     if kind == "film":
         if not b.display:
             b = replace(b, px=grading.to_display(b.px), display=True)
-        seeds = [bits.signed(n * bits.SPLITMIX_STEP) for n in range(R.MAX_NODES)]
+        seeds = [bits.signed(n * grading.GRAIN_ORDINAL) for n in range(R.MAX_NODES)]
         table = params.join(b.frames.select("image_id", "grain_seed"), "image_id").withColumn(
             "_seed", F.col("grain_seed").bitwiseXOR(F.get(F.array(*[F.lit(s).cast("long") for s in seeds]), F.col("ordinal").cast("int"))))
 
@@ -169,11 +172,26 @@ def render_by_shape(px: DataFrame, frames: DataFrame, recipes: DataFrame, luts:
     Only the distinct shapes, a short text each, come to the driver; there are as many as presets.
     """
     ensure_checkpoint_dir(px.sparkSession)
-    rows = prepared(recipes).checkpoint()  # one short row per photo, read again by every node
+    rows = prepared(recipes)
+    rows = rows.join(refused(rows, luts).select("image_id").distinct(), "image_id", "left_anti")
+    rows = rows.checkpoint()  # one short row per photo, read again by every node
     for shape in rows.select("shape").distinct().toLocalIterator():
         yield shape[0], apply_shape(px, frames, rows.where(F.col("shape") == shape[0]), shape[0], luts, lens_map, tile)
 
 
+def refused(rows: DataFrame, luts: DataFrame | None) -> DataFrame:
+    """(image_id, cause) of photos, as from `prepared`, whose film nodes name a LUT that is not there."""
+    film = rows.select("image_id", F.explode("nodes").alias("n")).select("image_id", "n.lut_id", F.col("n.p")[0].alias("strength"))
+    asked = film.where("lut_id IS NOT NULL AND strength > 0")
+    missing = asked if luts is None else grading.absent_luts(asked, luts)
+    return missing.select("image_id", F.concat(F.lit("lut "), F.col("lut_id")).alias("cause"))
+
+
+def unrendered(frames: DataFrame, rendered: DataFrame) -> DataFrame:
+    """(image_id) of frames that gave no pixels: their recipe was refused."""
+    return frames.select("image_id").join(rendered.select("image_id").distinct(), "image_id", "left_anti")
+
+
 def flat_settings(px: DataFrame, frames: DataFrame, settings: DataFrame, max_width: int = 0, max_height: int = 0,
                   **kw) -> Iterator[tuple[str, DataFrame]]:
     """Flat settings as pixels: reduce first, then the recipe they stand for.

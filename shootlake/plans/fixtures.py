@@ -6,7 +6,7 @@ the inputs of the registered queries scale with the tables they come from.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shootlake.operators import catalogue
@@ -43,12 +43,17 @@ def signatures(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "embeddings").selectExpr("vec_id", f"{bits} AS signature")
 
 
+def rows_of(spark: SparkSession, sf: str, name: str) -> Column:
+    """The row count of a table, as a scalar subquery of the query that uses it."""
+    return table(spark, sf, name).agg(F.count(F.lit(1))).scalar()
+
+
 def captures(spark: SparkSession, sf: str) -> DataFrame:
-    signs = signatures(spark, sf).where("vec_id < 500")
+    signs = signatures(spark, sf)
     ev = table(spark, sf, "events").selectExpr(
         "user_id AS project_id", "event_id AS seq", "concat('cap-', event_id) AS key",
         "CASE WHEN event_id % 11 = 0 THEN NULL ELSE cast(floor(unix_micros(cast(ts as timestamp)) / 1000000) as bigint) END AS seconds",
-        "event_id % 500 AS vec_id", "event_id % 13 = 0 AS unsigned")
+        "event_id", "event_id % 13 = 0 AS unsigned").withColumn("vec_id", F.col("event_id") % rows_of(spark, sf, "embeddings")).drop("event_id")
     return ev.join(signs, "vec_id", "left").selectExpr(
         "project_id", "seq", "key", "seconds", "CASE WHEN unsigned THEN NULL ELSE signature END AS signature")
 
@@ -123,7 +128,7 @@ SQL: dict[str, tuple[tuple[str, ...], str]] = {
       SELECT user_id AS project_id, event_id AS seq, concat('cap-', event_id) AS key,
              CASE WHEN event_id % 11 = 0 THEN NULL ELSE epoch_us(ts) // 1000000 END AS seconds,
              CASE WHEN event_id % 13 = 0 THEN NULL ELSE signature END AS signature
-      FROM events LEFT JOIN signatures ON vec_id = event_id % 500 AND vec_id < 500"""),
+      FROM events LEFT JOIN signatures ON vec_id = event_id % (SELECT count(*) FROM embeddings)"""),
     "exif_raw": ((), "SELECT o_orderkey AS photo_id, " + ", ".join(
         ({**{k: v.format(s="varchar") for k, v in _EXIF.items()},
           **{k: v.format(s="varchar", day="strftime(o_orderdate, '%Y:%m:%d')") for k, v in _DATES.items()}}[c]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from shootlake.operators import grading as G
@@ -75,14 +76,20 @@ def settings_render(spark, sf):
     return out(_union(A.flat_settings(fx.pixels(spark, sf), f, settings, 20, 24)), 5)
 
 
-# A 5x5x5 lattice from the parts, its domain a little wider than 0..1.
-_LATTICE = "SELECT 'parts' AS lut_id, n % 5 AS ri, n // 5 % 5 AS gi, n // 25 AS bi, p_size / 50 AS r, (p_retailprice - 900) / 100 AS g, n / 124 AS b FROM (SELECT *, p_partkey AS n FROM part WHERE p_partkey < 125)"
+# 125 consecutive parts make one 5x5x5 lattice, its domain a little wider than 0..1; a last block of fewer is no LUT.
+_BLOCKS = "SELECT *, CAST(p_partkey // 125 AS VARCHAR) AS lut_id, p_partkey % 125 AS n, count(*) OVER (PARTITION BY p_partkey // 125) AS parts FROM part"
+_LATTICE = f"SELECT lut_id, n % 5 AS ri, n // 5 % 5 AS gi, n // 25 AS bi, p_size / 50 AS r, (p_retailprice - 900) / 100 AS g, n / 124 AS b FROM ({_BLOCKS}) WHERE parts = 125"
+
+
+def lut_parts(spark, sf):
+    block = F.expr("p_partkey div 125")
+    return fx.table(spark, sf, "part").select("p_size", "p_retailprice", block.cast("string").alias("lut_id"), F.expr("p_partkey % 125 AS n"),
+                                              F.count(F.lit(1)).over(Window.partitionBy(block)).alias("parts"))
 
 
 def lut_rows(spark, sf):
-    pts = fx.table(spark, sf, "part").where("p_partkey < 125").selectExpr(
-        "'parts' AS lut_id", "p_partkey % 5 AS ri", "p_partkey div 5 % 5 AS gi", "p_partkey div 25 AS bi", "p_size / 50 AS r",
-        "(p_retailprice - 900) / 100 AS g", "p_partkey / 124 AS b")
+    pts = lut_parts(spark, sf).where("parts = 125").selectExpr(
+        "lut_id", "n % 5 AS ri", "n div 5 % 5 AS gi", "n div 25 AS bi", "p_size / 50 AS r", "(p_retailprice - 900) / 100 AS g", "n / 124 AS b")
     domains = pts.select("lut_id").distinct().selectExpr("lut_id", "5 AS size", "array(0D, -0.1D, 0D) AS dmin", "array(1D, 1D, 1.2D) AS dmax")
     return L.from_lattice(pts, domains)
 
@@ -97,22 +104,42 @@ _CORNERS = "(VALUES (0, 0, 0), (0, 0, 1), (0, 1, 0), (0, 1, 1), (1, 0, 0), (1, 0
         SELECT *, nr - ir AS fr, ng - ig AS fg, nb - ib AS fb FROM (
           SELECT *, CAST(least(floor(nr), 3) AS BIGINT) AS ir, CAST(least(floor(ng), 3) AS BIGINT) AS ig, CAST(least(floor(nb), 3) AS BIGINT) AS ib FROM (
             SELECT *, least(greatest(r, 0), 1) * 4 AS nr, least(greatest((g + 0.1) / 1.1, 0), 1) * 4 AS ng, least(greatest(b / 1.2, 0), 1) * 4 AS nb FROM pixels))), {_CORNERS}) p
-    JOIN lattice l ON l.ri = ir + dr AND l.gi = ig + dg AND l.bi = ib + db GROUP BY 1, 2, 3)"""), "pixels", also={"lattice": _LATTICE}))
+    JOIN lattice l ON l.lut_id = CAST(image_id % (SELECT count(*) // 125 FROM part) AS VARCHAR) AND l.ri = ir + dr AND l.gi = ig + dg AND l.bi = ib + db GROUP BY 1, 2, 3)"""), "pixels", also={"lattice": _LATTICE}))
 def film_lut(spark, sf):
-    px = fx.pixels(spark, sf).withColumn("lut_id", F.lit("parts"))
+    luts = F.floor(fx.rows_of(spark, sf, "part") / 125)
+    px = fx.pixels(spark, sf).withColumn("lut_id", (F.col("image_id") % luts).cast("string"))
     return out(G.film_lut(px, lut_rows(spark, sf), F.lit(0.7)))
 
 
 @query("lut_lattice", fx.sql("SELECT lut_id, ri, gi, bi, round(r, 6) AS r, round(g, 6) AS g, round(b, 6) AS b FROM lattice", also={"lattice": _LATTICE}))
 def lut_lattice(spark, sf):
-    """A `.cube` text written from the lattice reads back as the same lattice."""
-    pts = fx.table(spark, sf, "part").where("p_partkey < 125").selectExpr(
-        "'parts' AS lut_id", "p_partkey AS n", "concat_ws(' ', p_size / 50, (p_retailprice - 900) / 100, p_partkey / 124) AS entry")
+    """`.cube` texts written from the lattices read back as the same lattices."""
+    good, _ = L.parse(lut_cubes(spark, sf))
+    return L.lattice(good).select("lut_id", *[F.col(c).cast("long").alias(c) for c in ("ri", "gi", "bi")], *[F.round(c, 6).alias(c) for c in RGB])
+
+
+def lut_cubes(spark, sf):
+    pts = lut_parts(spark, sf).selectExpr("lut_id", "n", "concat_ws(' ', p_size / 50, (p_retailprice - 900) / 100, n / 124) AS entry")
     body = pts.groupBy("lut_id").agg(F.array_sort(F.collect_list(F.struct("n", "entry"))).alias("rows"))
-    cubes = body.select("lut_id", F.concat(F.lit("# from parts\nTITLE \"parts\"\nLUT_3D_SIZE 5\n"), F.array_join(
+    return body.select("lut_id", F.concat(F.lit("# from parts\nTITLE \"parts\"\nLUT_3D_SIZE 5\n"), F.array_join(
         F.transform("rows", lambda r: r["entry"]), "\n"), F.lit("\n")).alias("text"))
-    good, _ = L.parse(cubes)
-    return L.lattice(good).select("lut_id", *[F.col(c).cast("long").alias(c) for c in ("ri", "gi", "bi")], *[F.round(c, 6).alias(c) for c in RGB])
+
+
+@query("lut_problems", fx.sql("SELECT DISTINCT lut_id, 'count' AS problems FROM blocks WHERE parts < 125", also={"blocks": _BLOCKS}))
+def lut_problems(spark, sf):
+    """The block of parts too short to fill a lattice is told as such."""
+    _, bad = L.parse(lut_cubes(spark, sf))
+    return bad.select("lut_id", F.array_join("problems", ",").alias("problems"))
+
+
+@query("absent_luts", fx.sql("SELECT image_id, 'lut ' || CAST(image_id AS VARCHAR) AS cause FROM frames WHERE image_id NOT IN (SELECT CAST(lut_id AS BIGINT) FROM lattice)",
+                             "frames", also={"lattice": _LATTICE}))
+def absent_luts(spark, sf):
+    """Photos whose film node names a LUT that no block of parts makes are refused with the cause."""
+    f = frames(spark, sf)
+    film = RE.node("film", F.array(F.lit(0)), _map(lut_strength="1"), 1.0, F.lit(1)).withField("lut", F.col("image_id").cast("string"))
+    recipes = f.select("image_id", F.array(film).cast(RECIPE).alias("recipe"), F.lit(1).alias("recipe_output"))
+    return A.refused(A.prepared(recipes), lut_rows(spark, sf))
 
 
 @query("negative_recipes", fx.sql(QM.negative_frames_sql("""

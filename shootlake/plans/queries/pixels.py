@@ -218,20 +218,35 @@ def _mul(v, k):
     return f"CAST((CAST({v} AS UHUGEINT) * {k}::UHUGEINT) % {_U} AS UBIGINT)"
 
 
-_GRAIN = {
-    "cells": f"SELECT *, {_mul('floor(y / 1.5)', 0x6EED0E9DA4D94A4F)} AS gy, {_mul('floor(x / 1.5)', 0x517CC1B727220A95)} AS gx, CAST(image_id * 7919 + 17 AS UBIGINT) AS seed FROM pixels",
-    "h0": f"SELECT *, CAST((CAST(xor(xor(seed, gy), gx) AS UHUGEINT) + {0x9E3779B97F4A7C15}::UHUGEINT) % {_U} AS UBIGINT) AS h FROM cells",
-    "h1": f"SELECT * REPLACE ({_mul('xor(h, h >> 30)', 0xBF58476D1CE4E5B9)} AS h) FROM h0",
-    "h2": f"SELECT * REPLACE ({_mul('xor(h, h >> 27)', 0x94D049BB133111EB)} AS h) FROM h1",
-    "h3": f"SELECT *, ((xor(h, h >> 31) >> 40) / 16777215.0 - 0.5) * 0.6 * 0.16 * (0.35 + 0.65 * (1 - {LUM_R})) AS n FROM h2",
-}
+def _grain_sql(source, seed, k=""):
+    """Steps of the grain hash over the pixels of `source`; the last has the noise as n."""
+    return {
+        f"cells{k}": f"SELECT *, {_mul('floor(y / 1.5)', 0x6EED0E9DA4D94A4F)} AS gy, {_mul('floor(x / 1.5)', 0x517CC1B727220A95)} AS gx, CAST({seed} AS UBIGINT) AS seed FROM {source}",
+        f"h0{k}": f"SELECT *, CAST((CAST(xor(xor(seed, gy), gx) AS UHUGEINT) + {0x9E3779B97F4A7C15}::UHUGEINT) % {_U} AS UBIGINT) AS h FROM cells{k}",
+        f"h1{k}": f"SELECT * REPLACE ({_mul('xor(h, h >> 30)', 0xBF58476D1CE4E5B9)} AS h) FROM h0{k}",
+        f"h2{k}": f"SELECT * REPLACE ({_mul('xor(h, h >> 27)', 0x94D049BB133111EB)} AS h) FROM h1{k}",
+        f"h3{k}": f"SELECT *, ((xor(h, h >> 31) >> 40) / 16777215.0 - 0.5) * 0.6 * 0.16 * (0.35 + 0.65 * (1 - {LUM_R})) AS n FROM h2{k}",
+    }
+
+
+_GRAIN = _grain_sql("pixels", "image_id * 7919 + 17")
+_GRAINY = each("least(greatest({c} + n, 0), 1)")
 
 
-@query("film_grain", fx.sql(rounded("SELECT image_id, y, x, " + each("least(greatest({c} + n, 0), 1)") + " FROM h3"), "pixels", also=_GRAIN))
+@query("film_grain", fx.sql(rounded(f"SELECT image_id, y, x, {_GRAINY} FROM h3"), "pixels", also=_GRAIN))
 def film_grain(spark, sf):
     return out(G.grain(fx.pixels(spark, sf), F.lit(0.6), F.lit(1.5), F.expr("image_id * 7919L + 17")))
 
 
+@query("film_grain_twice", fx.sql(rounded(f"SELECT image_id, y, x, {_GRAINY} FROM h3b"), "pixels", also={
+    **_GRAIN, "once": f"SELECT image_id, y, x, {_GRAINY} FROM h3", **_grain_sql("once", "xor(image_id * 7919 + 17, 2654435769)", "b")}))
+def film_grain_twice(spark, sf):
+    """A recipe's second grainy film node takes the seed with its ordinal mixed in."""
+    seed = F.expr("image_id * 7919L + 17")
+    once = G.grain(fx.pixels(spark, sf), F.lit(0.6), F.lit(1.5), G.film_seed(seed, 0))
+    return out(G.grain(once, F.lit(0.6), F.lit(1.5), G.film_seed(seed, 1)))
+
+
 @query("blend", fx.sql(rounded("""
   SELECT image_id, y, x, """ + each("{c} * 2 + ((1 - {c}) - {c} * 2) * (image_id % 4 / 4)") + " FROM pixels"), "pixels"))
 def blend(spark, sf):

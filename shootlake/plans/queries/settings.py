@@ -146,9 +146,9 @@ def settings_to_recipe(spark, sf):
 
 
 @query("default_recipes", fx.sql("""
-  SELECT photo_id, 'optics(0),noise_reduction(1)' AS chain, 0.35::DOUBLE AS noise_reduction FROM photos WHERE NOT has_exposure""", "photos"))
+  SELECT photo_id, 'optics(0),noise_reduction(1)' AS chain, 0.35::DOUBLE AS noise_reduction FROM photos""", "photos"))
 def default_recipes(spark, sf):
-    fresh = fx.photos(spark, sf).where("NOT map_contains_key(overrides, 'exposure')").withColumn("nodes", S.default_recipe())
+    fresh = fx.photos(spark, sf).withColumn("nodes", S.default_recipe())
     return fresh.select("photo_id", F.array_join(F.transform("nodes", lambda n: F.concat(n["kind"], F.lit("("), n["inputs"][0], F.lit(")"))), ",").alias("chain"),
                         F.expr("nodes[1].params['noise_reduction']").alias("noise_reduction"))
 

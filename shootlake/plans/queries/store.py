@@ -64,11 +64,11 @@ def lens_match(spark, sf):
 
 
 @query("mount_compatible_lenses", fx.sql("""
-  SELECT seq FROM lenses WHERE mount IN (SELECT compatible FROM mounts WHERE mount = 'ECONOMY') OR mount = 'ECONOMY'""", also=_LENS_SQL))
+  SELECT DISTINCT lower(m.mount) AS camera_mount, seq FROM lenses l JOIN (
+    SELECT mount, compatible FROM mounts UNION SELECT mount, mount FROM mounts) m ON lower(l.mount) = lower(m.compatible)""", also=_LENS_SQL))
 def mount_compatible_lenses(spark, sf):
     t = lens_tables(spark, sf)
-    fits = LE.compatible_mounts(t["mounts"]).where("camera_mount = 'economy'")
-    return t["lenses"].withColumn("lens_mount", F.lower("mount")).join(fits, "lens_mount", "left_semi").select("seq")
+    return t["lenses"].withColumn("lens_mount", F.lower("mount")).join(LE.compatible_mounts(t["mounts"]), "lens_mount").select("camera_mount", "seq")
 
 
 # Aliases the users keep: every part name is a nickname; the first listed wins, ahead of the built-in ones.
@@ -188,13 +188,13 @@ def still_gallery(spark, sf):
     return g.orderBy("written", "seq")
 
 
-_STORE = {"store": "SELECT name, max(written) AS written, max(seq) AS seq FROM presets WHERE origin = 'local' AND seq % 3 = 1 GROUP BY 1",
+_STORE = {"store": "SELECT name, max(written) AS written, max(seq) AS seq FROM presets WHERE origin = 'local' GROUP BY 1",
           "batch": "SELECT CASE WHEN seq % 5 = 0 THEN name || ' II' ELSE name END AS name, written, seq FROM presets WHERE origin = 'project'"}
 
 
 def _store(spark, sf):
     p = fx.presets(spark, sf)
-    store = p.where("origin = 'local' AND seq % 3 = 1").groupBy("name").agg(F.max("written").alias("written"), F.max("seq").alias("seq"))
+    store = p.where("origin = 'local'").groupBy("name").agg(F.max("written").alias("written"), F.max("seq").alias("seq"))
     batch = p.where("origin = 'project'").selectExpr("CASE WHEN seq % 5 = 0 THEN concat(name, ' II') ELSE name END AS name", "written", "seq")
     return store, batch
 

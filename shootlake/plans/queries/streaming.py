@@ -37,11 +37,12 @@ def _run(spark, stream, sink=None, out=None):
 
 @query("streamed_bursts", _sql("SELECT project_id, seq, burst, place FROM numbered"))
 def streamed_bursts(spark, sf):
-    signs = fx.signatures(spark, sf).where("vec_id < 500")
+    signs = fx.signatures(spark, sf)
     ev = _events(spark, sf).selectExpr(
         "user_id AS project_id", "event_id AS seq", "concat('cap-', event_id) AS key",
         "CASE WHEN event_id % 11 = 0 THEN NULL ELSE cast(floor(unix_micros(cast(ts as timestamp)) / 1000000) as bigint) END AS seconds",
-        "event_id % 500 AS vec_id", "event_id % 13 = 0 AS unsigned", "cast(ts as timestamp) AS taken")
+        "event_id", "event_id % 13 = 0 AS unsigned", "cast(ts as timestamp) AS taken").withColumn(
+        "vec_id", F.col("event_id") % fx.rows_of(spark, sf, "embeddings")).drop("event_id")
     rows = ev.join(signs, "vec_id", "left").selectExpr(
         "project_id", "seq", "key", "seconds", "CASE WHEN unsigned THEN NULL ELSE signature END AS signature", "taken")
     out = _run(spark, ST.streamed_bursts(rows, WITHIN, DISTANCE))

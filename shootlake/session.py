@@ -29,8 +29,10 @@ def build_session(app: str = "shootlake", master: str | None = None, **conf: str
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a fresh local one only where none is configured."""
+    """The cluster's shared checkpoint folder; a fresh local one only for a local session without any."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
+    if not configured and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     folder = configured or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(folder)
