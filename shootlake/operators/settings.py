@@ -198,6 +198,22 @@ def render_key(settings: Column, luts: Column, shape: Column) -> Column:
     return F.sha2(F.concat_ws(";", shape, *parts, F.array_join(luts, ",")), 256)
 
 
+def lut_identities(paths: Column, contents: Column) -> Column:
+    """Path and content key of each LUT a render reads, from a map of known content keys; a LUT that
+    cannot be read is told apart from every content."""
+    return F.transform(paths, lambda p: F.concat(p, F.lit("@"), F.coalesce(F.element_at(contents, p), F.lit("unreadable"))))
+
+
+def graph_render_key(effective: Column, luts: Column, shape: Column) -> Column:
+    """Digest of a render by recipe: the effective nodes (struct of nodes and output) without what only
+    the editor reads, the identities of their LUTs, and the output shape."""
+    pairs = lambda m: F.array_sort(F.transform(F.map_entries(m), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))))
+    node = lambda n: F.concat_ws("/", n["id"].cast("string"), n["kind"], F.array_join(n["inputs"].cast("array<string>"), "+"),
+                                 n["opacity"].cast("string"), n["lut"], F.array_join(pairs(n["params"]), ","), F.array_join(pairs(n["points"]), ","))
+    return F.sha2(F.concat_ws(";", shape, F.array_join(F.transform(effective["nodes"], node), "|"),
+                              effective["output"].cast("string"), F.array_join(luts, ",")), 256)
+
+
 def range_violations(rows: DataFrame, settings: str, key: str = "photo_id") -> DataFrame:
     """(key, setting, value) of each present setting outside its accepted range."""
     bad = F.lit(False)

@@ -140,6 +140,11 @@ def rename_stills(store: DataFrame, renames: DataFrame) -> DataFrame:
     return store.join(free, "name", "left").withColumn("name", F.coalesce("new_name", "name")).select(*store.columns)
 
 
+def delete_stills(store: DataFrame, names: DataFrame) -> DataFrame:
+    """The gallery without the named stills; names it does not hold change nothing."""
+    return store.join(names.select("name"), "name", "left_anti").select(*store.columns)
+
+
 def gallery(project: DataFrame, local: DataFrame) -> DataFrame:
     """Project and local stills with where they come from, oldest first among the local ones."""
     both = project.withColumn("origin", F.lit("project")).unionByName(local.withColumn("origin", F.lit("local")))

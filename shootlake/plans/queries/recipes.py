@@ -223,7 +223,7 @@ def recipe_active_optics(spark, sf):
 
 
 @query("recipe_packed", fx.sql("""
-  SELECT recipe_id, id, round(list_sum(p), 6) AS total, len(p) AS params FROM (SELECT recipe_id, id, CAST(CASE kind WHEN 'white_balance' THEN [3000 + 100 * q, d * 100 - 5]
+  SELECT recipe_id, id, unnest(range(0, len(p))) AS place, round(unnest(p), 6) AS value FROM (SELECT recipe_id, id, CAST(CASE kind WHEN 'white_balance' THEN [3000 + 100 * q, d * 100 - 5]
       WHEN 'exposure' THEN [d * 20 - 1] WHEN 'noise_reduction' THEN [d * 5, 0] WHEN 'tone' THEN [0, t * 10, 0, 0, 0, 0, 0] WHEN 'optics' THEN [q % 2, d * 10, 0]
       WHEN 'film' THEN [CASE WHEN q % 2 = 0 THEN d * 10 ELSE 0 END, t * 5, 1] WHEN 'blend' THEN [opacity] WHEN 'color_subtract' THEN [t * 20, 1, d]
       WHEN 'contrast' THEN [0.5 + d * 10, 0.435] WHEN 'sharpen' THEN [d * 10, 1 + t * 10, 2] WHEN 'crop' THEN [d, t, 0.5 + t, 0.5, 0]
@@ -231,8 +231,8 @@ def recipe_active_optics(spark, sf):
     FROM nodes JOIN good USING (recipe_id) WHERE kind <> 'node')""", "nodes", also=_FLAWS))
 def recipe_packed(spark, sf):
     n = sound(spark, sf).select("recipe_id", F.explode("recipe").alias("n")).withColumn("p", RE.packed(F.col("n"))).where("p IS NOT NULL")
-    return n.select("recipe_id", F.col("n.id").cast("long").alias("id"),
-                    F.round(F.aggregate("p", F.lit(0.0), lambda a, b: a + b), 6).alias("total"), F.size("p").cast("long").alias("params"))
+    return n.select("recipe_id", F.col("n.id").cast("long").alias("id"), F.posexplode("p").alias("place", "value")).select(
+        "recipe_id", "id", F.col("place").cast("long").alias("place"), F.round("value", 6).alias("value"))
 
 
 @query("grain_ordinals", fx.sql("""

@@ -218,6 +218,12 @@ def still_rename(spark, sf):
     return ST.rename_stills(store, store.where("seq % 2 = 0").select("name", F.concat("name", F.lit(" 2")).alias("new_name")))
 
 
+@query("still_delete", fx.sql("SELECT name, written, seq FROM store WHERE name NOT IN (SELECT name FROM batch)", "presets", also=_STORE))
+def still_delete(spark, sf):
+    store, batch = _store(spark, sf)
+    return ST.delete_stills(store, batch)
+
+
 _KEYED = {"keyed": "SELECT path, sha256(text) AS content_key FROM files", "placed": "SELECT path, '/store/' || substr(content_key, 1, 12) || '-' || regexp_replace(regexp_extract(path, '[^/]*$'), '\\.raw$', '') || '.raw' AS target FROM keyed"}
 
 

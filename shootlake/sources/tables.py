@@ -42,8 +42,26 @@ def write_pixels(pixels: DataFrame, path: str, buckets: int = 256) -> None:
      .write.mode("overwrite").partitionBy("image_bucket").parquet(path))
 
 
+PROJECT_KEYS = ("project_id", "version", "output_dir", "defaults", "export", "photos")
+
+
+def project_violations(spark: SparkSession, path: str) -> DataFrame:
+    """(line, problem) of what `read_projects` leaves out: lines that are no JSON object, versions it does
+    not know, and keys without a meaning."""
+    lines = spark.read.text(path).where(F.btrim("value") != "").select(F.col("value").alias("line"), F.json_object_keys("value").alias("keys"))
+    version = F.get_json_object("line", "$.version").try_cast("int")
+    strange = F.array_sort(F.array_except("keys", F.array(*[F.lit(k) for k in PROJECT_KEYS])))
+    problems = F.when(F.col("keys").isNull(), F.array(F.lit("malformed"))).otherwise(F.concat(
+        F.when(F.coalesce(version.between(1, 4), F.lit(False)), F.array()).otherwise(F.array(F.lit("version"))),
+        F.transform(strange, lambda k: F.concat(F.lit("unknown key "), k))))
+    return lines.select("line", F.explode(problems).alias("problem"))
+
+
 def read_projects(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(projects, photos) from JSON lines of versions 1 to 4; fields added later take their defaults."""
+    """(projects, photos) from JSON lines of versions 1 to 4; fields added later take their defaults.
+
+    `project_violations` tells of all lines and keys left out.
+    """
     schema = (f"project_id long, version int, output_dir string, defaults {SETTINGS}, export {EXPORT}, "
               f"photos array<struct<photo_id:long,input:string,output:string,overrides:{SETTINGS},"
               f"disabled:array<string>,recipe:{RECIPE},recipe_output:int>>")
