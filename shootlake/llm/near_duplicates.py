@@ -11,10 +11,12 @@ Links are found in two passes, each confirmed on the full sets:
    similarity is estimated by joint maximum likelihood from the registers and the known sizes, and each document verifies
    its most promising partner first. Verified links give components.
 2. Buckets whose members still belong to several components are compared in blocks: members outside the bucket's
-   largest component against all. Pairs whose estimate can reach the threshold are verified, and components are closed again.
+   largest component against all. Pairs whose estimate can reach the threshold are compared by their FINE smallest
+   shingle hashes, which are the whole set of most documents; of pairs found equal enough that way one for each member and
+   component goes on to be verified, of large sets, where that too is an estimate, all. Then components are closed again.
 Nothing is capped: a bucket of any size is split into blocks of bounded size, and pairs within one component are never made.
-A pair at the threshold shares no band with probability (1-0.8^ROWS)^BANDS, about 3e-6, and is estimated below the
-verification bound with a similar one; all else is exact.
+A pair at the threshold shares no band with probability (1-0.8^ROWS)^BANDS, about 3e-6, and is estimated below a
+bound of SLACK deviations with a like one; all else is exact.
 
 Defined results: words are cut at white space and lower-cased in A-Z; a text with fewer words than a shingle is one shingle
 of all its words; null, empty and blank texts have an empty set and link with nothing; rows with null id likewise; repeated
@@ -39,8 +41,8 @@ REGISTERS, BASE, RATE, TOP = 251, 1.001, 20.0, 65535  # a prime number of regist
 ROWS, BANDS = 6, 41
 #: Deviations that an estimate may lie below the threshold and still be verified.
 SLACK = 5.0
-#: Members of a bucket compared at once.
-BLOCK = 256
+#: Members of a bucket compared at once, and hashes of each held for it.
+BLOCK, FINE = 256, 600
 #: Characters handled at once inside a worker.
 CHUNK = 1_000_000
 
@@ -249,54 +251,87 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _open_pairs(members: DataFrame, classes: DataFrame, labels: DataFrame, least: float) -> DataFrame:
-    """Pairs across components within buckets that hold several, whose estimate reaches the bound.
+def fine_similarity(a: list[np.ndarray], b: np.ndarray, na: np.ndarray, nb: int) -> np.ndarray:
+    """Similarity of sets by their FINE smallest 32-bit hashes; of whole sets never less than it is."""
+    lengths = np.array([len(x) for x in a])
+    pool = np.concatenate(a)
+    near = np.minimum(np.searchsorted(b, pool), len(b) - 1)
+    both = np.add.reduceat((b[near] == pool).astype(np.int64), offsets_of(lengths)[:-1])
+    out = both / (lengths + len(b) - both)
+    for k in np.flatnonzero(np.maximum(na, nb) > FINE):
+        union = np.union1d(a[k], b)[:FINE]
+        out[k] = np.isin(union, np.intersect1d(a[k], b, assume_unique=True), assume_unique=True).mean()
+    return out
+
+
+def _fine_rows(docs: DataFrame, words: int) -> DataFrame:
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                flat, offsets = shingle_sets(part.column("text").to_pylist(), words)
+                fine = [np.unique((mixed(flat[a:b]) >> np.uint64(32)).astype(np.uint32))[:FINE].tobytes()
+                        for a, b in zip(offsets[:-1], offsets[1:])]
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(fine, pa.binary())], ["id", "fine"])
+    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, fine binary")
+
+
+def _open_pairs(members: DataFrame, classes: DataFrame, docs: DataFrame, labels: DataFrame, words: int, threshold: float) -> DataFrame:
+    """Pairs across components, within buckets that hold several, that are or may be links.
 
     The blocks of a bucket's members outside its largest component meet the blocks of all its members; a block pair is a
-    group of bounded size.
+    group of bounded size. Of pairs told by whole sets one for each member and component is enough.
     """
+    least = bound(threshold)
+    loose = threshold - SLACK * float(np.sqrt(threshold * (1 - threshold) / FINE))
     named = members.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
     shares = named.groupBy("bucket", "component").agg(F.count("*").alias("share"))
     most = shares.groupBy("bucket").agg(F.max(F.struct("share", "component")).alias("top"), F.sum("share").alias("size"),
                                         F.count("*").alias("parts")).where("parts > 1")
     open_ = settle(named.join(most.select("bucket", F.col("top.component").alias("main"), "size",
                                           (F.col("size") - F.col("top.share")).alias("rest")), "bucket"), "open")
+    fine = settle(_fine_rows(docs.join(open_.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]), words), "fine")
     blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
     at = lambda n: F.pmod(F.xxhash64("id"), blocks(n)).cast("int")
-    wide = open_.select("bucket", "id", "component", "main", "size", "rest")
-    minor = wide.where("component <> main").select(
+    minor = open_.where("component <> main").select(
         "bucket", "id", "component", F.lit(0).alias("side"), at("rest").alias("p"),
         F.explode(F.sequence(F.lit(0), blocks("size") - 1)).alias("q"))
-    every = wide.select("bucket", "id", "component", F.lit(1).alias("side"), at("size").alias("q"),
-                        F.explode(F.sequence(F.lit(0), blocks("rest") - 1)).alias("p"))
-    laid = minor.unionByName(every).join(classes.select("id", "n", "registers"), "id")
+    every = open_.select("bucket", "id", "component", F.lit(1).alias("side"), at("size").alias("q"),
+                         F.explode(F.sequence(F.lit(0), blocks("rest") - 1)).alias("p"))
+    laid = minor.unionByName(every).join(classes.select("id", "n", "registers").join(fine, "id"), "id")
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
         m, e = frame[frame.side == 0], frame[frame.side == 1]
-        found = [(np.zeros(0, np.int64),) * 2 + (np.zeros(0),)]
+        found = []
         if len(m) and len(e):
             rm, re = _matrix(m.registers.tolist()), _matrix(e.registers.tolist())
+            km, ke = band_keys(rm), band_keys(re)
+            bucket = int(frame.bucket.iloc[0])
+            sm, se = ([np.frombuffer(x, np.uint32) for x in side.fine] for side in (m, e))
             im, ie = m.id.to_numpy(), e.id.to_numpy()
             cm, ce, nm, ne = m.component.to_numpy(), e.component.to_numpy(), m.n.to_numpy(float), e.n.to_numpy(float)
             for k in range(len(m)):
-                ok = np.flatnonzero((ce != cm[k]) & (np.minimum(ne, nm[k]) >= least * np.maximum(ne, nm[k])))
+                ok = np.flatnonzero((ce != cm[k]) & (np.minimum(ne, nm[k]) >= threshold * np.maximum(ne, nm[k]) - 1e-9))
+                ok = ok[(re[ok] == rm[k]).sum(axis=1) >= (least - 0.05) * REGISTERS]
+                if len(ok):  # in the first band that the two share
+                    same = ke[ok] == km[k]
+                    ok = ok[ke[ok, same.argmax(axis=1)] == bucket]
                 if len(ok):
                     s = estimate(np.broadcast_to(rm[k], (len(ok), REGISTERS)), re[ok], np.full(len(ok), nm[k]), ne[ok])
-                    ok, s = ok[s >= least], s[s >= least]
-                    found.append((np.maximum(ie[ok], im[k]), np.minimum(ie[ok], im[k]), s))
-        a, b, s = (np.concatenate(c) for c in zip(*found))
-        return pd.DataFrame({"a": a, "b": b, "similar": s}).drop_duplicates(["a", "b"])
+                    ok = ok[s >= least]
+                if not len(ok):
+                    continue
+                s = fine_similarity([se[j] for j in ok], sm[k], ne[ok], int(nm[k]))
+                whole = np.maximum(ne[ok], nm[k]) <= FINE
+                told = np.flatnonzero(whole & (s >= threshold - 1e-9))
+                told = told[np.argsort(-s[told], kind="stable")]
+                _, one = np.unique(ce[ok[told]], return_index=True)
+                for j in [*ok[told[one]], *ok[~whole & (s >= loose)]]:
+                    found.append((max(ie[j], im[k]), min(ie[j], im[k])))
+        return pd.DataFrame({"a": np.array([x for x, _ in found], np.int64), "b": np.array([x for _, x in found], np.int64)})
 
     kind = classes.schema["id"].dataType.simpleString()
-    return laid.groupBy("bucket", "p", "q").applyInPandas(compare, f"a {kind}, b {kind}, similar double").groupBy(
-        "a", "b").agg(F.max("similar").alias("similar"))
-
-
-def _across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs whose ends are in different components, with those."""
-    side = lambda x: labels.select(F.col("id").alias(x), F.col("component").alias(f"c{x}"))
-    return pairs.join(side("a"), "a", "left").join(side("b"), "b", "left").withColumns(
-        {"ca": F.coalesce("ca", "a"), "cb": F.coalesce("cb", "b")}).where("ca <> cb")
+    return laid.groupBy("bucket", "p", "q").applyInPandas(compare, f"a {kind}, b {kind}").distinct()
 
 
 def find(df: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -316,12 +351,8 @@ def find(df: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id
     best = near.groupBy("a").agg(F.max_by("b", F.struct("similar", "b")).alias("b"))
     links = settle(_verified(best, docs, words, percent), "links1")
     labels = components(links)
-    more = settle(_open_pairs(crowded.select("bucket", "id"), classes, labels, least), "pairs2")
-    better = more.groupBy("a").agg(F.max_by("b", F.struct("similar", "b")).alias("b"))
-    links2 = settle(links.unionByName(_verified(better, docs, words, percent)), "links2")
-    labels = components(links2)
-    rest = _across(more, labels).select("a", "b")
-    labels = components(links2.unionByName(_verified(rest, docs, words, percent)))
+    more = _open_pairs(crowded.select("bucket", "id"), classes, docs, labels, words, percent / 100)
+    labels = components(links.unionByName(_verified(settle(more, "pairs2"), docs, words, percent)))
 
     named = firsts.join(labels.withColumnRenamed("id", "first"), "first", "left").select(
         "print_a", "print_b", "n", F.coalesce("component", "first").alias("component"))
