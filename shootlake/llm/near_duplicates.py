@@ -214,7 +214,9 @@ def _estimated(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Pairs whose full sets meet the threshold."""
+    """Pairs whose full sets meet the threshold. Texts move once, to find those that the pairs name."""
+    named = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    texts = settle(docs.join(named, "id", "left_semi").dropDuplicates(["id"]), "texts")
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
@@ -229,7 +231,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Da
                 good = pa.array(good, pa.bool_())
                 yield pa.RecordBatch.from_arrays([part.column("a").filter(good), part.column("b").filter(good)], ["a", "b"])
     kind = docs.schema["id"].dataType.simpleString()
-    text = lambda x: docs.select(F.col("id").alias(x), F.col("text").alias(f"t{x}"))
+    text = lambda x: texts.select(F.col("id").alias(x), F.col("text").alias(f"t{x}"))
     return pairs.join(text("a"), "a").join(text("b"), "b").mapInArrow(run, f"a {kind}, b {kind}")
 
 
@@ -348,7 +350,7 @@ def find(df: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id
     pairs = crowded.where("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b")).distinct()
 
     near = _estimated(pairs, classes, least)
-    best = near.groupBy("a").agg(F.max_by("b", F.struct("similar", "b")).alias("b"))
+    best = settle(near.groupBy("a").agg(F.max_by("b", F.struct("similar", "b")).alias("b")), "pairs1")
     links = settle(_verified(best, docs, words, percent), "links1")
     labels = components(links)
     more = _open_pairs(crowded.select("bucket", "id"), classes, docs, labels, words, percent / 100)
