@@ -152,9 +152,17 @@ def recipe_move(spark, sf):
     return outcome(RE.edit(sound(spark, sf), RE.move_after(F.lit(1), F.col("recipe_output"))))
 
 
-@query("recipe_rewire")
+# The nodes from the third on no longer stand below the first two: each part is checked as a chain of its own.
+_REWIRED = edited_sql("""
+  SELECT recipe_id, rid, kind, bypassed, CASE WHEN rid = 3 THEN 0 ELSE in1 END AS in1, in2, output FROM nodes
+  WHERE recipe_id IN (SELECT recipe_id FROM nodes WHERE rid = 3)""")
+_REWIRED["spoilt"] = f"""SELECT DISTINCT recipe_id // 2 AS recipe_id FROM ({checked(
+    "(SELECT * REPLACE (recipe_id * 2 + CAST(rid >= 3 AS BIGINT) AS recipe_id) FROM edited)")}) WHERE e_domain OR e_optics OR e_geometry"""
+
+
+@query("recipe_rewire", fx.sql(_OUTCOME, "nodes", also=_REWIRED))
 def recipe_rewire(spark, sf):
-    """The third node reads the source; branches above it fall away. Checked in the tests."""
+    """The third node reads the source; what stood above it stays, unread."""
     return outcome(RE.edit(sound(spark, sf), RE.rewire(F.lit(3), F.lit(0))))
 
 

@@ -117,6 +117,26 @@ def test_projects_take_defaults(spark, tmp_path):
     row = projects.first()
     assert projects.count() == 1 and row["export"]["format"] == "jpeg" and row["export"]["quality"] == 92
     assert photos.first()["overrides"] == {} and photos.first()["disabled"] == []
+    with open(tmp_path / "p.json", "a") as more:
+        more.write('\n{"project_id": 3, "versi\n\n{"version": 2, "mood": 1, "zeal": 2}\n')
+    problems = {(r["line"][:16], r["problem"]) for r in tables.project_violations(spark, str(tmp_path / "p.json")).collect()}
+    assert {p for _, p in problems} == {"version", "malformed", "unknown key mood", "unknown key zeal"} and len(problems) == 4
+
+
+def test_render_keys_follow_recipe_and_luts(spark):
+    def key(exposure, lut, contents):
+        node = recipes.node("film", F.array(F.lit(0)), F.create_map(F.lit("lut_strength"), F.lit(exposure)), 1.0, F.lit(1)).withField("lut", F.lit(lut))
+        df = spark.range(1).select(F.array(node).cast(tables.RECIPE).alias("r"))
+        eff = recipes.effective(F.col("r"), F.lit(1))
+        luts = settings.lut_identities(settings.active_luts(F.col("r")), F.create_map(*[F.lit(x) for kv in contents.items() for x in kv]))
+        return df.select(settings.graph_render_key(eff, luts, F.lit("jpeg"))).first()[0]
+    keys = [key(1.0, "a", {"a": "1"}), key(0.5, "a", {"a": "1"}), key(1.0, "b", {"a": "1"}), key(1.0, "a", {"a": "2"})]
+    assert len(set(keys)) == 4 and keys[0] == key(1.0, "a", {"a": "1"})
+
+
+def test_deleted_stills(spark):
+    held = spark.createDataFrame([("a", 1), ("b", 2)], "name string, written long")
+    assert [r["name"] for r in store.delete_stills(held, spark.createDataFrame([("b",), ("z",)], "name string")).collect()] == ["a"]
 
 
 def test_results_sink(spark, tmp_path):
