@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,9 +26,6 @@ def streamed_bursts(captures: DataFrame, within: int = bursts.WITHIN_SECONDS, di
     arrives after a later one has been numbered gets a burst of its own.
     """
     def number(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
         last = state.get if state.exists else None
         rows = pd.concat([b for b in batches if len(b)])
         out, last = _number(rows.sort_values("seq"), last, within, distance)
@@ -41,21 +39,21 @@ def streamed_bursts(captures: DataFrame, within: int = bursts.WITHIN_SECONDS, di
 
 
 def _number(rows: pd.DataFrame, last: tuple | None, within: int, distance: int) -> tuple[pd.DataFrame, tuple]:
-    numbers, places = [], []
-    for seq, seconds, signature in rows[["seq", "seconds", "signature"]].astype(object).itertuples(index=False):
-        seconds = None if pd.isna(seconds) else int(seconds)
-        signature = None if pd.isna(signature) else int(signature)
-        if last is None:
-            burst, place = 0, 0
-        else:
-            was, sign, burst, place, at = last
-            bits = 0 if sign is None or signature is None else ((sign ^ signature) & (1 << 64) - 1).bit_count()
-            apart = was is None or seconds is None or abs(seconds - was) > within or bits > distance
-            burst, place = (burst + 1, 0) if apart or seq < at else (burst, place + 1)
-        last = (seconds, signature, burst, place, int(seq))
-        numbers.append(burst)
-        places.append(place)
-    return rows.assign(burst=numbers, place=places), last
+    seq, sec = rows["seq"].to_numpy(), rows["seconds"].to_numpy(dtype=float, na_value=np.nan)
+    known = rows["signature"].notna().to_numpy()
+    sign = rows["signature"].fillna("0").astype("int64").to_numpy()
+    was, mark, burst, place, at = last or (None, None, 0, -1, None)
+    before = np.append(np.nan if was is None else was, sec[:-1])
+    mark_known, marks = np.append(mark is not None, known[:-1]), np.append(np.int64(mark or 0), sign[:-1])
+    bits = np.where(known & mark_known, np.bitwise_count((sign ^ marks).view("uint64")), 0)  # a missing signature is no evidence
+    opens = ~(np.abs(sec - before) <= within) | (bits > distance)
+    opens[0] = last is not None and bool(opens[0] or seq[0] < at)  # rows are sorted: only the first can come late
+    index = np.arange(len(rows))
+    opened = np.maximum.accumulate(np.where(opens, index, -1))
+    bursts_, places = burst + np.cumsum(opens), np.where(opened >= 0, index - opened, index + place + 1)
+    last = (None if np.isnan(sec[-1]) else int(sec[-1]), int(sign[-1]) if known[-1] else None,
+            int(bursts_[-1]), int(places[-1]), int(seq[-1]))
+    return rows.assign(burst=bursts_, place=places), last
 
 
 def streamed_verdicts(reports: DataFrame, late: str = "10 minutes") -> DataFrame:
