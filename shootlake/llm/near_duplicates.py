@@ -312,24 +312,26 @@ def _open_pairs(members: DataFrame, classes: DataFrame, docs: DataFrame, labels:
             sm, se = ([np.frombuffer(x, np.uint32) for x in side.fine] for side in (m, e))
             im, ie = m.id.to_numpy(), e.id.to_numpy()
             cm, ce, nm, ne = m.component.to_numpy(), e.component.to_numpy(), m.n.to_numpy(float), e.n.to_numpy(float)
+            places = []
             for k in range(len(m)):
                 ok = np.flatnonzero((ce != cm[k]) & (np.minimum(ne, nm[k]) >= threshold * np.maximum(ne, nm[k]) - 1e-9))
                 ok = ok[(re[ok] == rm[k]).sum(axis=1) >= (least - 0.05) * REGISTERS]
                 if len(ok):  # in the first band that the two share
-                    same = ke[ok] == km[k]
-                    ok = ok[ke[ok, same.argmax(axis=1)] == bucket]
-                if len(ok):
-                    s = estimate(np.broadcast_to(rm[k], (len(ok), REGISTERS)), re[ok], np.full(len(ok), nm[k]), ne[ok])
-                    ok = ok[s >= least]
-                if not len(ok):
-                    continue
-                s = fine_similarity([se[j] for j in ok], sm[k], ne[ok], int(nm[k]))
-                whole = np.maximum(ne[ok], nm[k]) <= FINE
-                told = np.flatnonzero(whole & (s >= threshold - 1e-9))
-                told = told[np.argsort(-s[told], kind="stable")]
-                _, one = np.unique(ce[ok[told]], return_index=True)
-                for j in [*ok[told[one]], *ok[~whole & (s >= loose)]]:
-                    found.append((max(ie[j], im[k]), min(ie[j], im[k])))
+                    ok = ok[ke[ok, (ke[ok] == km[k]).argmax(axis=1)] == bucket]
+                places.append(ok)
+            row, col = np.repeat(np.arange(len(m)), [len(x) for x in places]), np.concatenate(places)
+            for at in range(0, len(row), 20_000):
+                i, j = row[at:at + 20_000], col[at:at + 20_000]
+                good = estimate(rm[i], re[j], nm[i], ne[j]) >= least
+                i, j = i[good], j[good]
+                for k in np.unique(i):
+                    ok = j[i == k]
+                    s = fine_similarity([se[x] for x in ok], sm[k], ne[ok], int(nm[k]))
+                    whole = np.maximum(ne[ok], nm[k]) <= FINE
+                    told = np.flatnonzero(whole & (s >= threshold - 1e-9))
+                    told = told[np.argsort(-s[told], kind="stable")]
+                    _, one = np.unique(ce[ok[told]], return_index=True)
+                    found += [(max(ie[x], im[k]), min(ie[x], im[k])) for x in [*ok[told[one]], *ok[~whole & (s >= loose)]]]
         return pd.DataFrame({"a": np.array([x for x, _ in found], np.int64), "b": np.array([x for _, x in found], np.int64)})
 
     kind = classes.schema["id"].dataType.simpleString()
