@@ -216,7 +216,7 @@ def _estimated(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
 def _verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """Pairs whose full sets meet the threshold. Texts move once, to find those that the pairs name."""
     named = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    texts = settle(docs.join(named, "id", "left_semi").dropDuplicates(["id"]), "texts")
+    texts = settle(docs.join(named.hint("merge"), "id", "left_semi").dropDuplicates(["id"]), "texts")  # one plan at all sizes
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
@@ -292,7 +292,7 @@ def _open_pairs(members: DataFrame, classes: DataFrame, docs: DataFrame, labels:
                                         F.count("*").alias("parts")).where("parts > 1")
     open_ = settle(named.join(most.select("bucket", F.col("top.component").alias("main"), "size",
                                           (F.col("size") - F.col("top.share")).alias("rest")), "bucket"), "open")
-    fine = settle(_fine_rows(docs.join(open_.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]), words), "fine")
+    fine = settle(_fine_rows(docs.join(open_.select("id").distinct().hint("merge"), "id", "left_semi").dropDuplicates(["id"]), words), "fine")
     blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
     at = lambda n: F.pmod(F.xxhash64("id"), blocks(n)).cast("int")
     minor = open_.where("component <> main").select(
