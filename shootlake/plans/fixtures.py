@@ -6,7 +6,7 @@ the inputs of the registered queries scale with the tables they come from.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shootlake.operators import catalogue
@@ -288,38 +288,78 @@ _NODE_PARAMS = {
 }
 
 
-def recipes(spark: SparkSession, sf: str) -> DataFrame:
-    """(recipe_id, recipe, recipe_output): the lines of an order as a chain of nodes.
+_LINE = ("l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_tax", "l_returnflag")
+_PARTS = 256  # consecutive part keys that make one chunk of an order too large to gather
 
-    Only orders of at most 64 lines are gathered into a recipe, counted beforehand, so one giant order
-    never meets in one task; it has no recipe, as a recipe holds at most 64 nodes.
-    """
-    from shootlake.functions.recipe_kinds import MAX_NODES
-    from shootlake.sources.tables import RECIPE
-    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_tax", "l_returnflag")
-    small = lines.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= MAX_NODES)
-    rows = lines.join(small, "l_orderkey").groupBy("l_orderkey", "n").agg(F.array_sort(F.collect_list(F.struct(
-        "l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_tax", "l_returnflag"))).alias("lines"))
+
+def _order_lines(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """The lines, and the number of lines of each order."""
+    lines = table(spark, sf, "lineitem").select("l_orderkey", *_LINE)
+    return lines, lines.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _as_nodes(placed: DataFrame) -> DataFrame:
+    """(recipe_id, n, broken, node) from (recipe_id, n, i, l): line `l` in place `i` of its order."""
     params = "CASE kind " + " ".join(
         f"WHEN '{k}' THEN map(" + ", ".join(f"'{p}', cast({e} as double)" for p, e in ps.items()) + ")" for k, ps in _NODE_PARAMS.items()
     ) + " ELSE cast(map() as map<string,double>) END"
     kinds = "array(" + ", ".join(f"'{k}'" for k in KIND_BY_PART) + ")"
-    flat = rows.selectExpr("l_orderkey AS recipe_id", "n", "posexplode(lines) AS (i, l)").selectExpr(
+    flat = placed.selectExpr(
         "recipe_id", "n", "i + 1 AS id", "l.l_quantity AS q", "l.l_discount AS d", "l.l_tax AS t", "l.l_returnflag = 'R' AS bypassed",
         f"CASE WHEN l.l_suppkey % 17 = 0 THEN 'node' ELSE {kinds}[cast(l.l_partkey % 13 as int)] END AS kind",
         "CASE WHEN recipe_id % 7 = 0 AND i = 0 THEN cast(recipe_id div 7 % 6 as int) ELSE -1 END AS broken")
-    nodes = flat.selectExpr("recipe_id", "n", "broken", f"""named_struct(
+    return flat.selectExpr("recipe_id", "n", "broken", f"""named_struct(
         'id', CASE WHEN broken = 0 THEN 0 ELSE id END, 'kind', CASE WHEN broken = 4 THEN 'mystery' ELSE kind END,
         'params', CASE WHEN broken = 3 THEN map('bogus', 1D) ELSE {params} END,
         'points', CASE WHEN kind = 'curves' AND broken <> 4 THEN map('red', array(0D, 0D, 0.5D, 0.5D + d, 1D, 1D)) ELSE cast(map() as map<string,array<double>>) END,
         'lut', CASE WHEN kind = 'film' AND q % 2 = 0 THEN 'luts/film.cube' END, 'opacity', CASE WHEN kind = 'blend' THEN d * 10 ELSE 1D END,
         'inputs', CASE WHEN broken = 2 THEN cast(array() as array<int>) WHEN broken = 1 THEN array(5000) WHEN kind = 'blend' THEN array(id - 1, 0) ELSE array(id - 1) END,
         'bypassed', bypassed, 'kind_states', null) AS node""")
+
+
+def recipes(spark: SparkSession, sf: str) -> DataFrame:
+    """(recipe_id, recipe, recipe_output): the lines of an order as a chain of nodes.
+
+    Only orders of at most 64 lines are gathered into a recipe, counted beforehand, so one giant order
+    never meets in one task; the others are in `oversized`, and their nodes row by row in `recipe_nodes`.
+    """
+    from shootlake.functions.recipe_kinds import MAX_NODES
+    from shootlake.sources.tables import RECIPE
+    lines, counts = _order_lines(spark, sf)
+    rows = lines.join(counts.where(F.col("n") <= MAX_NODES), "l_orderkey").groupBy("l_orderkey", "n").agg(
+        F.array_sort(F.collect_list(F.struct(*_LINE))).alias("lines"))
+    nodes = _as_nodes(rows.selectExpr("l_orderkey AS recipe_id", "n", "posexplode(lines) AS (i, l)"))
     return nodes.groupBy("recipe_id", "n").agg(
         F.array_sort(F.collect_list("node"), lambda a, b: a["id"] - b["id"]).cast(RECIPE).alias("recipe"), F.max("broken").alias("broken")).select(
         "recipe_id", "recipe", F.expr("cast(CASE WHEN broken = 5 THEN 9999 WHEN recipe_id % 5 = 0 AND n > 1 THEN n - 1 ELSE n END as int)").alias("recipe_output"))
 
 
+def oversized(spark: SparkSession, sf: str) -> DataFrame:
+    """(recipe_id, n): the orders of more lines than a recipe holds, from their counts alone."""
+    from shootlake.functions.recipe_kinds import MAX_NODES
+    return _order_lines(spark, sf)[1].where(F.col("n") > MAX_NODES).withColumnRenamed("l_orderkey", "recipe_id")
+
+
+def recipe_nodes(spark: SparkSession, sf: str) -> DataFrame:
+    """(recipe_id, n): every node `n` of every order, whatever its size.
+
+    Lines of oversized orders are numbered by chunks of part keys: the lines within a chunk, and the chunks by
+    one summary row each.
+    """
+    from shootlake.functions.recipe_kinds import MAX_NODES
+    from shootlake.sources.tables import NODE
+    gathered = recipes(spark, sf).select("recipe_id", F.explode("recipe").alias("n"))
+    lines = _order_lines(spark, sf)[0].withColumn("chunk", F.expr(f"coalesce(l_partkey div {_PARTS}, {-1 << 62})"))
+    order = Window.partitionBy("l_orderkey")
+    chunks = lines.groupBy("l_orderkey", "chunk").agg(F.count(F.lit(1)).alias("held")).select(
+        "l_orderkey", "chunk", F.sum("held").over(order).alias("n"),
+        (F.sum("held").over(order.orderBy("chunk").rowsBetween(Window.unboundedPreceding, 0)) - F.col("held")).alias("before"))
+    placed = lines.join(chunks.where(F.col("n") > MAX_NODES), ["l_orderkey", "chunk"]).select(
+        F.col("l_orderkey").alias("recipe_id"), "n", F.struct(*_LINE).alias("l"),
+        (F.col("before") + F.row_number().over(Window.partitionBy("l_orderkey", "chunk").orderBy(*_LINE)) - 1).cast("int").alias("i"))
+    return gathered.unionByName(_as_nodes(placed).select("recipe_id", F.col("node").cast(NODE).alias("n")))
+
+
 def _recipe_sql() -> dict[str, tuple[tuple[str, ...], str]]:
     kinds = "[" + ", ".join(f"'{k}'" for k in KIND_BY_PART) + "]"
     return {

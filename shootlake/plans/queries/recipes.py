@@ -25,7 +25,7 @@ def _recipes(spark, sf):
 
 
 def sound(spark, sf):
-    """Well-formed recipes only."""
+    """Well-formed recipes only; an order of more than 64 lines is none."""
     return _recipes(spark, sf).withColumn("errors", RE.errors(F.col("recipe"), F.col("recipe_output"))).where("size(errors) = 0").drop("errors")
 
 
@@ -46,12 +46,13 @@ _FLAWS = {
 @query("recipe_errors", fx.sql("SELECT recipe_id, errors FROM sentence", "nodes", also=_FLAWS))
 def recipe_errors(spark, sf):
     r = _recipes(spark, sf)
-    return r.select("recipe_id", F.array_join(RE.errors(F.col("recipe"), F.col("recipe_output")), " ").alias("errors"))
+    large = fx.oversized(spark, sf).select("recipe_id", F.lit("size").alias("errors"))
+    return r.select("recipe_id", F.array_join(RE.errors(F.col("recipe"), F.col("recipe_output")), " ").alias("errors")).unionByName(large)
 
 
 @query("recipe_flat", fx.sql("SELECT recipe_id, id, kind, bypassed, round(opacity, 6) AS opacity FROM nodes", "nodes"))
 def recipe_flat(spark, sf):
-    n = _recipes(spark, sf).select("recipe_id", F.explode("recipe").alias("n"))
+    n = fx.recipe_nodes(spark, sf)
     return n.select("recipe_id", F.col("n.id").cast("long").alias("id"), "n.kind", "n.bypassed", F.round("n.opacity", 6).alias("opacity"))
 
 
@@ -60,7 +61,7 @@ def recipe_flat(spark, sf):
   UNION ALL SELECT recipe_id, id, unnest(CASE kind0 """ + " ".join(
     f"WHEN '{k}' THEN [{', '.join(repr(p) for p in ps)}]" for k, ps in fx._NODE_PARAMS.items()) + " ELSE CAST([] AS VARCHAR[]) END) FROM nodes WHERE broken = 4", "nodes"))
 def recipe_param_violations(spark, sf):
-    return RE.violations(_recipes(spark, sf), "recipe_id").withColumn("node", F.col("node").cast("long"))
+    return RE.violations(fx.recipe_nodes(spark, sf).select("recipe_id", F.array("n").alias("recipe")), "recipe_id").withColumn("node", F.col("node").cast("long"))
 
 
 def text(nodes):

@@ -212,3 +212,25 @@ def test_name_matches_find_every_pair(spark):
     got = {(r["asked"], r["name"]) for r in lenses._matches(
         spark.createDataFrame([(a,) for a in asked], "asked string"), spark.createDataFrame([(n,) for n in names], "name string")).collect()}
     assert got == {(a, n) for a in asked for n in names if a == n or (len(n) >= 5 and (a in n or n in a))}
+
+
+def test_orders_above_the_size_of_a_recipe(spark, tmp_path):
+    import duckdb
+
+    import __spark_entry__ as entry
+    from tests.oracle import compare
+    rng = random.Random(3)
+    rows = [(order, rng.randrange(1, 3000), rng.randrange(1, 60), float(rng.randrange(1, 50)), rng.randrange(11) / 100, rng.randrange(9) / 100, rng.choice("RAN"))
+            for order, n in ((1, 3), (2, 64), (3, 65), (14, 700), (21, 90), (28, 66), (35, 2)) for _ in range(n)]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_quantity double, l_discount double, l_tax double, l_returnflag string"
+                          ).repartition(3).write.parquet(f"{tmp_path}/lineitem.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    for name in ("recipe_flat", "recipe_param_violations"):
+        ok, note = compare(spark, con, str(tmp_path), name, entry.queries()[name], entry.oracle_sql()[name])
+        assert ok, note
+    got = {r["recipe_id"]: r["errors"] for r in entry.queries()["recipe_errors"](spark, str(tmp_path)).collect()}
+    want = dict(con.execute(entry.oracle_sql()["recipe_errors"]).fetchall())
+    assert got == {i: "size" if i in (3, 14, 21, 28) else e for i, e in want.items()}
+    kept = {r["recipe_id"] for r in entry.queries()["recipe_effective"](spark, str(tmp_path)).collect()}
+    assert kept == {i for i, e in got.items() if not e}
