@@ -4,7 +4,10 @@ Three fixed patterns give the base spans: assignments to password-like names, ac
 Beyond them, long strings of key-like characters are candidates: a window slides over each, character counts are kept by
 adding the character that comes in and taking away the one that leaves, and the window's Shannon entropy follows from
 the running sum of c*log2(c). A candidate whose best window reaches the bound of its character class is a secret, unless
-an allow-list pattern matches it or a base span covers it.
+an allow-list pattern matches it or a base span covers it. A candidate of 16 to 19 characters is one window, its bound
+lowered as the highest entropy of so few characters is. The bounds of the classes without hexadecimal or all three sorts
+of characters let about one in a hundred random strings of a window's length pass. Digits alone and letters of one case
+alone, with or without separators, are of no class: numbers and words reach the entropy of random strings of that length.
 
 Spans are (start, end, kind) in code points, end exclusive, ordered by start and then by kind. Matches are found left to
 right without overlap, kind by kind; their places follow from the lengths of matches and of the stretches between.
@@ -27,11 +30,14 @@ HEX = "[0-9a-f]{32,}"
 KINDS = ("assign", "access", "hex", "entropy")
 
 WINDOW = 20
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
-#: Character classes: (pattern a candidate matches, least entropy in bits of its best window).
+CANDIDATE = r"[A-Za-z0-9+/_=-]{16,}"
+#: Character classes: (pattern a candidate matches, least entropy in bits of its best window, whether names of any length are let go).
 CLASSES = (
-    (r"^(?=.*[0-9])(?=.*[a-f])[0-9a-f]+$|^(?=.*[0-9])(?=.*[A-F])[0-9A-F]+$", 3.0),
-    (r"^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[A-Za-z0-9+/_=-]+$", 3.7),
+    (r"^(?=.*[0-9])(?=.*[a-f])[0-9a-f]+$|^(?=.*[0-9])(?=.*[A-F])[0-9A-F]+$", 3.0, False),
+    (r"^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[A-Za-z0-9+/_=-]+$", 3.7, False),
+    (r"^(?=.*[0-9])(?=.*[a-z])[a-z0-9+/_=-]+$", 3.4, True),
+    (r"^(?=.*[0-9])(?=.*[A-Z])[A-Z0-9+/_=-]+$", 3.3, True),
+    (r"^(?=.*[a-z])(?=.*[A-Z])[A-Za-z+/_=-]+$", 3.6, True),
 )
 #: Candidates that are no secrets: UUIDs, paths of words, placeholders.
 ALLOWED = (
@@ -39,6 +45,13 @@ ALLOWED = (
     r"^[a-zA-Z]*(?:[/_-]+(?:[a-zA-Z]+|[0-9]{1,4}))+$",
     r"(?i)example|placeholder|xxxxxx|0123456789",
 )
+#: Slugs and identifiers: pieces of letters and then digits, numbers, ordinals and names like utf8mb4 between separators; words run together by capitals.
+_PIECE = "(?:[a-z]+[0-9]{0,4}|[A-Z]+[0-9]{0,4}|[A-Z][a-z]+[0-9]{0,4}|[0-9]+|[0-9]{1,4}[a-z]{1,3}|[a-z]{2,5}[0-9]{1,2}[a-z]{2,5}[0-9]?)"
+_HUMP = "(?:(?=[AEIOUY]|[A-Z][a-z]*[aeiouy])[A-Z][a-z]{2,}|As|At|By|Db|Do|Id|If|In|Is|It|Js|My|No|Of|On|Or|To|Up|Css|Html|Https?|Sql|Xml)"
+_NAMES = (
+    f"^(?!.{{513}})[+/_=-]*{_PIECE}(?:[+/_=-]+{_PIECE})*[+/_=-]*$",
+    f"^(?!.{{513}})(?:[a-z]{{2,}})?(?:[A-Z]{{2,4}}(?=[A-Z][a-z]))?{_HUMP}+(?:[A-Z]{{2,4}})?[0-9]{{0,4}}$",
+)
 
 
 def _spans(text: Column, pattern: str, kind: int) -> Column:
@@ -63,7 +76,7 @@ SPANS = "array<struct<start:int,kind:int,end:int,found:string>>"
 
 
 def best_entropy(candidate: Column) -> Column:
-    """Highest Shannon entropy, in bits, over the windows of a candidate, by incremental counts."""
+    """Highest Shannon entropy, in bits, over the windows of a candidate, by incremental counts; a shorter one is one window."""
     bits = lambda c: F.when(c > 1, c * F.log2(c)).otherwise(F.lit(0.0))
 
     def slide(codes: Column) -> Column:
@@ -77,7 +90,8 @@ def best_entropy(candidate: Column) -> Column:
                     bits(more + 1) - bits(more) + F.when(go >= 0, bits(less - 1) - bits(less)).otherwise(F.lit(0.0)))
                 counts = F.when(come == go, s["counts"]).otherwise(F.transform(
                     s["counts"], lambda c, k: c + F.when(k == come, 1).when(k == go, -1).otherwise(0)))
-                full = F.when(i >= WINDOW - 1, F.log2(F.lit(float(WINDOW))) - total / WINDOW).otherwise(F.lit(0.0))
+                width = F.least(F.lit(WINDOW), F.size(codes)).cast("double")
+                full = F.when(i >= width - 1, F.log2(width) - total / width).otherwise(F.lit(0.0))
                 return F.struct(counts.alias("counts"), total.alias("sum"), F.greatest(s["best"], full).alias("best"))
             return let(F.struct(come.alias("come"), go.alias("go")), moved)
         start = F.struct(F.array_repeat(F.lit(0), 128).alias("counts"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"))
@@ -87,12 +101,20 @@ def best_entropy(candidate: Column) -> Column:
 
 def _strange(found: Column) -> Column:
     """Whether a candidate's entropy is too high for its character class."""
-    verdict = F.lit(False)
-    for pattern, least in reversed(CLASSES):
-        verdict = F.when(F.rlike(found, F.lit(pattern)), best_entropy(found) >= least).otherwise(verdict)
+    least, named = F.lit(None).cast("double"), F.lit(False)
+    for pattern, bound, lets_names in reversed(CLASSES):
+        least = F.when(F.rlike(found, F.lit(pattern)), F.lit(bound)).otherwise(least)
+        if lets_names:
+            named = named | F.rlike(found, F.lit(pattern))
+    short = F.length(found) < WINDOW
+    share = F.when(short, F.log2(F.length(found)) / F.log2(F.lit(float(WINDOW)))).otherwise(F.lit(1.0))
+    scored = let(least, lambda x: F.when(x.isNotNull(), best_entropy(found) >= x * share - F.when(short, 1e-9).otherwise(0.0)).otherwise(F.lit(False)))
     for pattern in ALLOWED:
-        verdict = ~F.rlike(found, F.lit(pattern)) & verdict
-    return verdict
+        scored = ~F.rlike(found, F.lit(pattern)) & scored
+    names = F.lit(False)
+    for pattern in _NAMES:
+        names = names | F.rlike(found, F.lit(pattern))
+    return ~((short | named) & names) & scored
 
 
 def spans_of(text: Column) -> Column:
