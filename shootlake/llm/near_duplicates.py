@@ -253,8 +253,13 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def fine_hashes(flat: np.ndarray) -> np.ndarray:
+    """The FINE smallest hashes of a set, all 64 bits kept: shingles equal here are equal when verified."""
+    return np.unique(mixed(flat))[:FINE]
+
+
 def fine_similarity(a: list[np.ndarray], b: np.ndarray, na: np.ndarray, nb: int) -> np.ndarray:
-    """Similarity of sets by their FINE smallest 32-bit hashes; of whole sets never less than it is."""
+    """Similarity of sets by their FINE smallest hashes; of whole sets as verification finds it."""
     lengths = np.array([len(x) for x in a])
     pool = np.concatenate(a)
     near = np.minimum(np.searchsorted(b, pool), len(b) - 1)
@@ -272,8 +277,7 @@ def _fine_rows(docs: DataFrame, words: int) -> DataFrame:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
                 flat, offsets = shingle_sets(part.column("text").to_pylist(), words)
-                fine = [np.unique((mixed(flat[a:b]) >> np.uint64(32)).astype(np.uint32))[:FINE].tobytes()
-                        for a, b in zip(offsets[:-1], offsets[1:])]
+                fine = [fine_hashes(flat[a:b]).tobytes() for a, b in zip(offsets[:-1], offsets[1:])]
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(fine, pa.binary())], ["id", "fine"])
     return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, fine binary")
 
@@ -309,7 +313,7 @@ def _open_pairs(members: DataFrame, classes: DataFrame, docs: DataFrame, labels:
             rm, re = _matrix(m.registers.tolist()), _matrix(e.registers.tolist())
             km, ke = band_keys(rm), band_keys(re)
             bucket = int(frame.bucket.iloc[0])
-            sm, se = ([np.frombuffer(x, np.uint32) for x in side.fine] for side in (m, e))
+            sm, se = ([np.frombuffer(x, np.uint64) for x in side.fine] for side in (m, e))
             im, ie = m.id.to_numpy(), e.id.to_numpy()
             cm, ce, nm, ne = m.component.to_numpy(), e.component.to_numpy(), m.n.to_numpy(float), e.n.to_numpy(float)
             places = []

@@ -143,6 +143,23 @@ def test_blocks_within_buckets(spark, monkeypatch):
     assert got == sorted(brute_components(rows, 2, 80))
 
 
+def test_whole_sets_are_told_exactly():
+    rng = np.random.default_rng(4)
+    pool = rng.permutation(np.unique(rng.integers(0, 2 ** 63, 400_000, dtype=np.uint64)))
+    top = near_duplicates.mixed(pool) >> np.uint64(32)
+    order = np.argsort(top, kind="stable")
+    k = np.flatnonzero(top[order][1:] == top[order][:-1])[0]
+    twins = pool[order[k:k + 2]]  # equal in their first 32 bits
+    rest = pool[~np.isin(pool, twins)]
+
+    def similar(a, b):
+        return near_duplicates.fine_similarity([near_duplicates.fine_hashes(a)], near_duplicates.fine_hashes(b), np.array([len(a)]), len(b))[0]
+    shared, more, other = np.append(rest[:478], twins), rest[478:538], rest[538:598]
+    assert similar(np.append(shared, more), np.append(shared, other)) == 480 / 600  # not 479 of 599
+    a, b = np.concatenate((rest[:478], twins[:1], more)), np.concatenate((rest[:478], twins[1:], other))
+    assert similar(a, b) == 478 / 600  # not 479 of 599
+
+
 def test_no_documents(none):
     assert near_duplicates.find(none).count() == 0
 
