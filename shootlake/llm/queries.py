@@ -10,8 +10,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from shootlake.llm import (
-    chat_format, decontamination, framed_ids, near_duplicates, quality_model, quality_rules, secret_scans, sentence_pieces,
-    token_counts, warc_archive)
+    chat_format, decontamination, exact_top_k, framed_ids, hard_negatives, merkle_manifest, near_duplicates, quality_model,
+    quality_rules, secret_scans, sentence_pieces, token_counts, warc_archive)
 from shootlake.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -193,3 +193,108 @@ SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, r.c AS componen
 FROM documents d JOIN (SELECT a, min(b) AS c FROM reach GROUP BY a) r ON r.a = d.doc_id
 LEFT JOIN n ON n.doc_id = d.doc_id
 """
+
+
+@query
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    found = hard_negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
+    return found.select(F.col("anchor").alias("anchor_id"), F.col("positive").alias("positive_id"), "rank",
+                        F.col("negative").alias("negative_id"), "positive_score", "negative_score")
+
+
+#: Vectors that take part, as whole numbers, and the inner product of two of them.
+_VECTORS = """
+v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: coalesce(NOT isfinite(x), true))) = 0)
+"""
+_PRODUCT = "CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: coalesce(p[1] * p[2], 0))) AS BIGINT)"
+
+ORACLE["op11_hard_negatives"] = f"""
+WITH {_VECTORS.format(scale=256)},
+l AS (
+  SELECT vec_id, v, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label FROM v WHERE label IS NOT NULL),
+s AS (
+  SELECT q.vec_id AS anchor_id, c.vec_id, q.label = c.label AS same, {_PRODUCT} AS score
+  FROM l q JOIN l c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
+p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id)
+WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 5
+"""
+
+
+@query
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = lambda text: [F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars"), text]
+    capitals = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    leaf = merkle_manifest.leaf_of(fields(F.col("text")))
+    changed = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    tampered = F.when(changed, merkle_manifest.leaf_of(fields(F.translate("text", capitals, capitals.lower())))).otherwise(leaf)
+    manifest = merkle_manifest.build(table(spark, sf_dir, "documents"), leaf, F.col("source"), "doc_id", {"tampered": tampered})
+    proofs = manifest.proofs()
+    return proofs.select(
+        F.col("id").alias("doc_id"), "leaf", "subroot", "root", merkle_manifest.proof_digest(F.col("path")).alias("proof_sha256"),
+        merkle_manifest.folded(F.col("tampered"), F.col("path")).alias("folded_root")).withColumn(
+        "verified", F.col("folded_root") == F.col("root"))
+
+
+_FRAMED = " || ".join(
+    f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in ("doc_id", "source", "lang", "n_chars", "{text}"))
+_BEFORE, _AFTER = "array_to_string(hs[1:w.i % 16], '')", "array_to_string(hs[w.i % 16 + 2:], '')"
+_TREE = """
+{lv} AS (
+  SELECT 0 AS lvl, * FROM ({bottom})
+  UNION ALL SELECT lvl + 1, g, i // 16, (any_value(n) + 15) // 16, sha256(string_agg(h, '' ORDER BY i))
+  FROM {lv} WHERE n > 1 GROUP BY lvl, g, i // 16),
+{lv}_runs AS (SELECT lvl, g, i // 16 AS run, list(h ORDER BY i) AS hs FROM {lv} WHERE n > 1 GROUP BY lvl, g, i // 16)
+"""
+_WALK = """
+{walk} AS (
+  SELECT 0 AS lvl, * FROM ({start})
+  UNION ALL SELECT w.lvl + 1, k, w.g, w.i // 16, sha256({before} || cur || {after}), proof || {before} || {after}
+  FROM {walk} w JOIN {lv}_runs r ON w.lvl = r.lvl AND w.g = r.g AND w.i // 16 = r.run),
+{walk}_end AS (SELECT * FROM {walk} QUALIFY row_number() OVER (PARTITION BY k ORDER BY lvl DESC) = 1)
+""".replace("{before}", _BEFORE).replace("{after}", _AFTER)
+
+ORACLE["op12_merkle_manifest"] = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce('=' || source, '') AS g, sha256({_FRAMED.format(text="text")}) AS leaf,
+    sha256({_FRAMED.format(text="translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")}) AS small,
+    xor(list_reduce([4294967295] || list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(unicode(c) AS BIGINT)),
+      lambda c, b: list_reduce([xor(c, b)] || CAST(range(8) AS BIGINT[]),
+        lambda x, k: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)), 4294967295) AS crc
+  FROM documents),
+t AS (
+  SELECT doc_id, g, leaf, CASE WHEN crc % 5 = 0 THEN small ELSE leaf END AS tampered, row_number() OVER () AS k,
+    row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY g) AS n
+  FROM d),
+{_TREE.format(lv="lows", bottom="SELECT g, i, n, leaf AS h FROM t")},
+subs AS (SELECT g AS name, h, row_number() OVER (ORDER BY g) - 1 AS i, count(*) OVER () AS n FROM lows WHERE n = 1),
+{_TREE.format(lv="tops", bottom="SELECT 0 AS g, i, n, h FROM subs")},
+{_WALK.format(walk="climb", lv="lows", start="SELECT k, g, i, tampered AS cur, '' AS proof FROM t")},
+{_WALK.format(walk="rise", lv="tops", start="SELECT c.k, 0 AS g, s.i, c.cur, c.proof FROM climb_end c JOIN subs s ON s.name = c.g")}
+SELECT t.doc_id, t.leaf, s.h AS subroot, u.h AS root, sha256(e.proof) AS proof_sha256, e.cur AS folded_root, e.cur = u.h AS verified
+FROM t JOIN rise_end e ON e.k = t.k JOIN subs s ON s.name = t.g CROSS JOIN (SELECT h FROM tops WHERE n = 1) u
+"""
+
+
+@query
+def op13_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = exact_top_k.find(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+    return found.select(F.col("query").alias("query_id"), "rank", F.col("id").alias("vec_id"), "score")
+
+
+ORACLE["op13_exact_top_k"] = f"""
+WITH {_VECTORS.format(scale=1024)},
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, {_PRODUCT} AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0)
+SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score FROM s
+WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 10
+"""
