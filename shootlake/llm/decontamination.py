@@ -5,29 +5,34 @@ such a stretch shares at least L-Q+1-Q*e of the item's q-grams, all on diagonals
 item) no more than 2e apart. Shared q-grams are counted in diagonal bands twice that wide that overlap by half; bands that
 reach the bound are aligned with the item, dynamic programming staying inside the band.
 
+Items of fewer than Q characters have no q-grams; they match exactly, found by hashes of stretches of their own length and then
+compared. Those of fewer than 2 * Q characters have no edit budget, so they match exactly too.
+
 Texts and items are compared in lower case with all white space alike, character by character, so places are those of the
-text. The benchmark is taken in blocks of bounded size, each scanned over all texts.
+text. The benchmark lies in the shared folder; tasks read it block by block, so that one block of at most BENCHMARK_BLOCK
+characters (or one longer item) and one batch of texts are held at once, and nothing passes through the driver.
 
-Defined results: null and empty texts have no matches; null items and items of fewer than LEAST characters match nothing;
-a text that holds an item several times has a match for each place; repeated texts and items repeat their matches; very
-long texts are scanned whole; an empty benchmark leaves everything clean; the table's own columns are kept beside the
-matches, which are put in one column.
+Defined results: null and empty texts have no matches; null and empty items match nothing; a null item id is given as -1;
+a text that holds an item several times has a match for each place, of overlapping ones that with the fewest edits, then the
+first; repeated texts and items repeat their matches; very long texts are scanned whole; an empty benchmark leaves everything
+clean; the table's own columns are kept beside the matches, which are put in one column, replacing one of that name.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shootlake.llm.pieces import mixed
 from shootlake.llm.ragged import offsets_of
+from shootlake.llm.vectors import read_blocks, write_blocks
 
-Q, RATE, LEAST = 10, 0.08, 20
+Q, RATE = 10, 0.08
 #: Characters of benchmark held at once, characters of text handled at once, shared q-grams expanded at once.
 BENCHMARK_BLOCK, BLOCK, EXPANDED = 1_000_000, 1_000_000, 4_000_000
 MATCHES = "array<struct<item:long,start:long,end:long,edits:long>>"
@@ -49,12 +54,12 @@ def folded(text: str) -> np.ndarray:
     return _folded()[np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)]
 
 
-def _grams(codes: np.ndarray) -> np.ndarray:
+def _grams(codes: np.ndarray, q: int = Q) -> np.ndarray:
     """Hash of the q-gram at every place that has one."""
-    n = max(0, len(codes) - Q + 1)
+    n = max(0, len(codes) - q + 1)
     h = np.zeros(n, np.uint64)
     wide = codes.astype(np.uint64)
-    for j in range(Q):
+    for j in range(q):
         h *= np.uint64(0x9E3779B97F4A7C15)
         h += wide[j:j + n]
     return mixed(h)
@@ -68,6 +73,8 @@ class Index:
     """Q-grams of a block of items."""
 
     def __init__(self, items: list[tuple[int, str]]):
+        self.short = _short_items([(i, folded(t)) for i, t in items if len(t) < Q])
+        items = [x for x in items if len(x[1]) >= Q]
         self.ids = np.array([i for i, _ in items], np.int64)
         self.codes = [folded(t) for _, t in items]
         self.lengths = np.array([len(c) for c in self.codes], np.int64)
@@ -118,6 +125,7 @@ class Index:
 
     def matches(self, texts: list[str | None]) -> list[list[tuple[int, int, int, int]]]:
         out: list[list[tuple[int, int, int, int]]] = [[] for _ in texts]
+        brief: list[list[tuple[int, int, int, int]]] = [[] for _ in texts]
         for numbers, codes, firsts in _joined(texts):
             for item, band in self.regions(codes).tolist():
                 step = 2 * int(self.edits[item]) + 1
@@ -132,7 +140,37 @@ class Index:
                         start, end, cost = found
                         base = a - int(firsts[text])
                         out[numbers[text]].append((int(self.ids[item]), base + start, base + end, cost))
-        return [_distinct(m) for m in out]
+            for text, match in self.exact(codes, firsts):
+                brief[numbers[text]].append(match)
+        return [sorted(_distinct(m) + b, key=lambda x: (x[1], x[0])) for m, b in zip(out, brief)]
+
+    def exact(self, codes: np.ndarray, firsts: np.ndarray) -> Iterator[tuple[int, tuple[int, int, int, int]]]:
+        """(text, match) of items of fewer than Q characters; an item's matches do not overlap."""
+        for length, (keys, ids, stretches) in self.short.items():
+            grams = _grams(codes, length)
+            row = np.searchsorted(keys, grams)
+            row[row == len(keys)] = 0
+            at = np.flatnonzero(keys[row] == grams)
+            free: dict[tuple[int, int], int] = {}
+            for place, k in zip(at.tolist(), row[at].tolist()):
+                text = int(np.searchsorted(firsts, place, side="right")) - 1
+                base = int(firsts[text])
+                while k < len(keys) and keys[k] == grams[place]:
+                    if (stretches[k] == codes[place:place + length]).all() and place >= free.get((text, k), 0):
+                        free[text, k] = place + length
+                        yield text, (ids[k], place - base, place - base + length, 0)
+                    k += 1
+
+
+def _short_items(items: list[tuple[int, np.ndarray]]) -> dict[int, tuple[np.ndarray, list[int], list[np.ndarray]]]:
+    """By length: sorted hashes, ids and characters of items of fewer than Q characters."""
+    out = {}
+    for length in sorted({len(c) for _, c in items} - {0}):
+        mine = [(i, c) for i, c in items if len(c) == length]
+        keys = np.concatenate([_grams(c, length) for _, c in mine])
+        order = np.argsort(keys, kind="stable")
+        out[length] = keys[order], [int(mine[k][0]) for k in order], [mine[k][1] for k in order]
+    return out
 
 
 def _joined(texts: list[str | None]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
@@ -195,37 +233,36 @@ def _distinct(found: list[tuple[int, int, int, int]]) -> list[tuple[int, int, in
     return sorted(kept, key=lambda m: (m[1], m[0]))
 
 
-def benchmark_blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[int, str]]]:
-    """The benchmark in lists of bounded size, one partition after another."""
+def benchmark_blocks(path: str) -> Iterator[list[tuple[int, str]]]:
+    """The benchmark in lists of bounded size, read from the shared folder."""
     held, size = [], 0
-    rows = items.select(F.col(f"`{id_col}`").cast("long").alias("i"), F.col(f"`{text_col}`").cast("string").alias("t"))
-    for r in rows.where(F.length("t") >= LEAST).toLocalIterator():
-        held.append((r.i if r.i is not None else -1, r.t))
-        size += len(r.t)
-        if size >= BENCHMARK_BLOCK:
-            yield held
-            held, size = [], 0
+    for batch in read_blocks(path, 256):
+        for i, t in zip(batch.column("i").to_pylist(), batch.column("t").to_pylist()):
+            held.append((i, t))
+            size += len(t)
+            if size >= BENCHMARK_BLOCK:
+                yield held
+                held, size = [], 0
     if held:
         yield held
 
 
-def _finder(df: DataFrame, items: list[tuple[int, str]]) -> Callable[[Column], Column]:
-    shared = df.sparkSession.sparkContext.broadcast(items)  # bounded by BENCHMARK_BLOCK
-
-    @F.pandas_udf(MATCHES)
-    def find(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        index = Index(shared.value)
-        for texts in parts:
-            yield pd.Series([[{"item": a, "start": b, "end": c, "edits": d} for a, b, c, d in m]
-                             for m in index.matches([t if isinstance(t, str) else None for t in texts])])
-    return find
-
-
 def scan(df: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text",
          into: str = "matches") -> DataFrame:
     """The table with an array `into` of (item, start, end, edits) for each text."""
-    found = None
-    for block in benchmark_blocks(items, item_id, item_text):
-        one = _finder(df, block)(F.col(f"`{text_col}`").cast("string"))
-        found = one if found is None else F.concat(found, one)
-    return df.withColumn(into, F.array().cast(MATCHES) if found is None else found)
+    rows = items.select(F.coalesce(F.col(f"`{item_id}`").cast("long"), F.lit(-1)).alias("i"), F.col(f"`{item_text}`").cast("string").alias("t"))
+    path = write_blocks(rows.where(F.length("t") > 0), "benchmark")
+
+    @F.pandas_udf(MATCHES)
+    def find(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        only: Index | None = None  # where the benchmark is one block, its index serves all batches
+        for series in parts:
+            texts = [t if isinstance(t, str) else None for t in series]
+            found: list[list] = [[] for _ in texts]
+            count = 0
+            for index in [only] if only else map(Index, benchmark_blocks(path)):
+                count += 1
+                found = [x + y for x, y in zip(found, index.matches(texts))]
+            only = index if count == 1 else None
+            yield pd.Series([[{"item": a, "start": b, "end": c, "edits": d} for a, b, c, d in m] for m in found])
+    return df.withColumn(into, find(F.col(f"`{text_col}`").cast("string")))

@@ -343,7 +343,9 @@ def _open_pairs(members: DataFrame, classes: DataFrame, docs: DataFrame, labels:
 
 
 def find(df: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, component) of every row; component is the smallest id reachable over links."""
+    """(id, n_shingles, component) of every row; component is the smallest id reachable over links. Ids must be integers."""
+    if df.schema[id_col].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        raise TypeError(f"{id_col} must hold integers, it holds {df.schema[id_col].dataType.simpleString()}")
     docs = ids_and_texts(df, id_col, text_col)
     least = bound(percent / 100)
     rows = settle(_sketch_rows(docs, words), "sketches")

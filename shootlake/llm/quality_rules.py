@@ -106,9 +106,9 @@ def measure(text: Column) -> Column:
 
 
 def judge(df: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES, into: str = "quality") -> DataFrame:
-    """The table with a struct `into`: measures, base_failed, kept and the names of broken rules."""
+    """The table with a struct `into`: measures, base_failed, kept and the names of broken rules; a column `into` of its own is replaced."""
     # a generator of one row: filters on the verdict stay above it and the measures are taken once
-    measured = df.select("*", F.explode(F.array(measure(F.col(f"`{text_col}`").cast("string")))).alias(into))
+    measured = df.drop(into).select("*", F.explode(F.array(measure(F.col(f"`{text_col}`").cast("string")))).alias(into))
     m = F.col(f"`{into}`")
     base = (m["n_words"] < 20) | (100 * m["n_repeat_words"] > 30 * m["n_words"])
     names = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_stop_words", "n_capital_words")

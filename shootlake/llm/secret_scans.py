@@ -12,8 +12,12 @@ alone, with or without separators, are of no class: numbers and words reach the
 Spans are (start, end, kind) in code points, end exclusive, ordered by start and then by kind. Matches are found left to
 right without overlap, kind by kind; their places follow from the lengths of matches and of the stretches between.
 
+Names are let go in every length: slugs, identifiers and paths whose pieces are letters, letters and up to eight digits, numbers, or up
+to eight digits and three letters. No pattern recurses over a candidate, so a text may be one candidate of any length.
+
 Defined results: null is the empty text and has no spans; long texts are scanned whole; repeated rows repeat their result;
-the scanned table's columns are kept and the spans are put in one column.
+the scanned table's columns are kept and the spans are put in one column; where the table has a column of that name, it gives
+way, so callers that need it name another.
 """
 
 from __future__ import annotations
@@ -39,18 +43,22 @@ CLASSES = (
     (r"^(?=.*[0-9])(?=.*[A-Z])[A-Z0-9+/_=-]+$", 3.3, True),
     (r"^(?=.*[a-z])(?=.*[A-Z])[A-Za-z+/_=-]+$", 3.6, True),
 )
-#: Candidates that are no secrets: UUIDs, paths of words, placeholders.
+#: Candidates that are no secrets: UUIDs, paths of words, placeholders. Repeated groups are possessive, one whole piece at a time, so
+#: that they neither recurse nor go back, however long the candidate.
+_END = "(?=[+/_=-]|$)"
 ALLOWED = (
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
-    r"^[a-zA-Z]*(?:[/_-]+(?:[a-zA-Z]+|[0-9]{1,4}))+$",
+    r"^[a-zA-Z]*+(?:[/_-]++(?:[a-zA-Z]++|[0-9]{1,8})(?=[/_-]|$))++$",
     r"(?i)example|placeholder|xxxxxx|0123456789",
 )
 #: Slugs and identifiers: pieces of letters and then digits, numbers, ordinals and names like utf8mb4 between separators; words run together by capitals.
-_PIECE = "(?:[a-z]+[0-9]{0,4}|[A-Z]+[0-9]{0,4}|[A-Z][a-z]+[0-9]{0,4}|[0-9]+|[0-9]{1,4}[a-z]{1,3}|[a-z]{2,5}[0-9]{1,2}[a-z]{2,5}[0-9]?)"
-_HUMP = "(?:(?=[AEIOUY]|[A-Z][a-z]*[aeiouy])[A-Z][a-z]{2,}|As|At|By|Db|Do|Id|If|In|Is|It|Js|My|No|Of|On|Or|To|Up|Css|Html|Https?|Sql|Xml)"
+_PIECE = ("(?:[a-z]++[0-9]{0,8}|[A-Z]++[0-9]{0,8}|[A-Z][a-z]++[0-9]{0,8}|[0-9]++|[0-9]{1,8}[a-z]{1,3}"
+          f"|[a-z]{{2,5}}[0-9]{{1,2}}[a-z]{{2,5}}[0-9]?){_END}")
+_HUMP = ("(?:(?=[AEIOUY]|[A-Z][a-z]*[aeiouy])[A-Z][a-z]{2,}+|As|At|By|Db|Do|Id|If|In|Is|It|Js|My|No|Of|On|Or|To|Up|Css|Html|Https?|Sql|Xml)"
+         "(?![a-z])")
 _NAMES = (
-    f"^(?!.{{513}})[+/_=-]*{_PIECE}(?:[+/_=-]+{_PIECE})*[+/_=-]*$",
-    f"^(?!.{{513}})(?:[a-z]{{2,}})?(?:[A-Z]{{2,4}}(?=[A-Z][a-z]))?{_HUMP}+(?:[A-Z]{{2,4}})?[0-9]{{0,4}}$",
+    f"^[+/_=-]*+{_PIECE}(?:[+/_=-]++{_PIECE})*+[+/_=-]*+$",
+    f"^(?:[a-z]{{2,}}+)?(?:[A-Z]{{2,4}}(?=[A-Z][a-z]))?(?:{_HUMP})++(?:[A-Z]{{2,4}})?[0-9]{{0,8}}$",
 )
 
 
@@ -135,7 +143,7 @@ def spans_of(text: Column) -> Column:
 
 
 def scan(df: DataFrame, text_col: str = "text", into: str = "spans") -> DataFrame:
-    """The table with its texts' spans."""
+    """The table with its texts' spans; a column `into` of its own is replaced."""
     return df.withColumn(into, spans_of(F.col(f"`{text_col}`")))
 
 
