@@ -1,11 +1,13 @@
 """Neighbourhood filters over tiles: denoise and sharpen.
 
-Frames are cut into tiles with a halo once; every pass along rows or columns is then a window inside
-a tile, with no further shuffle.
+Frames are cut into tiles with a halo, in one shuffle. The single passes (`guided_blur`, `median_3x3`) are windows inside a tile;
+the whole filters chain some forty of them, each sorting and re-reading every pixel, so they go over a tile's planes at once
+(`tiles.over`). What needs no neighbours, such as a pixel's noise limit, is projected beforehand.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,51 +58,103 @@ def median_3x3(df: DataFrame, values: list[str], amount: Column) -> DataFrame:
         *[f"_{p}{v}" for p in "rc" for v in values])
 
 
+def _shifted(plane: np.ndarray, offset: int, axis: int) -> np.ndarray:
+    """The plane's samples `offset` places on, its edge repeated."""
+    n = plane.shape[axis]
+    return plane.take(np.clip(np.arange(n) + offset, 0, n - 1), axis)
+
+
+def _blur(planes: list[np.ndarray], guide: np.ndarray, step: int, amount: float = 1.0) -> list[np.ndarray]:
+    """`guided_blur` on planes that share a guide."""
+    if amount == 0:
+        return planes
+    scale = 1 / (SIGMA_BASE + SIGMA_SLOPE * np.sqrt(np.maximum(guide, 0)))
+    held = planes
+    for axis in (1, 0):
+        sums, weights = [np.zeros_like(guide) for _ in planes], np.zeros_like(guide)
+        for k, tap in enumerate(KERNEL):
+            offset = (k - 2) * step
+            away = (_shifted(guide, offset, axis) - guide) * scale
+            weight = tap / (away * away + 1)
+            weights += weight
+            for total, plane in zip(sums, held):
+                total += _shifted(plane, offset, axis) * weight
+        held = [total / weights for total in sums]
+    return [plane + (new - plane) * amount for plane, new in zip(planes, held)]
+
+
+def _median(plane: np.ndarray) -> np.ndarray:
+    rows = [_shifted(plane, o, 1) for o in (-1, 0, 1)]
+    return np.partition(np.stack([_shifted(r, o, 0) for r in rows for o in (-1, 0, 1)]), 4, axis=0)[4]
+
+
+def _shrink(detail: np.ndarray, limit: np.ndarray) -> np.ndarray:
+    ratio = limit / detail
+    return np.where(limit <= 0, detail, np.where(np.abs(detail) <= limit, 0.0, detail * (1 - ratio * ratio)))
+
+
+def _half(plane: np.ndarray, y0: int, x0: int) -> np.ndarray:
+    """Means of 2x2 blocks of the frame, of those samples that the tile has."""
+    wide = np.pad(plane, ((y0 % 2, (plane.shape[0] + y0) % 2), (x0 % 2, (plane.shape[1] + x0) % 2)), constant_values=np.nan)
+    there = ~np.isnan(wide)
+    add = lambda a: a[::2, ::2] + a[1::2, ::2] + a[::2, 1::2] + a[1::2, 1::2]
+    return add(np.where(there, wide, 0)) / add(there.astype(float))
+
+
+def _full(plane: np.ndarray, shape: tuple[int, int], y0: int, x0: int) -> np.ndarray:
+    """Back to full size: a sample lies a quarter or three quarters of the way between two half-size ones."""
+    for axis, first, size in ((1, x0, shape[1]), (0, y0, shape[0])):
+        at = np.arange(first, first + size)
+        here = plane.take(at // 2 - first // 2, axis) * 0.75
+        odd = (at % 2 == 1).reshape((1, -1) if axis else (-1, 1))
+        next_, before = _shifted(plane, 1, axis), _shifted(plane, -1, axis)
+        plane = here + 0.25 * np.where(odd, next_.take(at // 2 - first // 2, axis), before.take(at // 2 - first // 2, axis))
+    return plane
+
+
+def _denoise(p: tiles.Planes, y0: int, x0: int) -> tiles.Planes:
+    """Noise reduction of a tile of planes r, g, b with each pixel's noise `_n` and the frame's strength `_s`."""
+    s = float(np.clip(np.nanmax(p["_s"]), 0, 1))
+    if np.nanmax(p["_s"]) == 0:
+        return p
+    wr, wg, wb = K.LUMA_ROUNDED
+    luma = p["r"] * wr + p["g"] * wg + p["b"] * wb
+    (fine,) = _blur([luma], luma, 1)
+    (coarse,) = _blur([fine], luma, 2)
+    clean = coarse + _shrink(fine - coarse, p["_n"] * COARSE) + _shrink(luma - fine, p["_n"] * FINE)
+    guide = _half(clean, y0, x0)
+    halves = [_half(p[c] - luma, y0, x0) for c in "br"]
+    halves = [h + (_median(h) - h) * min(s * 1.5, 1.0) for h in halves]
+    for step, amount in ((1, min(s * 1.8, 1.0)), (2, min(s * 1.25, 1.0)), (4, min(max((s - 0.2) * 1.25, 0.0), 1.0))):
+        halves = _blur(halves, guide, step, amount)
+    b, r = (clean + _full(h, clean.shape, y0, x0) for h in halves)
+    return {"r": r, "g": (clean - r * wr - b * wb) / wg, "b": b}
+
+
 def noise_reduction(px: DataFrame, settings: DataFrame, tile: int = tiles.TILE) -> DataFrame:
     """Edge-aware denoise. `settings` has (image_id, strength, deviations), one row per frame.
 
-    Brightness keeps detail that stands clear of the frame's measured noise. Colour is filtered at
-    half size: each 2x2 block travels as one row holding its pixels, so coming back needs no join.
+    Brightness keeps detail that stands clear of the frame's measured noise; colour is filtered at half size.
     """
-    joined = px.join(settings.select("image_id", F.col("strength").alias("_s"), "deviations"), "image_id").withColumn("_y", _luma())
-    df = tiles.split(joined, geometry.REACH["noise_reduction"], tile)
-    df = guided_blur(df, {"_b1": "_y"}, "_y", 1)
-    df = guided_blur(df, {"_b2": "_b1"}, "_y", 2)
-    noise = F.element_at("deviations", K.noise_bin(F.col("_y")) + 1)
-    df = df.withColumn("_n", noise * K.clamp(F.col("_s"), 0.0, 1.0))
-    df = df.withColumn("_clean", F.col("_b2") + K.garrote(F.col("_b1") - F.col("_b2"), F.col("_n") * COARSE)
-                       + K.garrote(F.col("_y") - F.col("_b1"), F.col("_n") * FINE))
-    half = df.groupBy(*tiles.KEYS, "_s", F.floor(F.col("y") / 2).cast("int").alias("_hy"), F.floor(F.col("x") / 2).cast("int").alias("_hx")).agg(
-        F.collect_list(F.struct("y", "x", "r", "g", "b", "_clean")).alias("_block"),
-        F.avg(F.col("b") - F.col("_y")).alias("_cb"), F.avg(F.col("r") - F.col("_y")).alias("_cr"), F.avg("_clean").alias("_guide"))
-    half = half.withColumnsRenamed({"_hy": "y", "_hx": "x"})
-    s = K.clamp(F.col("_s"), 0.0, 1.0)
-    half = median_3x3(half, ["_cb", "_cr"], F.least(s * 1.5, F.lit(1.0)))
-    for step, amount in ((1, F.least(s * 1.8, F.lit(1.0))), (2, F.least(s * 1.25, F.lit(1.0))), (4, K.clamp((s - 0.2) * 1.25, 0.0, 1.0))):
-        half = guided_blur(half, {"_cb": "_cb", "_cr": "_cr"}, "_guide", step, amount)
-    # a full-size pixel lies a quarter or three quarters of the way between two half-size ones
-    for axis in ("x", "y"):
-        half = tiles.taps(half, {f"_t{c}": c for c in ("_cb", "_cr")}, axis, [-1, 0, 1])
-        for c in ("_cb", "_cr"):
-            def pair(a, b, c=c, axis=axis):
-                if axis == "x":
-                    return F.col(f"_t{c}")[a] * 0.25 + F.col(f"_t{c}")[b] * 0.75
-                return F.zip_with(F.col(f"_t{c}")[a], F.col(f"_t{c}")[b], lambda p, q: p * 0.25 + q * 0.75)
-            half = half.withColumn(c, F.array(pair(0, 1), pair(2, 1)))
-    out = half.select("image_id", "_ty", "_tx", "_s", "_cb", "_cr", F.explode("_block").alias("_p")).select(
-        "image_id", "_ty", "_tx", "_s", "_p.*", "_cb", "_cr")
-    at = lambda c: F.col(c)[F.col("y") % 2][F.col("x") % 2]
-    out = out.withColumns({"_r": F.col("_clean") + at("_cr"), "_b": F.col("_clean") + at("_cb")})
-    out = out.withColumn("_g", (F.col("_clean") - F.col("_r") * K.LUMA_ROUNDED[0] - F.col("_b") * K.LUMA_ROUNDED[2]) / K.LUMA_ROUNDED[1])
-    same = F.col("_s") == 0
-    return tiles.trim(out.withColumns({c: F.when(same, F.col(c)).otherwise(F.col(f"_{c}")) for c in RGB}), tile).select("image_id", "y", "x", *RGB)
-
-
-def gaussian(radius: Column) -> Column:
-    """Normalised kernel from -arm to arm as an array; the arm is three radii, 1 to 16 samples."""
-    arm = F.least(F.greatest(F.ceil(radius * 3), F.lit(1)), F.lit(ARM_MAX)).cast("int")
-    raw = F.transform(F.sequence(-arm, arm), lambda o: F.exp(-(o * o) / (radius * radius * 2)))
-    return F.transform(raw, lambda v: v / F.aggregate(raw, F.lit(0.0), lambda a, b: a + b))
+    joined = px.join(settings.select("image_id", F.col("strength").alias("_s"), "deviations"), "image_id")
+    noise = F.element_at("deviations", K.noise_bin(_luma()) + 1) * K.clamp(F.col("_s"), 0.0, 1.0)
+    return tiles.over(joined.withColumn("_n", noise), [*RGB, "_s", "_n"], geometry.REACH["noise_reduction"], _denoise, tile)
+
+
+def _unsharp(p: tiles.Planes, y0: int, x0: int) -> tiles.Planes:
+    """Sharpening of a tile of planes with each pixel's luma, limit and the frame's amount and radius."""
+    amount, radius = float(np.nanmax(p["amount"])), float(np.nanmax(p["_rad"]))
+    if amount <= 0:
+        return p
+    arm = int(min(max(np.ceil(radius * 3), 1), ARM_MAX))
+    kernel = np.exp(-(np.arange(-arm, arm + 1) ** 2) / (radius * radius * 2))
+    root = np.sqrt(np.maximum(p["_y"], 0))
+    blur = root
+    for axis in (1, 0):
+        blur = sum(_shifted(blur, o, axis) * k for o, k in zip(range(-arm, arm + 1), kernel / kernel.sum()))
+    detail = _shrink(root - blur, p["_lim"])
+    gain = np.where(p["_y"] <= LUMA_MIN, 1.0, np.maximum(root + amount * detail, 0) ** 2 / p["_y"])
+    return {c: p[c] * gain for c in RGB}
 
 
 def sharpen(px: DataFrame, settings: DataFrame, tile: int = tiles.TILE) -> DataFrame:
@@ -109,23 +163,9 @@ def sharpen(px: DataFrame, settings: DataFrame, tile: int = tiles.TILE) -> DataF
     `settings` has (image_id, amount, radius, threshold, deviations), one row per frame, the radius
     already scaled to the render.
     """
-    base = settings.select("image_id", "amount", F.greatest("radius", F.lit(RADIUS_MIN)).alias("_rad"), "threshold", "deviations")
-    base = base.withColumn("_kernel", gaussian(F.col("_rad"))).withColumn("_arm", F.floor(F.size("_kernel") / 2).cast("int"))
-    df = tiles.split(px.join(base, "image_id").withColumn("_y", _luma()).withColumn("_e", F.sqrt(F.greatest("_y", F.lit(0.0)))),
-                     geometry.REACH["sharpen"], tile)
-    df = df.withColumn("_blur", F.col("_e"))
-    for axis in ("x", "y"):
-        w = tiles.along(axis)
-        seen = F.collect_list("_blur").over(w.rowsBetween(-ARM_MAX, ARM_MAX))
-        df = df.withColumns({"_seen": seen, "_before": F.size(F.collect_list("_blur").over(w.rowsBetween(-ARM_MAX, -1)))})
-        # samples beyond the edge repeat the edge: clamp the index into what the window saw
-        last = F.size("_seen")
-        at = F.sequence(-F.col("_arm"), F.col("_arm"))
-        picked = F.transform(at, lambda o: F.element_at("_seen", F.least(F.greatest(F.col("_before") + o + 1, F.lit(1)), last)))
-        df = df.withColumn("_blur", F.aggregate(F.zip_with(picked, F.col("_kernel"), lambda v, k: v * k), F.lit(0.0), lambda a, b: a + b))
+    base = settings.select("image_id", F.col("amount").cast("double").alias("amount"), F.greatest("radius", F.lit(RADIUS_MIN)).alias("_rad"),
+                           "threshold", "deviations")
+    df = px.join(base, "image_id").withColumn("_y", _luma())
     noise = F.element_at("deviations", K.noise_bin(F.col("_y")) + 1)
-    df = df.withColumn("_d", K.garrote(F.col("_e") - F.col("_blur"), F.col("threshold") * noise / (F.greatest("_e", F.lit(1e-3)) * 2)))
-    df = df.withColumn("_k", F.pow(F.greatest(F.col("_e") + F.col("amount") * F.col("_d"), F.lit(0.0)), F.lit(2.0)) / F.col("_y"))
-    keep = (F.col("amount") <= 0) | (F.col("_y") <= LUMA_MIN)
-    return tiles.trim(df.withColumns({c: F.when(keep, F.col(c)).otherwise(F.col(c) * F.col("_k")) for c in RGB}), tile).select(
-        "image_id", "y", "x", *RGB)
+    limit = F.col("threshold") * noise / (F.greatest(F.sqrt(F.greatest("_y", F.lit(0.0))), F.lit(1e-3)) * 2)
+    return tiles.over(df.withColumn("_lim", limit), [*RGB, "_y", "_lim", "amount", "_rad"], geometry.REACH["sharpen"], _unsharp, tile)

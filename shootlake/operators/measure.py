@@ -21,39 +21,54 @@ LAPLACIAN_GAIN, NOISE_SAMPLES, NOISE_BIN_MINIMUM = 1.118034, 131072, 32
 
 
 def noise_samples(px: DataFrame, frames: DataFrame, tile: int = tiles.TILE) -> DataFrame:
-    """Laplacian magnitude and brightness bin on a grid of inner pixels, about 131 072 per frame."""
-    sized = px.join(frames.select("image_id", "width", "height"), "image_id").withColumn(
-        "_l", K.luminance(*[F.col(c) for c in RGB], K.LUMA_ROUNDED)).select("image_id", "y", "x", "width", "height", "_l")
-    cut = tiles.split(sized, 1, tile)
-    cut = cut.withColumn("_h", tiles.tap("_l", "x", -1) + tiles.tap("_l", "x", 1))
-    cut = cut.withColumn("_v", tiles.tap("_l", "y", -1) + tiles.tap("_l", "y", 1))
+    """Laplacian magnitude and brightness bin on a grid of inner pixels, about 131 072 per frame.
+
+    Each pixel adds its share to the grid points whose stencil covers it, combined before the shuffle; pixels that none
+    covers never move, so what is shuffled does not grow with the frame.
+    """
     stride = F.greatest(F.floor(F.sqrt(F.floor(F.col("width").cast("long") * F.col("height") / NOISE_SAMPLES))), F.lit(1))
-    inner = ((F.col("x") >= 1) & (F.col("x") < F.col("width") - 1) & (F.col("y") >= 1) & (F.col("y") < F.col("height") - 1)
-             & ((F.col("x") - 1) % stride == 0) & ((F.col("y") - 1) % stride == 0))
-    return tiles.trim(cut, tile).where(inner).select(
-        "image_id", K.noise_bin(F.col("_l")).alias("bin"),
-        F.abs(F.col("_l") - (F.col("_h") + F.col("_v")) * 0.25).alias("magnitude"))
+    sized = px.join(frames.select("image_id", "width", "height", stride.alias("_st")), "image_id").withColumn(
+        "_l", K.luminance(*[F.col(c) for c in RGB], K.LUMA_ROUNDED))
+
+    def kept(at: Column, edge: str) -> Column:
+        return (at >= 1) & (at < F.col(edge) - 1) & ((at - 1) % F.col("_st") == 0)
+
+    def share(dy: int, dx: int) -> Column:
+        cy, cx = F.col("y") + dy, F.col("x") + dx
+        return F.when(kept(cy, "height") & kept(cx, "width"), F.struct(
+            cy.alias("cy"), cx.alias("cx"), (F.col("_l") * (0.25 if dy or dx else 0.0)).alias("around"),
+            (F.lit(None).cast("double") if dy or dx else F.col("_l")).alias("centre")))
+    shares = F.array(*[share(dy, dx) for dy, dx in ((0, 0), (-1, 0), (1, 0), (0, -1), (0, 1))])
+    # a pixel far from the grid has no share at all
+    near = (F.pmod(F.col("y"), F.col("_st")) <= 2) | (F.col("_st") <= 3) | (F.pmod(F.col("y"), F.col("_st")) >= F.col("_st") - 1)
+    spread = sized.where(near).select("image_id", F.explode(F.filter(shares, lambda s: s.isNotNull())).alias("s"))
+    points = spread.groupBy("image_id", "s.cy", "s.cx").agg(F.sum("s.around").alias("around"), F.max("s.centre").alias("centre"))
+    return points.select("image_id", K.noise_bin(F.col("centre")).alias("bin"), F.abs(F.col("centre") - F.col("around")).alias("magnitude"))
 
 
 def noise_profile(px: DataFrame, frames: DataFrame, tile: int = tiles.TILE) -> DataFrame:
     """(image_id, deviations): noise per brightness bin, 0 darkest.
 
     A bin with too few samples borrows from the nearest that has enough, the lower on a tie; a frame
-    with none is measured whole.
+    with none is measured whole. A frame has at most four times NOISE_SAMPLES samples however large it is, so its ranks are
+    taken where its samples meet, by bin and over all.
     """
-    samples = noise_samples(px, frames, tile)
-    quartile = F.floor(F.col("n") * NOISE_QUANTILE)
     scale = NOISE_QUANTILE_SIGMA * LAPLACIAN_GAIN
-    bins = ordered.pick_rank(samples, ["image_id", "bin"], "magnitude", quartile).where(F.col("n") >= NOISE_BIN_MINIMUM)
-    known = bins.groupBy("image_id").agg(F.collect_list(F.struct("bin", (F.col("picked") / scale).alias("d"))).alias("_known"))
-    rest = samples.join(known.select("image_id"), "image_id", "left_anti")
-    whole = ordered.pick_rank(rest, ["image_id"], "magnitude", quartile).where(F.col("n") >= NOISE_BIN_MINIMUM).select(
-        "image_id", (F.col("picked") / scale).alias("_whole"))
+    samples = noise_samples(px, frames, tile).repartition("image_id")
+
+    def quartile(*keys: str) -> Column:
+        """The magnitude, where it has the quartile's rank in its group and the group is large enough."""
+        n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy("magnitude")) - 1
+        return F.when((n >= NOISE_BIN_MINIMUM) & (rank == F.floor(n * NOISE_QUANTILE)), F.col("magnitude") / scale)
+    ranked = samples.withColumn("_d", quartile("image_id", "bin")).withColumn("_whole", quartile("image_id"))
+    found = ranked.where("_d IS NOT NULL OR _whole IS NOT NULL").groupBy("image_id").agg(
+        F.collect_list(F.when(F.col("_d").isNotNull(), F.struct("bin", F.col("_d").alias("d")))).alias("_known"), F.max("_whole").alias("_whole"))
     near = F.transform(F.sequence(F.lit(0), F.lit(NOISE_BINS - 1)), lambda b: F.array_min(F.transform(
         F.col("_known"), lambda k: F.struct(F.abs(k["bin"] - b).alias("far"), k["bin"].alias("bin"), k["d"].alias("d"))))["d"])
-    joined = frames.select("image_id").join(known, "image_id", "left").join(whole, "image_id", "left")
     flat = F.array_repeat(F.coalesce("_whole", F.lit(0.0)), NOISE_BINS)
-    return joined.select("image_id", F.when(F.col("_known").isNull(), flat).otherwise(near).alias("deviations"))
+    return frames.select("image_id").join(found, "image_id", "left").select(
+        "image_id", F.when(F.coalesce(F.size("_known"), F.lit(0)) <= 0, flat).otherwise(near).alias("deviations"))
 
 
 # --- focus ---------------------------------------------------------------------------------------
