@@ -52,7 +52,38 @@ def recipe_render(spark, sf):
     graded = [("exposure", [0], _map(exposure=_EV), 1.0), ("contrast", [1], _map(contrast=_SLOPE), 1.0)]
     recipe = F.when(F.col("image_id") % 2 == 0, _chain(*graded, ("blend", [2, 0], None, 0.25))).otherwise(_chain(*graded))
     recipes = f.select("image_id", recipe.alias("recipe")).withColumn("recipe_output", F.size("recipe"))
-    return out(_union(A.render_by_shape(fx.pixels(spark, sf), f, recipes)), 5)
+    return out(_union(A.render_by_skeleton(fx.pixels(spark, sf), f, recipes)), 5)
+
+
+# Every kind of node. Three frames in four fork into another contrast and blend; the others grade twice. One frame in two is cropped turned.
+def _full_recipes(f):
+    grades = F.when(F.col("image_id") % 2 == 0, F.lit("tone")).otherwise(F.lit("contrast"))
+    one = F.when(grades == "tone", _map(tone_shadows=0.4, tone_midtones=-0.2)).otherwise(_map(contrast=1.2, pivot=0.4))
+    head = [("optics", [0], _map(lens_correction=1, lens_correction_strength="0.4 + image_id % 3 / 10"), 1.0),
+            ("white_balance", [1], _map(white_balance_temperature="4500 + 100 * (image_id % 5)", white_balance_tint=4), 1.0),
+            ("exposure", [2], _map(exposure="image_id % 4 / 8"), 1.0),
+            ("noise_reduction", [3], _map(noise_reduction="image_id % 3 / 4"), 1.0)]
+    middle = RE.node(grades, F.array(F.lit(4)), one, 1.0, F.lit(5))
+    curve = RE.node("curves", F.array(F.lit(5)), None, 1.0, F.lit(6)).withField(
+        "points", F.expr("map('red', array(0D, 0D, 0.5D, 0.55D, 1D, 1D), 'master', array(0D, 0.02D, 0.4D, 0.38D, 1D, 0.98D))"))
+    tail = [("sharpen", [6], _map(amount="image_id % 3 / 2", radius=1, threshold=0.5), 1.0),
+            ("crop", [7], _map(left=0.1, top=0.05, width=0.8, height=0.75, angle="(image_id % 2) * 3"), 1.0),
+            ("color_subtract", [8], _map(red=1.5, green=1.4, blue=1.3), 1.0)]
+    ends = [[("contrast", [8], _map(contrast=1.3, pivot=0.5), 1.0), ("blend", [9, 10], None, 0.3)],
+            [("exposure", [9], _map(exposure=0.25), 1.0), ("contrast", [10], _map(contrast=0.9, pivot=0.45), 1.0)]]
+    last = [("rotate", [11], _map(quarter_turns="image_id % 4"), 1.0), ("film", [12], _map(grain_amount=0.6, grain_size=1), 1.0)]
+    nodes = lambda chain, start: [RE.node(kind, F.array(*[F.lit(i) for i in ins]), params, opacity, F.lit(n))
+                                  for n, (kind, ins, params, opacity) in enumerate(chain, start)]
+    whole = [F.array(*nodes(head, 1), middle, curve, *nodes(tail, 7), *nodes(end, 10), *nodes(last, 12)).cast(RECIPE) for end in ends]
+    recipe = F.when(F.col("image_id") % 4 == 1, whole[1]).otherwise(whole[0])
+    return f.select("image_id", recipe.alias("recipe"), F.lit(13).alias("recipe_output"))
+
+
+@query("full_recipe_render")
+def full_recipe_render(spark, sf):
+    """No SQL: all thirteen kinds in one recipe; the tests hold it against the nodes' own operators, one after another."""
+    f = frames(spark, sf)
+    return out(_union(A.render_by_skeleton(fx.pixels(spark, sf), f, _full_recipes(f), lens_map=QG.lens_map(spark, sf))), 5)
 
 
 _SMALL = """SELECT image_id, CAST(j AS BIGINT) AS y, CAST(i AS BIGINT) AS x, sum(r * w) / sum(w) AS r, sum(g * w) / sum(w) AS g, sum(b * w) / sum(w) AS b FROM (
