@@ -143,7 +143,13 @@ def skeleton_of(shape: str) -> tuple[Skeleton, list[list[Step]], list[int]]:
     last, shown = edge(plan["output"], True)
     if not shown:
         runs[-1].append(("display", 0))
-    return Skeleton(tuple(nodes[i]["kind"] for i in cut), tuple(inputs), last), runs, cut
+    # pixels of a blend within a run stand as its consumers ask, so its own branches do too
+    skeleton = Skeleton(tuple(nodes[i]["kind"] for i in cut), tuple(inputs), last)
+    for at in range(len(cut), 0, -1):
+        if skeleton.base(at) != at:
+            asked = any(e.source == at and e.upright for e in [last, *[e for ins in inputs for e in ins]])
+            inputs[at - 1] = tuple(replace(e, upright=e.upright or asked) for e in inputs[at - 1])
+    return replace(skeleton, inputs=tuple(inputs)), runs, cut
 
 
 @dataclass
