@@ -56,29 +56,30 @@ def effective_name(own: Column, catalogued: Column) -> Column:
 def _matches(asked: DataFrame, names: DataFrame) -> DataFrame:
     """(asked, name): pairs of normalised names that match, without comparing every pair.
 
-    A name that contains another holds its first five letters somewhere, so both sides meet on the
-    five-letter slices; what meets is then checked in full. Names shorter than that can only be equal
-    to, or inside, a candidate: those meet on slices of their own length.
+    A name that contains another holds its first PART letters somewhere, so both sides meet in one join on the letters that a
+    match must share: the whole name, the first letters of the one and any slice of the other, or, for names asked that are shorter
+    than a candidate's least, slices of their own length (an empty name lies inside every candidate). What meets is then
+    checked in full.
     """
     def slices(c: str, n: int) -> Column:
-        return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i: F.substring(F.col(c), i, F.lit(n))))
-
-    equal = asked.join(names, F.col("asked") == F.col("name")).select("asked", "name")
-    inside = asked.where(F.length("asked") >= PART).withColumn("_g", F.explode(slices("asked", PART))).join(
-        names.where(F.length("name") >= PART).withColumn("_g", F.substring("name", 1, PART)), "_g").where(
-        F.contains("asked", "name")).select("asked", "name")
-    around = asked.where(F.length("asked") >= PART).withColumn("_g", F.substring("asked", 1, PART)).join(
-        names.where(F.length("name") >= PART).withColumn("_g", F.explode(slices("name", PART))), "_g").where(
-        F.contains("name", "asked")).select("asked", "name")
-    met = equal.unionByName(inside).unionByName(around)
-    for n in range(1, PART):
-        short = asked.where(F.length("asked") == n).join(
-            names.where(F.length("name") >= PART).withColumn("_g", F.explode(slices("name", n))), F.col("asked") == F.col("_g"))
-        met = met.unionByName(short.select("asked", "name"))
-    # an empty name lies inside every candidate; at most one distinct name is empty
-    blank = asked.where(F.col("asked") == "").join(
-        names.where(F.length("name") >= PART).withColumn("_g", F.lit("")), F.col("asked") == F.col("_g"))
-    return met.unionByName(blank.select("asked", "name")).distinct()
+        return F.when(F.length(c) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))),
+                                                    lambda i: F.substring(F.col(c), i, F.lit(n)))).otherwise(F.array())
+
+    def keyed(df: DataFrame, whole: str, **keys: Column) -> DataFrame:
+        """One row for each different key; a letter in front tells what a key stands for."""
+        def tagged(letter: str) -> Column:
+            return F.transform(keys[letter], lambda v: F.concat(F.lit(letter), v))
+        return df.where(F.col(whole).isNotNull()).withColumn("_g", F.explode(F.array_distinct(F.concat(*map(tagged, keys)))))
+
+    def long(c: str, keys: Column) -> Column:
+        return F.when(F.length(c) >= PART, keys).otherwise(F.array())
+
+    first = lambda c: F.array(F.substring(c, 1, PART))
+    short = F.when(F.length("asked") < PART, F.array("asked")).otherwise(F.array())
+    left = keyed(asked, "asked", e=F.array("asked"), a=long("asked", first("asked")), i=slices("asked", PART), s=short)
+    right = keyed(names, "name", e=F.array("name"), a=slices("name", PART), i=long("name", first("name")),
+                  s=long("name", F.concat(F.array(F.lit("")), *[slices("name", n) for n in range(1, PART)])))
+    return left.join(right, "_g").where(names_match(F.col("asked"), F.col("name"))).select("asked", "name").distinct()
 
 
 def match_camera(photos: DataFrame, cameras: DataFrame) -> DataFrame:
@@ -119,6 +120,8 @@ def match_lens(photos: DataFrame, lenses: DataFrame, mounts: DataFrame) -> DataF
     tagged = photos.withColumns({"_asked": normalised(F.col("lens_name")), "_cm": F.lower("camera_mount")})
     asked = tagged.where("_cm IS NOT NULL").select(*keys).distinct()
     known = lenses.select("seq", "focal_min", "focal_max", F.lower("mount").alias("_lm"), normalised(F.col("model")).alias("_name"))
+    # rows alike but for their place never win against the last of them
+    known = known.groupBy("_name", "_lm", "focal_min", "focal_max").agg(F.max("seq").alias("seq"))
     named = _matches(asked.select(F.col("_asked").alias("asked")).distinct(), known.select(F.col("_name").alias("name")).distinct())
     pairs = asked.join(named, F.col("_asked") == F.col("asked")).join(known, F.col("_name") == F.col("name")).where(_in_window(F.col("focal")))
     free = F.coalesce(F.col("_lm"), F.lit("")) == ""
