@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shootlake.functions import recipe_kinds as R
 from shootlake.functions.settings_keys import (DEFAULTS, EXECUTION_ORDER, FLAGS, IDENTITY, KEYS, RANGES,
                                                RENDER_RANGES, STAGES, TEXTS)
 from shootlake.sources.tables import NODE, RECIPE, SETTING, SETTINGS
@@ -198,20 +199,27 @@ def render_key(settings: Column, luts: Column, shape: Column) -> Column:
     return F.sha2(F.concat_ws(";", shape, *parts, F.array_join(luts, ",")), 256)
 
 
-def lut_identities(paths: Column, contents: Column) -> Column:
-    """Path and content key of each LUT a render reads, from a map of known content keys; a LUT that
-    cannot be read is told apart from every content."""
-    return F.transform(paths, lambda p: F.concat(p, F.lit("@"), F.coalesce(F.element_at(contents, p), F.lit("unreadable"))))
+def node_keys(effective: Column, contents: Column) -> Column:
+    """Map of node id to digest over the effective nodes of a recipe (struct of nodes and output).
+
+    A node's digest covers its kind, opacity, parameters, curve points, the content of its LUT (from a map of path to content
+    digest; a LUT that cannot be read is told apart from every content) and the digests of its inputs. So it stands for the
+    pixels at that node: recipes that begin alike share digests as far as they are alike, whatever their node ids.
+    """
+    pairs = lambda m: F.array_join(F.array_sort(F.transform(F.map_entries(m), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string")))), ",")
+
+    def digest(keys: Column, n: Column) -> Column:
+        lut = F.when(n["lut"].isNotNull(), F.coalesce(F.element_at(contents, n["lut"]), F.concat(F.lit("unreadable "), n["lut"]))).otherwise(F.lit(""))
+        inputs = F.transform(n["inputs"], lambda i: F.element_at(keys, i))
+        return F.sha2(F.concat_ws("/", n["kind"], n["opacity"].cast("string"), pairs(n["params"]), pairs(n["points"]), lut,
+                                  F.array_join(inputs, "+")), 256)
+    start = F.create_map(F.lit(R.SOURCE), F.lit("source"))
+    return F.aggregate(effective["nodes"], start, lambda keys, n: F.map_concat(keys, F.create_map(n["id"], digest(keys, n))))
 
 
-def graph_render_key(effective: Column, luts: Column, shape: Column) -> Column:
-    """Digest of a render by recipe: the effective nodes (struct of nodes and output) without what only
-    the editor reads, the identities of their LUTs, and the output shape."""
-    pairs = lambda m: F.array_sort(F.transform(F.map_entries(m), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))))
-    node = lambda n: F.concat_ws("/", n["id"].cast("string"), n["kind"], F.array_join(n["inputs"].cast("array<string>"), "+"),
-                                 n["opacity"].cast("string"), n["lut"], F.array_join(pairs(n["params"]), ","), F.array_join(pairs(n["points"]), ","))
-    return F.sha2(F.concat_ws(";", shape, F.array_join(F.transform(effective["nodes"], node), "|"),
-                              effective["output"].cast("string"), F.array_join(luts, ",")), 256)
+def graph_render_key(effective: Column, contents: Column, shape: Column) -> Column:
+    """Digest of a render by recipe: the output node's digest and the output shape."""
+    return F.sha2(F.concat_ws(";", shape, F.element_at(node_keys(effective, contents), effective["output"])), 256)
 
 
 def range_violations(rows: DataFrame, settings: str, key: str = "photo_id") -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from shootlake.operators import recipes as RE
+from shootlake.operators import settings as S
 from shootlake.plans import fixtures as fx
 from shootlake.plans.registry import query
 
@@ -244,6 +245,25 @@ def recipe_packed(spark, sf):
         "recipe_id", "id", F.col("place").cast("long").alias("place"), F.round("value", 6).alias("value"))
 
 
+@query("recipe_render_classes", fx.sql("""
+  SELECT recipe_id, min(recipe_id) OVER (PARTITION BY chain) AS renders_as FROM (
+    SELECT g.recipe_id, string_agg(step, '|' ORDER BY id) AS chain FROM good g LEFT JOIN (
+      SELECT recipe_id, id, kind || CAST(opacity AS VARCHAR) || CAST(CASE kind WHEN 'white_balance' THEN [q, d] WHEN 'exposure' THEN [d] WHEN 'noise_reduction' THEN [d]
+        WHEN 'tone' THEN [t] WHEN 'optics' THEN [q % 2, d] WHEN 'film' THEN [q % 2, d, t] WHEN 'color_subtract' THEN [t, d] WHEN 'contrast' THEN [d] WHEN 'sharpen' THEN [d, t]
+        WHEN 'crop' THEN [d, t] WHEN 'rotate' THEN [q % 4] WHEN 'curves' THEN [d] ELSE [] END AS VARCHAR) AS step
+      FROM nodes WHERE NOT bypassed AND kind <> 'node' AND id <= output) n ON n.recipe_id = g.recipe_id GROUP BY 1)""", "nodes", also=_FLAWS))
+def recipe_render_classes(spark, sf):
+    """The first recipe with the same render key, which covers the effective graph and its LUTs' content."""
+    from shootlake.plans.queries.apply import lut_cubes
+    film = lut_cubes(spark, sf).where("lut_id = '0'").agg(F.max(F.sha2("text", 256))).scalar()
+    contents = F.create_map(F.lit("luts/film.cube"), F.coalesce(film, F.lit("absent")))
+    eff = RE.effective(F.col("recipe"), F.col("recipe_output"))
+    known = sound(spark, sf).withColumns({"e": eff, "contents": contents})
+    keyed = known.select("recipe_id", S.graph_render_key(F.col("e"), F.col("contents"), F.lit("2048x2048q88")).alias("key"))
+    first = keyed.groupBy("key").agg(F.min("recipe_id").alias("renders_as"))
+    return keyed.join(first, "key").select("recipe_id", "renders_as")
+
+
 @query("grain_ordinals", fx.sql("""
   SELECT recipe_id, coalesce(string_agg(CAST(id AS VARCHAR), ',' ORDER BY id), '') AS grainy FROM (
     SELECT g.recipe_id, n.id FROM good g LEFT JOIN nodes n ON n.recipe_id = g.recipe_id AND kind = 'film' AND NOT bypassed AND t > 0 AND id <= output) GROUP BY 1""", "nodes", also=_FLAWS))

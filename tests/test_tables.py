@@ -124,14 +124,24 @@ def test_projects_take_defaults(spark, tmp_path):
 
 
 def test_render_keys_follow_recipe_and_luts(spark):
-    def key(exposure, lut, contents):
-        node = recipes.node("film", F.array(F.lit(0)), F.create_map(F.lit("lut_strength"), F.lit(exposure)), 1.0, F.lit(1)).withField("lut", F.lit(lut))
-        df = spark.range(1).select(F.array(node).cast(tables.RECIPE).alias("r"))
-        eff = recipes.effective(F.col("r"), F.lit(1))
-        luts = settings.lut_identities(settings.active_luts(F.col("r")), F.create_map(*[F.lit(x) for kv in contents.items() for x in kv]))
-        return df.select(settings.graph_render_key(eff, luts, F.lit("jpeg"))).first()[0]
-    keys = [key(1.0, "a", {"a": "1"}), key(0.5, "a", {"a": "1"}), key(1.0, "b", {"a": "1"}), key(1.0, "a", {"a": "2"})]
-    assert len(set(keys)) == 4 and keys[0] == key(1.0, "a", {"a": "1"})
+    def nodes(exposure, lut, first=1):
+        ev = F.create_map(F.lit("exposure"), F.lit(exposure))
+        film = F.create_map(F.lit("lut_strength"), F.lit(0.5))
+        return F.array(recipes.node("exposure", F.array(F.lit(0)), ev, 1.0, F.lit(first)),
+                       recipes.node("film", F.array(F.lit(first)), film, 1.0, F.lit(first + 1)).withField("lut", F.lit(lut))).cast(tables.RECIPE)
+
+    def digests(exposure, lut, contents, first=1, shape="jpeg"):
+        eff = recipes.effective(nodes(exposure, lut, first), F.lit(first + 1))
+        known = F.create_map(*[F.lit(x) for kv in contents.items() for x in kv])
+        row = spark.range(1).select(settings.node_keys(eff, known).alias("k"), settings.graph_render_key(eff, known, F.lit(shape)).alias("key")).first()
+        return row["k"][first], row["key"]
+    base = digests(0.5, "a", {"a": "1"})
+    others = [digests(0.6, "a", {"a": "1"}), digests(0.5, "b", {"a": "1"}), digests(0.5, "a", {"a": "2"}), digests(0.5, "a", {"a": "1"}, shape="tiff")]
+    assert len({base[1], *[k for _, k in others]}) == 5
+    # the same content under another name, and the same nodes under other ids, are the same render
+    assert base == digests(0.5, "b", {"b": "1"}) == digests(0.5, "a", {"a": "1"}, first=7)
+    # what comes before a difference keeps its digest
+    assert base[0] == others[1][0] == others[2][0] != others[0][0]
 
 
 def test_deleted_stills(spark):
