@@ -27,4 +27,4 @@ def test_every_query_is_registered_once():
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert len(entry.queries()) > 120
     # what SQL cannot say in reasonable time is held against brute force instead: tests/test_pixels.py and tests/test_tables.py
-    assert set(registry.QUERIES) - set(registry.ORACLE) <= {"noise_reduction", "collision_free_names"}
+    assert set(registry.QUERIES) - set(registry.ORACLE) <= {"full_recipe_render", "collision_free_names"}
