@@ -8,6 +8,9 @@ with the spans that count for the loss; `read_back` takes the turns and the text
 Template: `### role`, line feed, text, `</turn>`, line feed. Inside texts and roles a backslash becomes `\\b`, `###` becomes
 `\\h`, `</turn>` becomes `\\t`, in roles also a line feed `\\n`; so the marks never occur inside and all is reversible.
 
+A message's role is that of its last event that names one, so an edit or a regeneration without a role keeps it, and stale drafts
+may tell it too.
+
 Defined results: null texts and roles are empty; events of equal seq are taken in order of kind and text; an unknown kind
 counts as delta; repeated rows are repeated events; a conversation without events has no row; null ids form one
 conversation of their own; other columns are not carried. A conversation is one row and must fit into a task.
@@ -41,15 +44,38 @@ IN_ROLE = (("\n", "\\n"),)
 
 def reconstruct(events: DataFrame) -> DataFrame:
     """(conv_id, message, role, text): every message as the log leaves it."""
-    e = events.select("conv_id", "message", "seq", F.coalesce("role", F.lit("")).alias("role"),
-                      F.coalesce("kind", F.lit("delta")).alias("kind"), F.coalesce("text", F.lit("")).alias("text"))
+    e = events.select("conv_id", "message", "seq", "role", F.coalesce("kind", F.lit("delta")).alias("kind"),
+                      F.coalesce("text", F.lit("")).alias("text"))
     order = F.struct("seq", "kind", "text")
     whole = W.partitionBy("conv_id", "message")
     fresh = F.max(F.when(F.col("kind").isin("edit", "regenerate"), order)).over(whole)
-    live = e.withColumn("at", order).withColumn("fresh", fresh).where(F.col("fresh").isNull() | (F.col("at") >= F.col("fresh")))
+    named = F.max(F.when(F.col("role").isNotNull(), F.struct("seq", "kind", "role"))).over(whole)
+    live = e.withColumn("at", order).withColumns({"fresh": fresh, "named": named["role"]}).where(F.col("fresh").isNull() | (F.col("at") >= F.col("fresh")))
     return live.groupBy("conv_id", "message").agg(
-        F.array_sort(F.collect_list(F.struct("seq", "kind", "text", "role"))).alias("parts")).select(
-        "conv_id", "message", F.col("parts")[0]["role"].alias("role"), F.array_join(F.col("parts.text"), "").alias("text"))
+        F.array_sort(F.collect_list(F.struct("seq", "kind", "text"))).alias("parts"), F.max("named").alias("role")).select(
+        "conv_id", "message", F.coalesce("role", F.lit("")).alias("role"), F.array_join(F.col("parts.text"), "").alias("text"))
+
+
+def logged(messages: DataFrame) -> DataFrame:
+    """An event log whose fold gives the messages (conv_id, message, role, text) back.
+
+    Every text comes in three deltas. Of four messages, by their hash, one is streamed so; one begins with a stale draft that a
+    regeneration throws away; one is drafted and then edited to its text; one loses its first draft, is edited and streams
+    its end. Only first events name the role. A message's events leave last first, so their order here says nothing.
+    """
+    text = F.coalesce("text", F.lit(""))
+    third = F.ceil(F.length(text) / 3).cast("int")
+    piece = [F.substr(text, F.lit(1), third), F.substr(text, third + 1, third), F.substr(text, third * 2 + 1)]
+
+    def log(*events: tuple[str, Column]) -> Column:
+        return F.array(*[F.struct(F.lit(seq).alias("seq"), (F.col("role") if seq == 0 else F.lit(None).cast("string")).alias("role"),
+                                  F.lit(kind).alias("kind"), t.alias("text")) for seq, (kind, t) in reversed(list(enumerate(events)))])
+    deltas = [("delta", p) for p in piece]
+    stale = [("delta", F.concat(F.lit("draft: "), piece[0])), ("delta", F.lit("</turn>"))]
+    which = F.pmod(F.xxhash64("conv_id", "message"), F.lit(4))
+    events = F.when(which == 0, log(*deltas)).when(which == 1, log(*stale, ("regenerate", F.lit(None).cast("string")), *deltas)).when(
+        which == 2, log(*stale, ("edit", text))).otherwise(log(*stale, ("regenerate", piece[2]), ("edit", piece[0]), *deltas[1:]))
+    return messages.select("conv_id", "message", F.explode(events).alias("e")).select("conv_id", "message", "e.*")
 
 
 def render(messages: DataFrame, trained: str = "assistant") -> DataFrame:

@@ -64,6 +64,20 @@ def test_events_fold(spark):
     assert got[3].loss_text == "" and conversation(spark, []) == {}
 
 
+def test_roles_survive_and_logs_fold_back(spark):
+    got = conversation(spark, [(1, 0, 0, "assistant", "delta", "x", None), (1, 0, 1, None, "edit", "y", None),
+                               (1, 1, 0, "user", "delta", "a", None), (1, 1, 1, None, "regenerate", None, None), (1, 1, 2, None, "delta", "b", None)])
+    assert [tuple(t) for t in got[1].turns] == [("assistant", "y"), ("user", "b")] and got[1].loss_text == "y"
+    texts = ["", None, "a", "ab", "abc", "é😀 x\n" * 7, "</turn>", "z" * 100_001]
+    messages = spark.createDataFrame([(c, m, "user" if m % 2 else None, t) for c in range(6) for m, t in enumerate(texts)],
+                                     "conv_id long, message int, role string, text string")
+    log = chat_format.logged(messages)
+    assert {r.kind for r in log.select("kind").distinct().collect()} == {"delta", "edit", "regenerate"}
+    back = chat_format.reconstruct(log.repartition(7)).collect()
+    assert sorted((r.conv_id, r.message, r.role, r.text) for r in back) == sorted(
+        (r.conv_id, r.message, r.role or "", r.text or "") for r in messages.collect())
+
+
 ASSIGN = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
 
 
