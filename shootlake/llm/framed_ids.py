@@ -2,9 +2,11 @@
 
 `encode` gives the ids of texts with a lower-casing, byte-level vocabulary with word ends. `write` puts each document's ids
 into one record of a shard file: length (8 bytes), masked CRC-32C of the length, the ids as unsigned integers, masked
-CRC-32C of the ids; all numbers little-endian. Ids take 2 bytes where the vocabulary fits, else 4; the manifest tells. Beside each shard an index file holds (offset, length) of every
-record, for reading in any order. Shards follow ascending id; the returned manifest, one row per document, is what counts:
-files of failed attempts are in no manifest and never read. `read` fetches records by the manifest and checks both sums.
+CRC-32C of the ids; all numbers little-endian. Ids take 2 bytes where the vocabulary fits, else 4; the manifest tells.
+Beside each shard an offset index holds (offset, length) of every record, 16 bytes each. Shards follow ascending id; the
+returned manifest, one row per document, is what counts: files of failed attempts are in no manifest and never read. The
+manifest knows a record by its number in its shard only: where it lies, both readers learn from the index. `read` goes in
+file order, `shuffled` in a random order fixed by a seed; both check both sums of every record.
 
 Defined results: a null text is the empty text; equal ids are ordered by text fingerprint; repeated rows become repeated
 records; null ids come first; an empty table gives an empty manifest; very long texts are one record; other columns are
@@ -29,6 +31,8 @@ from shootlake.llm.shared import file_system, fresh_path, ids_and_texts, settle
 
 #: Characters handled at once, bytes of a shard after which a new one begins, words a worker remembers.
 BLOCK, SHARD, REMEMBERED = 2_000_000, 256 << 20, 1_500_000
+#: Bytes of neighbouring records taken in one read, records of a shuffled read held at once.
+READ, DRAWN = 8 << 20, 512
 LETTER, DIGIT, SPACE, SIGN, ODD = 1, 2, 3, 4, 5
 
 
@@ -227,10 +231,10 @@ class _Shard:
         fs.create_dir(self.folder, recursive=True)
         self.file = fs.open_output_stream(f"{self.folder}/{self.name}")
         self.index = fs.open_output_stream(f"{self.folder}/{self.name}.index")
-        self.size = 0
+        self.size = self.count = 0
 
     def add(self, flat: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Append a record per row; returns where each begins."""
+        """Append a record per row; returns the number of each in this shard."""
         width = self.width
         data, sizes = flat.astype(f"<u{width}").view(np.uint8), np.diff(offsets) * width
         heads = sizes.astype("<u8").view(np.uint8)
@@ -247,7 +251,8 @@ class _Shard:
         self.file.write(out.tobytes())
         self.index.write(np.stack([begins, sizes], axis=1).astype("<i8").tobytes())
         self.size += int(at[-1])
-        return begins
+        self.count += len(sizes)
+        return np.arange(self.count - len(sizes), self.count)
 
     def close(self) -> None:
         self.file.close()
@@ -255,7 +260,7 @@ class _Shard:
 
 
 def write(df: DataFrame, model: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[str, DataFrame]:
-    """Write all documents; (folder, manifest of id, part, place, shard, at, n_tokens, width)."""
+    """Write all documents; (folder, manifest of id, part, place, shard, number, n_tokens, width)."""
     from pyspark import TaskContext
     spark = df.sparkSession
     folder = fresh_path(spark, "records")
@@ -277,16 +282,16 @@ def write(df: DataFrame, model: str, end_id: int, id_col: str = "doc_id", text_c
                     if shard:
                         shard.close()
                     shard = _Shard(folder, width)
-                begins = shard.add(full, ends)
+                numbers = shard.add(full, ends)
                 yield pa.RecordBatch.from_arrays([
                     rows.column("id"), pa.array(np.full(len(n), part)), pa.array(place + np.arange(len(n))),
-                    pa.array([shard.name] * len(n)), pa.array(begins), pa.array(n),
-                    pa.array(np.full(len(n), width))], ["id", "part", "place", "shard", "at", "n_tokens", "width"])
+                    pa.array([shard.name] * len(n)), pa.array(numbers), pa.array(n),
+                    pa.array(np.full(len(n), width))], ["id", "part", "place", "shard", "number", "n_tokens", "width"])
                 place += len(n)
         if shard:
             shard.close()
     kind = source.schema["id"].dataType.simpleString()
-    manifest = ordered.mapInArrow(run, f"id {kind}, part long, place long, shard string, at long, n_tokens long, width long")
+    manifest = ordered.mapInArrow(run, f"id {kind}, part long, place long, shard string, number long, n_tokens long, width long")
     return folder, settle(manifest, "manifest")
 
 
@@ -298,52 +303,114 @@ def with_starts(manifest: DataFrame) -> DataFrame:
     return manifest.join(parts.select("part", "base"), "part").withColumn("start", F.col("base") + F.coalesce(before, F.lit(0)))
 
 
+class _Records:
+    """Records of shards by their numbers; offsets and lengths come from the shard's index."""
+
+    def __init__(self, folder: str):
+        self.fs, self.base = file_system(folder)
+        self.name, self.file, self.index = None, None, None
+
+    def open(self, shard: str) -> None:
+        if shard != self.name:
+            self.close()
+            self.name, self.file = shard, self.fs.open_input_file(f"{self.base}/{shard}")
+            self.index = self.fs.open_input_file(f"{self.base}/{shard}.index")
+
+    def close(self) -> None:
+        if self.file:
+            self.file.close()
+            self.index.close()
+            self.file = None
+
+    def entries(self, first: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """(offset, length) of `n` records from number `first` on."""
+        self.index.seek(16 * first)
+        raw = np.frombuffer(self.index.read(16 * n), "<i8").reshape(-1, 2)
+        if len(raw) < n:
+            raise ValueError(f"damaged index of {self.name}")
+        return raw[:, 0], raw[:, 1]
+
+    def fetch(self, begins: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(bytes of ids, offsets) of neighbouring records in one read, both checksums tested."""
+        self.file.seek(int(begins[0]))
+        data = np.frombuffer(self.file.read(int(begins[-1] + sizes[-1] + 16 - begins[0])), np.uint8)
+        local = begins - begins[0]
+        if len(data) < local[-1] + sizes[-1] + 16:
+            raise ValueError(f"damaged record in {self.name} near byte {begins[0]}")
+        heads = data[local[:, None] + np.arange(12)]
+        told = heads[:, :8].copy().view("<u8").ravel().astype(np.int64)
+        head_sums = heads[:, 8:].copy().view("<u4").ravel()
+        good = not (told != sizes).any() and not (
+            masked_crc32c(heads[:, :8].copy().ravel(), np.arange(len(told) + 1) * 8, 8) != head_sums).any()
+        if good:
+            bounds = offsets_of(told)
+            body = data[np.arange(bounds[-1]) + np.repeat(local + 12 - bounds[:-1], told)]
+            sums = data[(local + 12 + told)[:, None] + np.arange(4)].copy().view("<u4").ravel()
+            good = not (masked_crc32c(body, bounds) != sums).any()
+        if not good:
+            raise ValueError(f"damaged record in {self.name} near byte {begins[0]}")
+        return body, bounds
+
+    def each(self, shards: list[str], numbers: np.ndarray):
+        """(first row, end row, bytes, offsets) for stretches of rows whose records follow one another."""
+        at = 0
+        while at < len(shards):
+            end = at + 1
+            while end < len(shards) and shards[end] == shards[at] and numbers[end] == numbers[end - 1] + 1:
+                end += 1
+            self.open(shards[at])
+            begins, sizes = self.entries(int(numbers[at]), end - at)
+            while at < end:
+                n = max(1, int(np.searchsorted(begins + sizes, begins[0] + READ)))
+                yield (at, at + n, *self.fetch(begins[:n], sizes[:n]))
+                begins, sizes, at = begins[n:], sizes[n:], at + n
+
+
 def read(folder: str, manifest: DataFrame) -> DataFrame:
-    """(id, start, n_tokens, ids_crc32) of every record, read from the files, both checksums tested."""
+    """(id, start, n_tokens, ids_crc32) of every record, read from the files by the index, both checksums tested."""
     def run(batches):
         import zlib
-        opened, source = None, None
+        records = _Records(folder)
         for batch in batches:
-            begins = batch.column("at").to_numpy()
             widths = batch.column("width").to_numpy()
-            sizes = batch.column("n_tokens").to_numpy() * widths
-            shards = batch.column("shard").to_pylist()
             found = []
-            at = 0
-            while at < len(begins):  # stretches of following records in one read
-                end = at + 1
-                while (end < len(begins) and shards[end] == shards[at] and widths[end] == widths[at]
-                       and begins[end] == begins[end - 1] + sizes[end - 1] + 16
-                       and begins[end] - begins[at] < 8 << 20):
-                    end += 1
-                if opened != shards[at]:
-                    if source:
-                        source.close()
-                    fs, base = file_system(folder)
-                    opened, source = shards[at], fs.open_input_file(f"{base}/{shards[at]}")
-                source.seek(int(begins[at]))
-                raw = source.read(int(begins[end - 1] + sizes[end - 1] + 16 - begins[at]))
-                data = np.frombuffer(raw, np.uint8)
-                local = begins[at:end] - begins[at]
-                heads = data[local[:, None] + np.arange(12)]
-                told = heads[:, :8].copy().view("<u8").ravel().astype(np.int64)
-                head_sums = heads[:, 8:].copy().view("<u4").ravel()
-                bounds = offsets_of(told)
-                body = data[np.arange(bounds[-1]) + np.repeat(local + 12 - bounds[:-1], told)]
-                sums = data[(local + 12 + told)[:, None] + np.arange(4)].copy().view("<u4").ravel()
-                if ((told != sizes[at:end]).any() or (masked_crc32c(body, bounds) != sums).any()
-                        or (masked_crc32c(heads[:, :8].copy().ravel(), np.arange(len(told) + 1) * 8, 8) != head_sums).any()):
-                    raise ValueError(f"damaged record in {shards[at]} near byte {begins[at]}")
+            for at, _, body, bounds in records.each(batch.column("shard").to_pylist(), batch.column("number").to_numpy()):
                 ids = body.view(f"<u{widths[at]}").astype("<u4").tobytes()
-                found += [(n // 4, zlib.crc32(ids[a:a + n])) for a, n in zip(
-                    (bounds[:-1] // widths[at] * 4).tolist(), (told // widths[at] * 4).tolist())]
-                at = end
+                places = (bounds // widths[at] * 4).tolist()
+                found += [((b - a) // 4, zlib.crc32(ids[a:b])) for a, b in zip(places, places[1:])]
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("start"),
                                               pa.array([n for n, _ in found], pa.int64()),
                                               pa.array([c for _, c in found], pa.int64())],
                                              ["id", "start", "n_tokens", "ids_crc32"])
-        if source:
-            source.close()
+        records.close()
     kind = manifest.schema["id"].dataType.simpleString()
-    return manifest.select("id", "start", "shard", "at", "n_tokens", "width").mapInArrow(
+    return manifest.select("id", "start", "shard", "number", "width").mapInArrow(
         run, f"id {kind}, start long, n_tokens long, ids_crc32 long")
+
+
+def shuffled(folder: str, manifest: DataFrame, seed: int) -> DataFrame:
+    """(draw, id, ids) of every record in a random order, the same for the same seed and files' contents.
+
+    Rows are dealt out by ranges of `draw`, a hash of seed, part and place, and ascend by it from one partition to the next. A
+    task reads a block of `DRAWN` records at once by their index entries, in file order, and gives them back in drawn order.
+    """
+    kind = manifest.schema["id"].dataType.simpleString()
+    drawn = manifest.withColumn("draw", F.xxhash64(F.lit(seed), "part", "place")).select(
+        "draw", "part", "place", "id", "shard", "number", "width")
+    dealt = drawn.repartitionByRange("draw", "part", "place").sortWithinPartitions("draw", "part", "place")
+
+    def run(batches):
+        records = _Records(folder)
+        for whole in batches:
+            for first in range(0, whole.num_rows, DRAWN):
+                batch = whole.slice(first, DRAWN)
+                shards, numbers = batch.column("shard").to_pylist(), batch.column("number").to_numpy()
+                order = sorted(range(len(shards)), key=lambda k: (shards[k], numbers[k]))
+                widths, out = batch.column("width").to_numpy()[order], [None] * len(shards)
+                for at, end, body, bounds in records.each([shards[k] for k in order], numbers[order]):
+                    for k in range(at, end):
+                        out[order[k]] = body[bounds[k - at]:bounds[k - at + 1]].view(f"<u{widths[k]}").astype(np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(offsets_of(np.array([len(o) for o in out])), pa.int32()), np.concatenate(out))
+                yield pa.RecordBatch.from_arrays([batch.column("draw"), batch.column("id"), ids], ["draw", "id", "ids"])
+        records.close()
+    return dealt.mapInArrow(run, f"draw long, id {kind}, ids array<int>")

@@ -129,6 +129,26 @@ def test_records_round_trip(odd, none, words):
     assert framed_ids.read(folder, framed_ids.with_starts(manifest)).count() == 0
 
 
+def test_shuffled_reads_go_by_the_index(odd, none, words):
+    folder, manifest = framed_ids.write(odd, WORDS, end_id=1)
+    got = framed_ids.shuffled(folder, manifest, 7).collect()
+    assert [r.draw for r in got] == sorted(r.draw for r in got)
+    want = sorted((r.doc_id is not None, r.doc_id or 0, *words.encode(r.text or "", add_special_tokens=False).ids, 1) for r in odd.collect())
+    assert sorted((r.id is not None, r.id or 0, *r.ids) for r in got) == want
+    assert got == framed_ids.shuffled(folder, manifest, 7).collect()
+    assert [r.id for r in got] != [r.id for r in framed_ids.shuffled(folder, manifest, 8).collect()]
+    fs, base = framed_ids.file_system(folder)
+    for name in {r.shard for r in manifest.collect()}:  # an index that points elsewhere is noticed
+        raw = np.fromfile(f"{base}/{name}.index", "<i8")
+        raw[::2] += 1
+        raw.tofile(f"{base}/{name}.index")
+    for broken in (framed_ids.shuffled(folder, manifest, 7), framed_ids.read(folder, framed_ids.with_starts(manifest))):
+        with pytest.raises(Exception, match="damaged record"):
+            broken.collect()
+    folder, manifest = framed_ids.write(none, WORDS, end_id=1)
+    assert framed_ids.shuffled(folder, manifest, 7).count() == 0
+
+
 def test_damage_is_noticed(odd):
     folder, manifest = framed_ids.write(odd.where("doc_id = 4"), WORDS, end_id=1)
     fs, base = framed_ids.file_system(folder)
