@@ -1,5 +1,6 @@
 """Decontamination, near duplicates, classifier, archives and pipeline against brute force."""
 
+import gzip
 import itertools
 import random
 import re
@@ -259,6 +260,30 @@ def test_archives(spark):
     assert warc_archive.read(folder, warc_archive.merge(captures)).count() == 0
 
 
+def test_external_merge_in_passes(spark, monkeypatch):
+    monkeypatch.setattr(warc_archive, "BLOCK", 4)
+    monkeypatch.setattr(warc_archive, "FAN_IN", 3)
+    monkeypatch.setattr(warc_archive, "RANGE", 150)
+    monkeypatch.setattr(warc_archive, "ARCHIVE", 4000)
+    rng = random.Random(9)
+    rows = [(rng.randrange(300), f"http://h{'x' if rng.random() < .4 else rng.randrange(40)}.org/", rng.choice([None, 5, rng.randrange(99)]))
+            for _ in range(800)] + [(None, None, None)] * 5
+    pages = spark.createDataFrame(rows, "page_id long, url string, t long").withColumn("html", F.concat(F.lit("p"), F.col("page_id")))
+    folder, captures = warc_archive.write(pages.repartition(6), "page_id", "url", "html", F.timestamp_seconds("t"))
+    assert captures.select("run").distinct().count() > 27  # three passes
+    assert captures.agg(F.max("block")).first()[0] > 0
+    index = warc_archive.merge(captures).withColumn("part", F.input_file_name()).collect()
+    held = [(r.key, r.time or "", r.id is not None, r.id or 0) for r in sorted(index, key=lambda r: (re.search(r"part-(\d+)", r.part)[1], r.place))]
+    assert held == sorted((r.key, r.time or "", r.id is not None, r.id or 0) for r in captures.collect()) and len(held) == len(rows)
+    assert len({r.part for r in index}) > 3
+    fs, base = warc_archive.file_system(folder)
+    records = []
+    for name in {r.file for r in index}:
+        raw = open(f"{base}/{name}", "rb").read()
+        records += re.findall(r"WARC-Record-ID: (\S+)", gzip.decompress(raw).decode())
+    assert len(records) == len(set(records)) == len(rows) + len({r.file for r in index})
+
+
 def test_loser_tree():
     rng = random.Random(1)
     for _ in range(200):
