@@ -33,6 +33,16 @@ def index(captures: DataFrame, within: int = WITHIN_SECONDS, distance: int = SIG
     A project is cut into chunks of at most `width` sequence numbers; one summary row per chunk carries
     the state on, so no project is a single task.
     """
+    numbered = number(captures, within, distance, width)
+    sizes = numbered.groupBy("project_id", "burst").agg(F.count(F.lit(1)).alias("size"))
+    return numbered.join(sizes, ["project_id", "burst"])
+
+
+def number(captures: DataFrame, within: int = WITHIN_SECONDS, distance: int = SIGNATURE_DISTANCE,
+           width: int = ordered.DEFAULT_WIDTH, seeds: DataFrame | None = None) -> DataFrame:
+    """`index` without sizes. `seeds` holds the last numbered capture of projects (project_id, seconds,
+    signature, burst, place, seq), from where counting goes on; captures that begin before it open a burst.
+    """
     inside = Window.partitionBy("project_id", CHUNK).orderBy("seq")
     frame = F.struct("seconds", "signature")
     bits, starts = _parts(within, distance, frame, F.col("_before"))
@@ -45,28 +55,36 @@ def index(captures: DataFrame, within: int = WITHIN_SECONDS, distance: int = SIG
     # one row per chunk: how it begins and ends, its rows, and the bursts opened inside it
     summary = local.groupBy("project_id", CHUNK).agg(
         F.min_by(frame, "seq").alias("_first"), F.max_by(frame, "seq").alias("_last"),
-        F.max("_n").alias("_rows"), F.max("_opened").alias("_inner"), F.max("_at").alias("_last_at"))
+        F.max("_n").alias("_rows"), F.max("_opened").alias("_inner"), F.max("_at").alias("_last_at"), F.min("seq").alias("_from"))
     chunks = Window.partitionBy("project_id").orderBy(CHUNK)
     earlier = chunks.rowsBetween(Window.unboundedPreceding, -1)
-    summary = summary.withColumn("_tail", F.lag("_last").over(chunks))
+    tail, late, opened, bursts_before = F.lag("_last").over(chunks), F.lit(False), F.lit(None).cast("long"), F.lit(0)
+    if seeds is not None:
+        seed = F.struct("seconds", "signature", "burst", "place", "seq")
+        summary = summary.join(seeds.select("project_id", seed.alias("_seed")), "project_id", "left")
+        follows = F.col("_seed").isNotNull() & (F.row_number().over(chunks) == 1)
+        tail = F.coalesce(tail, F.when(follows, F.struct("_seed.seconds", "_seed.signature")))
+        summary = summary.withColumn("_follows", follows)
+        late = F.coalesce(F.col("_follows") & (F.col("_from") < F.col("_seed.seq")), F.lit(False))
+        opened, bursts_before = F.when(F.col("_follows"), -F.col("_seed.place")), F.coalesce("_seed.burst", F.lit(0))
+    summary = summary.withColumn("_tail", tail)
     edge_bits, edge_starts = _parts(within, distance, F.col("_first"), F.col("_tail"))
+    edge_starts = edge_starts | late
     summary = (summary.withColumn("_edge_bits", edge_bits).withColumn("_edge", edge_starts)
                .withColumn("_base", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
-               .withColumn("_bursts", F.coalesce(
+               .withColumn("_bursts", bursts_before + F.coalesce(
                    F.sum(F.col("_inner") + F.col("_edge").cast("long")).over(earlier), F.lit(0)))
-               .withColumn("_start", F.when(F.col("_edge") | F.col("_tail").isNull(), F.col("_base") + 1))
+               .withColumn("_start", F.when(F.col("_edge") | F.col("_tail").isNull(), F.col("_base") + 1).otherwise(opened))
                .withColumn("_final", F.coalesce(F.col("_base") + F.col("_last_at"), F.col("_start")))
                .withColumn("_carried", F.last("_final", ignorenulls=True).over(earlier)))
     carried = summary.select("project_id", CHUNK, "_edge_bits", "_edge", "_base", "_bursts", "_start", "_carried")
     at = F.coalesce(F.col("_base") + F.col("_at"), F.col("_start"), F.col("_carried"))
-    numbered = (local.join(carried, ["project_id", CHUNK])
-                .withColumn("distance", F.when(F.col("_n") == 1, F.col("_edge_bits")).otherwise(F.col("_bits")))
-                .withColumn("boundary", F.when(F.col("_n") == 1, F.col("_edge")).otherwise(F.col("_starts")))
-                .withColumn("burst", F.col("_bursts") + F.col("_edge").cast("long") + F.col("_opened"))
-                .withColumn("place", F.col("_base") + F.col("_n") - at)
-                .select(*captures.columns, "distance", "boundary", "burst", "place"))
-    sizes = numbered.groupBy("project_id", "burst").agg(F.count(F.lit(1)).alias("size"))
-    return numbered.join(sizes, ["project_id", "burst"])
+    return (local.join(carried, ["project_id", CHUNK])
+            .withColumn("distance", F.when(F.col("_n") == 1, F.col("_edge_bits")).otherwise(F.col("_bits")))
+            .withColumn("boundary", F.when(F.col("_n") == 1, F.col("_edge")).otherwise(F.col("_starts")))
+            .withColumn("burst", F.col("_bursts") + F.col("_edge").cast("long") + F.col("_opened"))
+            .withColumn("place", F.col("_base") + F.col("_n") - at)
+            .select(*captures.columns, "distance", "boundary", "burst", "place"))
 
 
 def summarise(index: DataFrame) -> DataFrame:

@@ -45,8 +45,9 @@ def streamed_bursts(spark, sf):
         "vec_id", F.col("event_id") % fx.rows_of(spark, sf, "embeddings")).drop("event_id")
     rows = ev.join(signs, "vec_id", "left").selectExpr(
         "project_id", "seq", "key", "seconds", "CASE WHEN unsigned THEN NULL ELSE signature END AS signature", "taken")
-    out = _run(spark, ST.streamed_bursts(rows, WITHIN, DISTANCE))
-    return spark.read.parquet(out).select("project_id", "seq", "burst", "place")
+    out = f"{_place(spark)}/bursts"
+    _run(spark, rows, ST.keep_bursts(out, WITHIN, DISTANCE), out)
+    return ST.read_bursts(spark, out).select("project_id", "seq", "burst", "place")
 
 
 @query("streamed_verdicts", """
