@@ -246,6 +246,18 @@ def render_violations(rows: DataFrame, settings: str, key: str = "photo_id") ->
         bad | F.isnan("v.num") | (F.abs("v.num") == float("inf"))).select(key, "setting", F.col("v.num").alias("value")))
 
 
+# What a renderer accepts beside the stages' settings; the defaults are 92, 1 and 0 (no crop factor given).
+OPTION_RANGES = {"quality": (1.0, 100.0), "focal_reducer": (0.1, 2.0), "crop_factor": (0.0, 10.0)}
+
+
+def option_problems(options: Column) -> Column:
+    """Output and lens options a renderer refuses, in a fixed order; missing numbers keep their defaults, so pass."""
+    checks = [(~F.coalesce(options["format"].isin("jpeg", "tiff"), F.lit(False)), "format")]
+    checks += [(F.coalesce(~options[k].between(lo, hi) | F.isnan(options[k].cast("double")), F.lit(False)), k)
+               for k, (lo, hi) in OPTION_RANGES.items()]
+    return F.filter(F.array(*[F.when(c, F.lit(n)) for c, n in checks]), lambda x: x.isNotNull())
+
+
 def stage_list_ok(disabled: Column) -> Column:
     known = F.array(*[F.lit(s) for s in STAGES])
     return (F.size(F.array_distinct(disabled)) == F.size(disabled)) & (F.size(F.array_except(disabled, known)) == 0)

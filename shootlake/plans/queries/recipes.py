@@ -65,6 +65,50 @@ def recipe_param_violations(spark, sf):
     return RE.violations(fx.recipe_nodes(spark, sf).select("recipe_id", F.array("n").alias("recipe")), "recipe_id").withColumn("node", F.col("node").cast("long"))
 
 
+# Nodes whose numbers come from order lines, so that every rule of a range, rectangle, turn and curve is met and broken.
+_FAULTS = """
+  WITH l AS (SELECT l_orderkey AS recipe_id, l_linenumber AS node, l_partkey % 6 AS k, l_partkey % 13 AS a, l_suppkey % 11 AS b,
+      CAST(l_partkey % 13 AS DOUBLE) / 10 AS x, CAST(l_suppkey % 11 AS DOUBLE) / 10 AS y,
+      CAST(l_partkey % 13 AS DOUBLE) / 10 + CAST(l_suppkey % 11 AS DOUBLE) / 1000
+        - CASE WHEN l_suppkey % 11 = 1 THEN CAST(5e-10 AS DOUBLE) ELSE 0 END AS z FROM lineitem),
+  v AS (SELECT recipe_id, node, unnest(CASE k
+      WHEN 0 THEN [CASE WHEN x > 1 THEN 'left' END, CASE WHEN y < CAST(0.05 AS DOUBLE) THEN 'width' END,
+                   CASE WHEN 10 * (CAST(a AS DOUBLE) - 6) NOT BETWEEN -45 AND 45 THEN 'angle' END,
+                   CASE WHEN x + y > CAST(1.0001 AS DOUBLE) THEN 'rectangle' END]
+      WHEN 1 THEN [CASE WHEN CAST(a AS DOUBLE) / 2 - 1 NOT BETWEEN 0 AND 3 THEN 'quarter_turns' END, CASE WHEN a % 2 = 1 THEN 'quarter_turns' END]
+      WHEN 2 THEN [CASE WHEN 5 * y NOT BETWEEN CAST(0.2 AS DOUBLE) AND 4 THEN 'contrast' END,
+                   CASE WHEN x NOT BETWEEN CAST(0.05 AS DOUBLE) AND CAST(0.95 AS DOUBLE) THEN 'pivot' END]
+      WHEN 3 THEN [CASE WHEN a > 3 THEN 'amount' END, CASE WHEN y < CAST(0.3 AS DOUBLE) THEN 'radius' END, CASE WHEN b > 8 THEN 'threshold' END]
+      WHEN 4 THEN [CASE WHEN a > 4 THEN 'red' END, CASE WHEN b = 0 THEN 'green' END, CASE WHEN b = 1 THEN 'opacity' END]
+      ELSE [CASE WHEN b > 7 OR x > 1 OR z > 1 OR b = 6 OR NOT x > CAST(0.001 AS DOUBLE)
+                   OR NOT z - x {gap} THEN CASE WHEN b > 7 THEN 'luma' ELSE 'red' END END] END) AS setting FROM l)
+  SELECT recipe_id, node, setting FROM v WHERE setting IS NOT NULL"""
+
+
+def _faulty_nodes(spark, sf):
+    line = fx.table(spark, sf, "lineitem").selectExpr(
+        "l_orderkey AS recipe_id", "l_linenumber AS id", "l_partkey % 6 AS k", "l_partkey % 13 AS a", "l_suppkey % 11 AS b")
+    made = line.selectExpr("*", "double(a) / 10 AS x", "double(b) / 10 AS y", "double(a) / 10 + double(b) / 1000 - if(b = 1, 5e-10D, 0D) AS z").selectExpr(
+        "recipe_id", "id", "element_at(array('crop', 'rotate', 'contrast', 'sharpen', 'color_subtract', 'curves'), int(k) + 1) AS kind",
+        """CASE k WHEN 0 THEN map('left', x, 'width', y, 'angle', 10 * (double(a) - 6)) WHEN 1 THEN map('quarter_turns', double(a) / 2 - 1)
+           WHEN 2 THEN map('contrast', 5 * y, 'pivot', x) WHEN 3 THEN map('amount', double(a), 'radius', y, 'threshold', double(b))
+           WHEN 4 THEN map('red', double(a), if(b = 1, 'opacity', 'green'), if(b = 0, NULL, 1D)) ELSE cast(map() AS map<string, double>) END AS params""",
+        """CASE WHEN k = 5 THEN map(if(b > 7, 'luma', 'red'), slice(array(0D, 0D, x, x, z, 1D), 1, if(b = 6, 5, 6)))
+           ELSE cast(map() AS map<string, array<double>>) END AS points""")
+    return made.select("recipe_id", F.array(F.struct("id", "kind", "params", "points")).alias("recipe"))
+
+
+@query("node_faults", _FAULTS.format(gap="> CAST(0.001 AS DOUBLE)"))
+def node_faults(spark, sf):
+    return RE.violations(_faulty_nodes(spark, sf), "recipe_id", render=False)
+
+
+@query("node_render_faults", _FAULTS.format(gap=">= CAST(0.001 AS DOUBLE) - CAST(1e-9 AS DOUBLE)").replace(
+    "NOT x > CAST(0.001 AS DOUBLE)", "NOT x >= CAST(0.001 AS DOUBLE) - CAST(1e-9 AS DOUBLE)"))
+def node_render_faults(spark, sf):
+    return RE.violations(_faulty_nodes(spark, sf), "recipe_id", render=True)
+
+
 def text(nodes):
     return F.array_join(F.transform(nodes, lambda n: F.concat(n["id"].cast("string"), F.lit(":"), n["kind"], F.when(n["bypassed"], F.lit("*")).otherwise(F.lit("")),
                                                               F.lit("("), F.array_join(n["inputs"].cast("array<string>"), ","), F.lit(")"))), " ")

@@ -220,3 +220,18 @@ def disabled_stage_check(spark, sf):
   FROM projects""", "projects"))
 def export_problems(spark, sf):
     return fx.projects(spark, sf).select("project_id", F.array_join(S.export_problems(F.col("export")), ",").alias("problems"))
+
+
+@query("render_options", """
+  SELECT l_orderkey AS photo_id, l_linenumber AS attempt, array_to_string(list_filter([
+      CASE WHEN l_returnflag NOT IN ('A', 'N') THEN 'format' END, CASE WHEN q NOT BETWEEN 1 AND 100 THEN 'quality' END,
+      CASE WHEN a = 12 OR CAST(a AS DOUBLE) / 5 NOT BETWEEN CAST(0.1 AS DOUBLE) AND 2 THEN 'focal_reducer' END,
+      CASE WHEN b = 0 OR b = 10 THEN 'crop_factor' END], lambda w: w IS NOT NULL), ' ') AS problems
+  FROM (SELECT *, CAST(l_quantity AS INTEGER) * 3 - 20 AS q, CASE WHEN l_partkey % 13 = 11 THEN NULL ELSE l_partkey % 13 END AS a,
+               l_suppkey % 11 AS b FROM lineitem)""")
+def render_options(spark, sf):
+    made = fx.table(spark, sf, "lineitem").selectExpr("l_orderkey AS photo_id", "l_linenumber AS attempt", """named_struct(
+        'format', CASE l_returnflag WHEN 'A' THEN 'jpeg' WHEN 'N' THEN 'tiff' ELSE lower(l_returnflag) END, 'quality', int(l_quantity) * 3 - 20,
+        'focal_reducer', CASE l_partkey % 13 WHEN 12 THEN double('NaN') WHEN 11 THEN NULL ELSE double(l_partkey % 13) / 5 END,
+        'crop_factor', if(l_suppkey % 11 = 10, double('Infinity'), double(l_suppkey % 11) - 1)) AS options""")
+    return made.select("photo_id", "attempt", F.array_join(S.option_problems(F.col("options")), " ").alias("problems"))

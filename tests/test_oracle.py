@@ -9,7 +9,7 @@ from tests.oracle import compare, connect
 SF = "/root/testdata/sf0.001"
 NAMES = ["burst_index", "catalogue_records", "settings_as_rendered", "recipe_errors", "recipe_insert", "white_balance",
          "downscale", "noise_profile", "lens_aliases", "still_upsert", "recipe_rewire", "lut_problems", "absent_luts",
-         "project_violations", "region_read"]
+         "project_violations", "region_read", "node_faults", "node_render_faults", "render_options", "latest_results", "streamed_bursts"]
 
 
 @pytest.fixture(scope="module")
