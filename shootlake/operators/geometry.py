@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from shootlake.operators import tiles
 
 RGB = ("r", "g", "b")
+#: Columns of a rectangle of whole pixels; the ends are not in it.
+BOUNDS = ("x0", "y0", "x1", "y1")
 
 
 def _half_up(v: Column) -> Column:
@@ -81,22 +83,36 @@ def gather(points: DataFrame, source: DataFrame, cols: tuple[str, ...] = RGB, ti
     return met.select(*points.columns, *[mix(c).alias(c) for c in cols])
 
 
-def grid(frames: DataFrame, width: str = "width", height: str = "height") -> DataFrame:
-    """One row per pixel place of each frame; rows first, so a huge frame spreads before it widens."""
-    rows = frames.withColumn("y", F.explode(F.sequence(F.lit(0), (F.col(height) - 1).cast("int"))))
-    return rows.repartition("image_id", "y").withColumn("x", F.explode(F.sequence(F.lit(0), (F.col(width) - 1).cast("int"))))
+def grid(frames: DataFrame, width: str = "width", height: str = "height", places: DataFrame | None = None) -> DataFrame:
+    """One row per pixel place of each frame; rows first, so a huge frame spreads before it widens.
 
-
-def crop_turned(px: DataFrame, windows: DataFrame, angle: Column, tile: int = tiles.TILE) -> DataFrame:
-    """Crop after turning the frame by `angle` degrees about the crop's centre; one bilinear pass."""
+    With `places` (image_id, x0, y0, x1, y1; the ends are not in it) only those of each frame's rectangle.
+    """
+    first, last = {"x": F.lit(0), "y": F.lit(0)}, {"x": F.col(width) - 1, "y": F.col(height) - 1}
+    columns = [F.col(c) for c in frames.columns]
+    if places is not None:
+        bounds = places.where("x1 > x0 AND y1 > y0").select("image_id", *[F.col(c).alias(f"_g{c}") for c in BOUNDS])
+        frames = frames.join(bounds, "image_id")
+        first = {a: F.col(f"_g{a}0") for a in "xy"}
+        last = {a: F.col(f"_g{a}1") - 1 for a in "xy"}
+    rows = frames.withColumn("y", F.explode(F.sequence(first["y"], last["y"].cast("int"))))
+    wide = rows.repartition("image_id", "y").withColumn("x", F.explode(F.sequence(first["x"], last["x"].cast("int"))))
+    return wide.select(*columns, "y", "x")
+
+
+def crop_turned(px: DataFrame, windows: DataFrame, angle: Column, tile: int = tiles.TILE, places: DataFrame | None = None) -> DataFrame:
+    """Crop after turning the frame by `angle` degrees about the crop's centre; one bilinear pass.
+
+    With `places` only those of the crop's pixels are made (see `grid`).
+    """
     w = windows.withColumn("_rad", F.radians(angle)).withColumns(
         {"_cx": F.col("x0") + F.col("cw") * 0.5, "_cy": F.col("y0") + F.col("ch") * 0.5,
          "_cos": F.cos("_rad"), "_sin": F.sin("_rad")})
-    places = grid(w, "cw", "ch")
+    cells = grid(w, "cw", "ch", places)
     dx, dy = F.col("x0") + F.col("x") + 0.5 - F.col("_cx"), F.col("y0") + F.col("y") + 0.5 - F.col("_cy")
-    points = places.select("image_id", "y", "x", "width", "height",
-                           (F.col("_cx") + F.col("_cos") * dx + F.col("_sin") * dy - 0.5).alias("sx"),
-                           (F.col("_cy") - F.col("_sin") * dx + F.col("_cos") * dy - 0.5).alias("sy"))
+    points = cells.select("image_id", "y", "x", "width", "height",
+                          (F.col("_cx") + F.col("_cos") * dx + F.col("_sin") * dy - 0.5).alias("sx"),
+                          (F.col("_cy") - F.col("_sin") * dx + F.col("_cos") * dy - 0.5).alias("sy"))
     return gather(points, px, tile=tile).select("image_id", "y", "x", *RGB)
 
 
@@ -115,26 +131,79 @@ def zoom_to_fill(mapped: DataFrame, step: int = 4) -> DataFrame:
                           .otherwise(F.lit(1.0)).alias("zoom"))
 
 
-def remap(px: DataFrame, lens_map: DataFrame, frames: DataFrame, strength: Column, tile: int = tiles.TILE) -> DataFrame:
+def _blended(lens_map: DataFrame, frames: DataFrame, strength: Column) -> DataFrame:
+    """The map with `gx, gy`: places blended between themselves and the map by strength."""
+    sized = lens_map.join(frames.select("image_id", "width", "height", strength.alias("_s")), "image_id")
+    return sized.withColumns({"gx": F.col("x") + (F.col("mx") - F.col("x")) * F.col("_s"),
+                              "gy": F.col("y") + (F.col("my") - F.col("y")) * F.col("_s")})
+
+
+def _zoomed(at: Column, size: str) -> Column:
+    """Where a place lies before the zoom."""
+    middle = (F.col(size) - 1) * 0.5
+    return middle + (at - middle) / F.col("zoom")
+
+
+def remap(px: DataFrame, lens_map: DataFrame, frames: DataFrame, strength: Column, tile: int = tiles.TILE,
+          places: DataFrame | None = None) -> DataFrame:
     """Lens correction from a map of source places (image_id, y, x, mx, my).
 
     `strength` blends between leaving places alone and the map, a zoom hides the border it cannot
     fill, and zoomed places read the map itself bilinearly. Channels with their own map are one
     call each. Frames the map says nothing about keep their pixels; `without_map` lists them.
+    With `places` only those of each corrected frame are made (see `grid`).
     """
-    sized = lens_map.join(frames.select("image_id", "width", "height", strength.alias("_s")), "image_id")
-    mapped = sized.withColumns({"gx": F.col("x") + (F.col("mx") - F.col("x")) * F.col("_s"),
-                                "gy": F.col("y") + (F.col("my") - F.col("y")) * F.col("_s")})
+    mapped = _blended(lens_map, frames, strength)
     zoomed = frames.select("image_id", "width", "height").join(zoom_to_fill(mapped), "image_id")
-    cx, cy = (F.col("width") - 1) * 0.5, (F.col("height") - 1) * 0.5
-    asked = grid(zoomed).withColumns({"sx": cx + (F.col("x") - cx) / F.col("zoom"), "sy": cy + (F.col("y") - cy) / F.col("zoom")})
-    places = gather(asked.select("image_id", "y", "x", "width", "height", "sx", "sy"), mapped, ("gx", "gy"), tile)
-    points = places.drop("sx", "sy").withColumnsRenamed({"gx": "sx", "gy": "sy"})
+    asked = grid(zoomed, places=places).withColumns({"sx": _zoomed(F.col("x"), "width"), "sy": _zoomed(F.col("y"), "height")})
+    cells = mapped if places is None else _within(mapped, _map_cells(zoomed, places))
+    found = gather(asked.select("image_id", "y", "x", "width", "height", "sx", "sy"), cells, ("gx", "gy"), tile)
+    points = found.drop("sx", "sy").withColumnsRenamed({"gx": "sx", "gy": "sy"})
     corrected = gather(points, px, tile=tile).select("image_id", "y", "x", *RGB)
     plain = px.join(without_map(frames, lens_map), "image_id", "left_semi")
     return corrected.unionByName(plain.select(*corrected.columns))
 
 
+def _within(df: DataFrame, rects: DataFrame) -> DataFrame:
+    """Rows of `df` (image_id, y, x and more) inside each frame's rectangle."""
+    bounds = rects.select("image_id", *[F.col(c).alias(f"_w{c}") for c in BOUNDS])
+    return df.join(bounds, "image_id").where(
+        "x >= _wx0 AND x < _wx1 AND y >= _wy0 AND y < _wy1").select(*df.columns)
+
+
+def cut(px: DataFrame, rects: DataFrame) -> DataFrame:
+    """Pixels inside each frame's rectangle (image_id, x0, y0, x1, y1; the ends are not in it); coordinates stay the frame's."""
+    return _within(px, rects)
+
+
+def _map_cells(zoomed: DataFrame, places: DataFrame) -> DataFrame:
+    """The rectangle of a lens map that the places of a corrected frame read."""
+    at = zoomed.join(places.select("image_id", *BOUNDS), "image_id")
+    first = lambda a, size: F.floor(_zoomed(F.col(f"{a}0"), size)).cast("int")
+    end = lambda a, size: F.least(F.floor(_zoomed(F.col(f"{a}1") - 1, size)).cast("int") + 2, F.col(size))
+    return at.select("image_id", first("x", "width").alias("x0"), first("y", "height").alias("y0"),
+                     end("x", "width").alias("x1"), end("y", "height").alias("y1"))
+
+
+def remap_sources(lens_map: DataFrame, frames: DataFrame, strength: Column, places: DataFrame) -> DataFrame:
+    """(image_id, x0, y0, x1, y1): the pixels that the places of a corrected frame are sampled from.
+
+    A frame whose map lacks some of the cells asked for is read whole; frames without a map give no row.
+    """
+    mapped = _blended(lens_map, frames, strength)
+    zoomed = frames.select("image_id", "width", "height").join(zoom_to_fill(mapped), "image_id")
+    cells = _map_cells(zoomed, places)
+    met = mapped.join(cells, "image_id").where("x >= x0 AND x < x1 AND y >= y0 AND y < y1").groupBy("image_id").agg(
+        F.min("gx").alias("_lx"), F.max("gx").alias("_hx"), F.min("gy").alias("_ly"), F.max("gy").alias("_hy"),
+        F.count(F.col("gx") + F.col("gy")).alias("_n"))
+    found = zoomed.join(cells, "image_id").join(met, "image_id", "left")
+    whole = F.coalesce(F.col("_n"), F.lit(0)) != (F.col("x1") - F.col("x0")).cast("long") * (F.col("y1") - F.col("y0"))
+    low = lambda c: F.when(whole, F.lit(0)).otherwise(F.floor(c)).cast("int")
+    high = lambda c, size: F.when(whole, F.col(size)).otherwise(F.floor(c) + 2).cast("int")
+    return found.select("image_id", low("_lx").alias("x0"), low("_ly").alias("y0"),
+                        high("_hx", "width").alias("x1"), high("_hy", "height").alias("y1"))
+
+
 def without_map(frames: DataFrame, lens_map: DataFrame) -> DataFrame:
     """(image_id) of frames that a lens map has no place for."""
     return frames.select("image_id").join(lens_map.select("image_id").distinct(), "image_id", "left_anti")

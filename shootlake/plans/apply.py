@@ -273,10 +273,15 @@ class Run:
 class Plan:
     """Pixels of one group of shapes."""
 
-    def __init__(self, group: Group, source: Branch, rows: DataFrame, luts: DataFrame | None, lens_map: DataFrame | None, tile: int):
+    def __init__(self, group: Group, source: Branch, rows: DataFrame, luts: DataFrame | None, lens_map: DataFrame | None, tile: int,
+                 places: dict[int, DataFrame] | None = None, profiles: DataFrame | None = None):
+        """`places` gives the rectangle of each hard node's pixels that are asked for, `profiles` (image_id, node, deviations)
+        the noise its filters go by; without them whole frames are made and noise is measured on what the filter gets."""
         self.group, self.skeleton, self.luts, self.lens_map, self.tile = group, group.skeleton, luts, lens_map, tile
         self.rows = group.arranged(rows)
         self.branches = {0: source}
+        self.places, self.profiles = places or {}, profiles
+        self.measured: list[DataFrame] = []
 
     def params(self, node: int) -> DataFrame:
         return self.rows.select("image_id", F.col("hards")[node - 1]["p"].alias("p"))
@@ -341,19 +346,29 @@ class Plan:
             return b
         b = _held(b)
         if kind == "optics":
-            return replace(b, px=geometry.remap(b.px, self.lens_map, asked, F.when(p(0) != 0, p(1)).otherwise(F.lit(0.0)), self.tile))
+            return replace(b, px=geometry.remap(b.px, self.lens_map, asked, F.when(p(0) != 0, p(1)).otherwise(F.lit(0.0)), self.tile,
+                                                self.places.get(number)))
         if kind == "crop":
             windows = geometry.crop_window(asked, p(0), p(1), p(2), p(3)).withColumn("_turned", F.abs(p(4)) >= 0.01)
             straight = geometry.crop(b.px, windows.where("NOT _turned"))
-            turned = geometry.crop_turned(b.px, windows.where("_turned"), p(4), self.tile)
+            turned = geometry.crop_turned(b.px, windows.where("_turned"), p(4), self.tile, self.places.get(number))
             sizes = windows.withColumns({"width": F.col("cw"), "height": F.col("ch")}).select(*b.frames.columns)
             return replace(b, px=straight.unionByName(turned.select(*straight.columns)), frames=sizes)
         scale = filters.scale_ratio(F.col("scaled_pixels"), F.col("full_pixels"))
-        asked = measure.noise_profile(b.px, b.frames, self.tile).join(asked.select("image_id", "p", "scaled_pixels", "full_pixels"), "image_id")
+        asked = self._noise(number, b).join(asked.select("image_id", "p", "scaled_pixels", "full_pixels"), "image_id")
         if kind == "noise_reduction":
             return replace(b, px=filters.noise_reduction(b.px, asked.withColumn("strength", filters.scaled_strength(p(0), scale)), self.tile))
         return replace(b, px=filters.sharpen(b.px, asked.withColumns({"amount": p(0), "radius": p(1) * scale, "threshold": p(2)}), self.tile))
 
+    def _noise(self, number: int, b: Branch) -> DataFrame:
+        """(image_id, deviations) for a filter: those given, or measured on the pixels it gets."""
+        node = self.rows.select("image_id", F.col("hards")[number - 1]["id"].alias("node"))
+        if self.profiles is not None:
+            return node.join(self.profiles, ["image_id", "node"]).select("image_id", "deviations")
+        found = measure.noise_profile(b.px, b.frames, self.tile)
+        self.measured.append(found.join(node, "image_id").select("image_id", "node", "deviations"))
+        return found
+
     def pixels(self) -> DataFrame:
         for number in range(1, len(self.skeleton.kinds) + 1):
             if self.skeleton.base(number) == number:
@@ -361,13 +376,19 @@ class Plan:
         return self.at(self.skeleton.output).px
 
 
-def _plans(px: DataFrame, frames: DataFrame, recipes: DataFrame, luts: DataFrame | None, lens_map: DataFrame | None,
-           tile: int) -> Iterator[tuple[str, Plan]]:
-    ensure_checkpoint_dir(px.sparkSession)
+def groups_of(recipes: DataFrame, luts: DataFrame | None) -> tuple[DataFrame, list[Group]]:
+    """The prepared rows of photos that can be rendered, and their shapes by skeleton."""
+    ensure_checkpoint_dir(recipes.sparkSession)
     rows = prepared(recipes)
     rows = rows.join(refused(rows, luts).select("image_id").distinct(), "image_id", "left_anti")
     rows = rows.checkpoint()  # one short row per photo, read again by every node
-    for group in grouped(r[0] for r in rows.select("shape").distinct().toLocalIterator()):
+    return rows, grouped(r[0] for r in rows.select("shape").distinct().toLocalIterator())
+
+
+def _plans(px: DataFrame, frames: DataFrame, recipes: DataFrame, luts: DataFrame | None, lens_map: DataFrame | None,
+           tile: int) -> Iterator[tuple[str, Plan]]:
+    rows, groups = groups_of(recipes, luts)
+    for group in groups:
         mine = rows.where(F.col("shape").isin(list(group.shapes))).select("image_id")
         held = frames.join(mine, "image_id").withColumn("scaled_pixels", F.col("width").cast("long") * F.col("height"))
         source = Branch(px.join(mine, "image_id", "left_semi").select("image_id", "y", "x", *grading.RGB), held)
@@ -403,6 +424,15 @@ def render_to(folder: str, px: DataFrame, frames: DataFrame, recipes: DataFrame,
     return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
 
 
+def noise_profiles(px: DataFrame, frames: DataFrame, recipes: DataFrame, luts: DataFrame | None = None,
+                   lens_map: DataFrame | None = None, tile: int = 512) -> Iterator[DataFrame]:
+    """(image_id, node, deviations) per skeleton with filters: the noise of the whole frame before each filter, for `window.render`."""
+    for _, plan in _plans(px, frames, recipes, luts, lens_map, tile):
+        plan.pixels()
+        for found in plan.measured:
+            yield found
+
+
 def warnings(rows: DataFrame, lens_map: DataFrame | None) -> DataFrame:
     """(image_id, cause) of photos, as from `prepared`, that ask for lens correction but have no lens map: they keep their geometry."""
     asked = rows.where(F.exists("nodes", lambda n: (n["kind"] == "optics") & (n["p"][0] != 0))).select("image_id")

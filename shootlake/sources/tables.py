@@ -28,18 +28,39 @@ def read_exif(spark: SparkSession, path: str, form: str = "parquet") -> DataFram
     return spark.read.schema(EXIF_RAW).format(form).load(path)
 
 
+#: Rows of a frame that are stored together.
+BAND = 256
+
+
 def read_pixels(spark: SparkSession, path: str) -> DataFrame:
-    """Pixels partitioned by `image_bucket`; filter on it, or on image, row and column, to prune."""
-    return spark.read.schema(PIXELS + ", image_bucket int").parquet(path)
+    """Pixels partitioned by `image_bucket` and `row_band`; filter on them, or on image, row and column, to prune."""
+    return spark.read.schema(PIXELS + ", image_bucket int, row_band int").parquet(path)
+
+
+def _bucket(buckets: int):
+    return F.pmod("image_id", F.lit(buckets)).cast("int")
 
 
 def write_pixels(pixels: DataFrame, path: str, buckets: int = 256) -> None:
     """Rows of one frame land together, sorted, so row groups carry tight image, row and column ranges."""
-    bucketed = pixels.withColumn("image_bucket", F.pmod("image_id", F.lit(buckets)).cast("int"))
-    # the row band keeps one huge frame from becoming one huge task and file
-    (bucketed.repartition("image_bucket", "image_id", (F.col("y") / 256).cast("int"))
-     .sortWithinPartitions("image_bucket", "image_id", "y", "x")
-     .write.mode("overwrite").partitionBy("image_bucket").parquet(path))
+    # the row band keeps one huge frame from becoming one huge task and file, and lets windows skip the rest of it
+    placed = pixels.withColumns({"image_bucket": _bucket(buckets), "row_band": F.floor(F.col("y") / BAND).cast("int")})
+    (placed.repartition("image_bucket", "image_id", "row_band")
+     .sortWithinPartitions("image_bucket", "row_band", "image_id", "y", "x")
+     .write.mode("overwrite").partitionBy("image_bucket", "row_band").parquet(path))
+
+
+def read_regions(spark: SparkSession, path: str, regions: DataFrame, buckets: int = 256) -> DataFrame:
+    """Stored pixels inside each frame's rectangle (image_id, x0, y0, x1, y1; the ends are not in it).
+
+    `buckets` is that of the writing. The rectangles become one row per band of rows, and the join with them prunes buckets
+    and bands of the scan while they are few enough for Spark to broadcast; beyond that it is a plain join.
+    """
+    bands = regions.where("x1 > x0 AND y1 > y0").select(
+        "image_id", *[F.col(c).alias(f"_{c}") for c in ("x0", "y0", "x1", "y1")], _bucket(buckets).alias("image_bucket"),
+        F.explode(F.sequence(F.floor(F.col("y0") / BAND).cast("int"), F.floor((F.col("y1") - 1) / BAND).cast("int"))).alias("row_band"))
+    met = read_pixels(spark, path).join(bands, ["image_bucket", "row_band", "image_id"])
+    return met.where("x >= _x0 AND x < _x1 AND y >= _y0 AND y < _y1").select("image_id", "y", "x", "r", "g", "b")
 
 
 PROJECT_KEYS = ("project_id", "version", "output_dir", "defaults", "export", "photos")
