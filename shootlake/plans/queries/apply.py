@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import uuid
+from functools import partial, reduce
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -13,11 +14,14 @@ from shootlake.operators import recipes as RE
 from shootlake.operators import settings as S
 from shootlake.plans import apply as A
 from shootlake.plans import fixtures as fx
+from shootlake.plans import window as W
 from shootlake.plans.queries import geometry as QG
 from shootlake.plans.queries import measure as QM
 from shootlake.plans.queries.pixels import LUM, RGB, dec, display_sql, each, out, rounded
 from shootlake.plans.registry import query
+from shootlake.session import ensure_checkpoint_dir
 from shootlake.sources import luts as L
+from shootlake.sources import tables as T
 from shootlake.sources.tables import RECIPE
 
 
@@ -55,6 +59,36 @@ def recipe_render(spark, sf):
     return out(_union(A.render_by_skeleton(fx.pixels(spark, sf), f, recipes)), 5)
 
 
+_ASKED = (0.3, 0.4, 0.25, 0.2)
+_LIT = [f"{v}::DOUBLE" for v in _ASKED]
+
+
+@query("window_render", fx.sql(rounded(display_sql(f"""
+  SELECT image_id, CAST(y - y0 AS BIGINT) AS y, CAST(x - x0 AS BIGINT) AS x, r, g, b FROM (
+    SELECT *, greatest(1, least(floor(w * wide + 0.5), wide - x0)) AS cw, greatest(1, least(floor(h * high + 0.5), high - y0)) AS ch FROM (
+      SELECT *, least(floor(l * wide + 0.5), wide - 1) AS x0, least(floor(t * high + 0.5), high - 1) AS y0 FROM (
+        SELECT image_id, CASE WHEN o IN (3, 4) THEN height - 1 - y WHEN o IN (5, 6) THEN x WHEN o IN (7, 8) THEN width - 1 - x ELSE y END AS y,
+               CASE WHEN o IN (2, 3) THEN width - 1 - x WHEN o IN (5, 8) THEN y WHEN o IN (6, 7) THEN height - 1 - y ELSE x END AS x,
+               CASE WHEN o > 4 THEN height ELSE width END AS wide, CASE WHEN o > 4 THEN width ELSE height END AS high,
+               0.1::DOUBLE + image_id % 3 / 10 AS l, image_id % 4 / 8 AS t, 0.4::DOUBLE + image_id % 2 / 10 AS w, 0.45::DOUBLE AS h,
+               {", ".join(f"CASE WHEN image_id % 2 = 0 THEN k{c} + ({c} - k{c}) * 0.25 ELSE k{c} END AS {c}" for c in RGB)}
+        FROM (SELECT *, orientation AS o, {", ".join(f"CASE WHEN {c} > 0 THEN pv * power({c} * power(2, {_EV}) / pv, {_SLOPE}) ELSE {c} END AS k{c}" for c in RGB)}
+              FROM (SELECT *, {dec('0.435')} AS pv FROM pixels JOIN frames USING (image_id))))))
+  WHERE x - x0 >= floor({_LIT[0]} * cw) AND x - x0 < ceil(({_LIT[0]} + {_LIT[2]}) * cw) AND y - y0 >= floor({_LIT[1]} * ch) AND y - y0 < ceil(({_LIT[1]} + {_LIT[3]}) * ch)"""), 5),
+    "pixels", "frames"))
+def window_render(spark, sf):
+    """A window of each cropped frame, out of stored pixels: only what its recipe reads for it is scanned."""
+    path = f"{ensure_checkpoint_dir(spark)}/pixels-{uuid.uuid4().hex}"
+    T.write_pixels(fx.pixels(spark, sf), path, 8)
+    f = frames(spark, sf)
+    cut = lambda at: ("crop", [at], _map(left="0.1D + image_id % 3 / 10", top="image_id % 4 / 8", width="0.4D + image_id % 2 / 10", height="0.45"), 1.0)
+    graded = [("exposure", [0], _map(exposure=_EV), 1.0), ("contrast", [1], _map(contrast=_SLOPE), 1.0)]
+    recipe = F.when(F.col("image_id") % 2 == 0, _chain(*graded, ("blend", [2, 0], None, 0.25), cut(3))).otherwise(_chain(*graded, cut(2)))
+    recipes = f.select("image_id", recipe.alias("recipe")).withColumn("recipe_output", F.size("recipe"))
+    asked = f.select("image_id", *[F.lit(v).alias(c) for v, c in zip(_ASKED, ("left", "top", "wide", "high"))])
+    return out(_union(W.render(partial(T.read_regions, spark, path, buckets=8), f, recipes, asked)), 5)
+
+
 # Every kind of node. Three frames in four fork into another contrast and blend; the others grade twice. One frame in two is cropped turned.
 def _full_recipes(f):
     grades = F.when(F.col("image_id") % 2 == 0, F.lit("tone")).otherwise(F.lit("contrast"))
