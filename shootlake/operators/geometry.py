@@ -286,15 +286,20 @@ def halo_of(kinds: list[str]) -> int:
     return sum(REACH.get(k, 0) for k in kinds[last + 1:])
 
 
-def region(px: DataFrame, frames: DataFrame, rect: tuple[float, float, float, float], halo: int = 0) -> DataFrame:
-    """Pixels of a fractional window and its halo, rounded outwards; coordinates stay the frame's."""
+def bounds(frames: DataFrame, rect: tuple[float, float, float, float], halo: int = 0) -> DataFrame:
+    """(image_id, x0, y0, x1, y1) of a fractional window and its halo, rounded outwards and held within the frame."""
     left, top, width, height = rect
-    sized = px.join(frames.select("image_id", "width", "height"), "image_id")
-    keep = ((F.col("x") >= F.floor(F.lit(left) * F.col("width")) - halo)
-            & (F.col("x") < F.ceil(F.lit(left + width) * F.col("width")) + halo)
-            & (F.col("y") >= F.floor(F.lit(top) * F.col("height")) - halo)
-            & (F.col("y") < F.ceil(F.lit(top + height) * F.col("height")) + halo))
-    return sized.where(keep).select(*px.columns)
+
+    def span(at: float, size: float, edge: str) -> tuple[Column, Column]:
+        return (F.greatest(F.floor(F.lit(at) * F.col(edge)) - halo, F.lit(0)).cast("int"),
+                F.least(F.ceil(F.lit(at + size) * F.col(edge)) + halo, F.col(edge)).cast("int"))
+    (x0, x1), (y0, y1) = span(left, width, "width"), span(top, height, "height")
+    return frames.select("image_id", x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), y1.alias("y1"))
+
+
+def region(px: DataFrame, frames: DataFrame, rect: tuple[float, float, float, float], halo: int = 0) -> DataFrame:
+    """Pixels of a fractional window and its halo; coordinates stay the frame's. Of stored pixels `tables.read_regions` reads less."""
+    return cut(px, bounds(frames, rect, halo))
 
 
 def sample(px: DataFrame, points: DataFrame) -> DataFrame:

@@ -40,11 +40,11 @@ def pixels_read(spark, sf):
   SELECT image_id, y, x, r, g, b FROM pixels JOIN frames USING (image_id)
   WHERE x >= floor(0.3 * width) - 16 AND x < ceil(0.55 * width) + 16 AND y >= floor(0.4 * height) - 16 AND y < ceil(0.6 * height) + 16"""), "pixels", "frames"))
 def region_read(spark, sf):
-    """A window with its halo out of stored pixels."""
+    """A window with its halo out of stored pixels; its bounds prune the scan."""
     path = _place(spark, "pixels")
     T.write_pixels(fx.pixels(spark, sf), path, 8)
     halo = GE.halo_of(["crop", "noise_reduction", "optics", "tone", "sharpen"])
-    return out(GE.region(T.read_pixels(spark, path), fx.frames(spark, sf), (0.3, 0.4, 0.25, 0.2), halo))
+    return out(T.read_regions(spark, path, GE.bounds(fx.frames(spark, sf), (0.3, 0.4, 0.25, 0.2), halo), 8))
 
 
 @query("results_written", "SELECT c_custkey AS project_id, c_name AS name, c_acctbal AS balance FROM customer")
