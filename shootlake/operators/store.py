@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shootlake.functions import text as T
 from shootlake.operators import ordered
+from shootlake.session import ensure_checkpoint_dir
 
 # File endings by export format.
 ENDINGS = {"jpeg": "jpg", "tiff": "tif"}
+# Folders of render results, and the column that names them.
+RESULT_BUCKETS, BUCKET = 64, "project_bucket"
 
 
 def add_unique(project: DataFrame, batch: DataFrame) -> DataFrame:
@@ -205,9 +211,30 @@ def report(photos: DataFrame, go_on: bool = True) -> DataFrame:
 
 
 def write_results(results: DataFrame, path: str, replace: bool = False) -> None:
-    """Render results by project. Without `replace` an existing output is refused; with it only the
-    projects present in `results` are replaced."""
+    """Render results in folders by hash of the project, so that their number does not grow with the projects.
+
+    Without `replace` an existing output is refused; with it only the projects present in `results` are replaced: the
+    results are written below the checkpoint folder first, then the folders of their projects anew, with the rows
+    of other projects in them. A folder is split into files by its size, so one large project is no single task.
+    """
+    placed = results.withColumn(BUCKET, F.pmod(F.hash("project_id"), F.lit(RESULT_BUCKETS)))
     if not replace:
-        results.write.mode("errorifexists").partitionBy("project_id").parquet(path)
+        placed.hint("rebalance", BUCKET).write.mode("errorifexists").partitionBy(BUCKET).parquet(path)
         return
-    results.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("project_id").parquet(path)
+    spark = results.sparkSession
+    fresh = f"{ensure_checkpoint_dir(spark)}/results-{uuid.uuid4().hex}"
+    placed.write.parquet(fresh)
+    new = spark.read.schema(placed.schema).parquet(fresh)
+    try:
+        old = spark.read.option("mergeSchema", "true").parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        whole = new
+    else:
+        if BUCKET not in old.columns:
+            raise ValueError(f"{path} is in folders by project; write it anew")
+        gone = new.select(F.col("project_id").alias("_gone")).distinct()
+        kept = old.join(new.select(BUCKET).distinct(), BUCKET, "left_semi").join(gone, F.col("project_id").eqNullSafe(F.col("_gone")), "left_anti")
+        whole = new.unionByName(kept, allowMissingColumns=True)
+    whole.hint("rebalance", BUCKET).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(path)

@@ -162,6 +162,24 @@ def test_results_sink(spark, tmp_path):
     assert sorted((r["project_id"], r["v"]) for r in spark.read.parquet(path).collect()) == [(1, "c"), (2, "b")]
 
 
+def test_results_of_many_projects(spark, tmp_path):
+    path = tmp_path / "out"
+    frame = lambda ids, v: spark.createDataFrame([(i, f"{v}{i}") for i in ids], "project_id long, v string")
+    store.write_results(frame(range(2000), "a"), str(path))
+    assert len([p for p in path.iterdir() if p.is_dir()]) <= store.RESULT_BUCKETS
+    store.write_results(frame(range(5, 2500, 5), "b").unionByName(frame([7], "c")).unionByName(frame([7], "d")), str(path), replace=True)
+    want = [(i, f"a{i}") for i in range(2000) if i % 5 and i != 7 or i == 0] + [(i, f"b{i}") for i in range(5, 2500, 5)] + [(7, "c7"), (7, "d7")]
+    assert sorted((r["project_id"], r["v"]) for r in spark.read.parquet(str(path)).collect()) == sorted(want)
+    empty, absent = str(tmp_path / "empty"), str(tmp_path / "absent")
+    store.write_results(frame([1], "a").where("false"), empty)
+    for place in (empty, absent):
+        store.write_results(frame([1], "b"), place, replace=True)
+        assert [r["v"] for r in spark.read.parquet(place).collect()] == ["b1"]
+    store.write_results(spark.createDataFrame([(2, 0.5)], "project_id long, w double"), absent, replace=True)
+    rows = spark.read.option("mergeSchema", "true").parquet(absent).collect()
+    assert sorted((r["project_id"], r["v"], r["w"]) for r in rows) == [(1, "b1", None), (2, None, 0.5)]
+
+
 def test_settings_become_a_recipe(spark):
     base = settings.overlay(settings.defaults(), F.create_map(
         F.lit("exposure"), settings.setting("exposure", 0.5), F.lit("noise_reduction"), settings.setting("noise_reduction", 0.4),
