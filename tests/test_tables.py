@@ -262,3 +262,51 @@ def test_orders_above_the_size_of_a_recipe(spark, tmp_path):
     assert got == {i: "size" if i in (3, 14, 21, 28) else e for i, e in want.items()}
     kept = {r["recipe_id"] for r in entry.queries()["recipe_effective"](spark, str(tmp_path)).collect()}
     assert kept == {i for i, e in got.items() if not e}
+
+
+def test_recipes_are_gathered_once_and_chains_checked_alike(spark):
+    from shootlake.plans import fixtures as fx
+    made = fx.recipes(spark, "/root/testdata/sf0.001")
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("collect_list(") == 1
+    rng = random.Random(5)
+    kinds = ["exposure", "film", "blend", "crop", "rotate", "optics", "node", "mystery"]
+    rows = []
+    for i in range(300):
+        nodes = []
+        for k in range(1, rng.randrange(1, 7)):
+            kind = rng.choice(kinds)
+            up = k - 1 if rng.random() < .9 else rng.randrange(0, 7)
+            params = {rng.choice(["exposure", "left", "quarter_turns", "bogus"]): rng.choice([0.0, 0.5, 9.0])} if rng.random() < .3 else {}
+            nodes.append((k if rng.random() < .97 else 1, kind, params, {}, None, rng.choice([0.5, 2.0]), [up, rng.choice([0, 0, 0, 1])] if kind == "blend" else [up],
+                          rng.random() < .2, None))
+        rows.append((i, nodes, rng.choice([len(nodes), len(nodes), 0, 9])))
+    df = spark.createDataFrame(rows, f"i int, recipe {tables.RECIPE}, recipe_output int")
+    nodes, output = F.col("recipe"), F.col("recipe_output")
+    got = df.select(recipes.errors(nodes, output).alias("a"), recipes._graph_errors(nodes, output).alias("b"), recipes._is_chain(nodes).alias("chain")).collect()
+    assert all(r["a"] == r["b"] for r in got) and 50 < sum(r["chain"] for r in got) < 250
+    sound = df.where(F.size(recipes.errors(nodes, output)) == 0)
+    for after in (F.lit(1), output):
+        tried = F.filter(F.array(*[F.lit(k) for k in recipes.R.KINDS]), lambda k: recipes.settled(recipes.insert_after(after, k)(nodes, output)).isNotNull())
+        got = sound.select(recipes.insertable(nodes, output, after).alias("a"), tried.alias("b")).collect()
+        assert len(got) > 10 and all(r["a"] == r["b"] for r in got)
+
+
+def test_nodes_are_ordered_steadily(spark):
+    rng = random.Random(6)
+    rows, want = [], []
+    for i in range(200):
+        ids = rng.sample(range(1, 9), rng.randrange(1, 7))
+        wired = [(n, [rng.choice([0, *ids]) if rng.random() < .3 else rng.choice([0, *ids[:k]])]) for k, n in enumerate(ids)]
+        rng.shuffle(wired)
+        rest, placed = list(wired), [0]
+        while ready := next((w for w in rest if all(v in placed for v in w[1])), None):
+            rest.remove(ready)
+            placed.append(ready[0])
+        want.append((i, None if rest else placed[1:]))
+        rows.append((i, [(n, "exposure", {"exposure": float(n)}, {}, None, 1.0, ins, False, None) for n, ins in wired], ids[0]))
+    df = spark.createDataFrame(rows, f"i int, recipe {tables.RECIPE}, recipe_output int")
+    e = recipes.normalised(F.col("recipe"), F.col("recipe_output"))
+    got = df.select("i", F.transform(e["nodes"], lambda n: F.element_at(n["params"], "exposure").cast("int")).alias("o"),
+                    F.transform(e["nodes"], lambda n: n["id"]).alias("ids"), e["output"].alias("out")).collect()
+    assert sorted((r["i"], r["o"]) for r in got) == want
+    assert all(r["o"] is None or r["ids"] == list(range(1, len(r["o"]) + 1)) and r["o"][r["out"] - 1] == rows[r["i"]][2] for r in got)
