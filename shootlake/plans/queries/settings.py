@@ -34,6 +34,10 @@ def _photos(spark, sf):
     return S.with_effective(fx.photos(spark, sf), fx.projects(spark, sf))
 
 
+def _rendered(spark, sf):
+    return S.bypassed_columns(fx.photos(spark, sf), fx.projects(spark, sf), F.col("overrides"))
+
+
 @query("settings_effective", fx.sql("SELECT photo_id, " + ", ".join(KEYS) + " FROM effective", "effective"))
 def settings_effective(spark, sf):
     return _photos(spark, sf).select("photo_id", *S.wide(F.col("effective")))
@@ -41,15 +45,14 @@ def settings_effective(spark, sf):
 
 @query("settings_as_rendered", fx.sql("SELECT photo_id, " + ", ".join(KEYS) + " FROM rendered", "effective", also={"rendered": _RENDERED}))
 def settings_as_rendered(spark, sf):
-    return _photos(spark, sf).select("photo_id", *S.wide(F.col("rendered")))
+    return _rendered(spark, sf)
 
 
 @query("stage_bypass_defaults", fx.sql("SELECT photo_id, " + ", ".join(
     f"CASE WHEN list_contains(disabled, '{_STAGE[k]}') THEN {_same(k)} ELSE df_{k} END AS {k}" for k in KEYS)
     + " FROM photos JOIN projects USING (project_id)", "photos", "projects"))
 def stage_bypass_defaults(spark, sf):
-    joined = fx.photos(spark, sf).join(fx.projects(spark, sf), "project_id")
-    return joined.withColumn("off", S.bypass(F.col("defaults"), F.col("disabled"))).select("photo_id", *S.wide(F.col("off")))
+    return S.bypassed_columns(fx.photos(spark, sf), fx.projects(spark, sf))
 
 
 @query("inert_keys", fx.sql("SELECT photo_id, " + ", ".join(f"{c} AS {k}" for k, c in _INERT.items()) + " FROM effective", "effective"))
@@ -170,10 +173,8 @@ def _text(k):
          CASE WHEN lut_path IS NOT NULL AND lut_strength > 0 THEN lut_path ELSE '' END)) AS render_key
   FROM rendered""", "effective", also={"rendered": _RENDERED}))
 def render_keys(spark, sf):
-    from shootlake.sources.tables import RECIPE
-    r = _photos(spark, sf)
-    luts = S.active_luts(F.lit(None).cast(RECIPE), F.col("rendered"))
-    return r.select("photo_id", S.render_key(F.col("rendered"), luts, F.lit("2048x2048q88")).alias("render_key"))
+    luts = S.flat_luts(F.col("lut_path"), F.col("lut_strength"))
+    return _rendered(spark, sf).select("photo_id", S.render_key(None, luts, F.lit("2048x2048q88")).alias("render_key"))
 
 
 def _range_case(k, v):
@@ -194,7 +195,7 @@ def settings_violations(spark, sf):
     + (f" AND {k} <> 0" if k == "white_balance_temperature" else "") for k, (lo, hi) in RENDER_RANGES.items()),
     "effective", also={"rendered": _RENDERED}))
 def render_violations(spark, sf):
-    return S.render_violations(_photos(spark, sf), "rendered")
+    return S.render_violations(_rendered(spark, sf))
 
 
 @query("repeated_preset_names", fx.sql("""

@@ -194,6 +194,24 @@ def test_settings_become_a_recipe(spark):
     assert spark.range(1).select(settings.value(gone, "white_balance_temperature").alias("v")).first()["v"] is None
 
 
+def test_settings_as_rendered_build_no_maps(spark):
+    from shootlake.plans.registry import QUERIES
+    import __spark_entry__  # noqa: F401
+    sf = "/root/testdata/sf0.001"
+    for name in ("settings_as_rendered", "stage_bypass_defaults", "render_keys", "render_violations"):
+        assert "map_from_arrays" not in QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    num = lambda k, v: (k, (v, None, None))
+    photos = spark.createDataFrame([(1, 1, dict([num("exposure", 11.0), num("tone_whites", float("nan")), num("grain_size", None)]), ["tone"]),
+                                    (2, 1, dict([num("tone_whites", float("nan")), num("white_balance_temperature", 0.0)]), [])],
+                                   f"project_id long, photo_id long, overrides {tables.SETTINGS}, disabled array<string>").selectExpr(
+        "1L AS project_id", "project_id AS photo_id", "overrides", "disabled")
+    projects = spark.range(1, 2).select(F.col("id").alias("project_id"), settings.defaults(exposure=0.5).alias("defaults"))
+    wide = settings.bypassed_columns(photos, projects, F.col("overrides"))
+    old = settings.with_effective(photos, projects).select("photo_id", *settings.wide(F.col("rendered")))
+    assert [str(r) for r in wide.orderBy("photo_id").collect()] == [str(r) for r in old.orderBy("photo_id").collect()]
+    assert sorted((r["photo_id"], r["setting"]) for r in settings.render_violations(wide).collect()) == [(1, "exposure"), (2, "tone_whites")]
+
+
 def graph(spark, *nodes, output=None):
     parts = [recipes.node(k, F.array(*[F.lit(i) for i in ins]), None, 0.5 if k == "blend" else 1.0, n) for n, (k, *ins) in enumerate(nodes, 1)]
     return spark.range(1).select(F.array(*parts).cast(tables.RECIPE).alias("recipe"), F.lit(len(nodes) if output is None else output).alias("recipe_output"))
