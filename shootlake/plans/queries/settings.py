@@ -86,12 +86,12 @@ _PASTED = ["exposure", "tone_shadows", "tone_blacks", "grain_amount", "lut_path"
   FROM photos p JOIN leads l USING (project_id)""", "photos", "effective", also={
       "leads": "SELECT * FROM effective WHERE photo_id IN (SELECT min(photo_id) FROM photos GROUP BY project_id)"}))
 def grade_paste(spark, sf):
-    photos = _photos(spark, sf)
-    lead = photos.groupBy("project_id").agg(F.min_by(F.struct(
-        S.grade(F.col("effective"), ["tone", "film"]).alias("grade"), F.col("disabled")), "seq").alias("l"))
-    grades = fx.photos(spark, sf).where("selected").select("project_id", "photo_id").join(lead, "project_id").select(
-        "photo_id", "l.grade", F.col("l.disabled").alias("grade_disabled"))
-    out = S.paste_grade(fx.photos(spark, sf), grades)
+    photos = fx.photos(spark, sf)
+    # the first photo's place is found from two numbers a photo; its settings alone are made
+    first = fx.photos(spark, sf).groupBy("project_id").agg(F.min("seq").alias("seq"))
+    leads = S.with_effective(fx.photos(spark, sf).join(first, ["project_id", "seq"]), fx.projects(spark, sf))
+    grades = leads.select("project_id", S.grade(F.col("effective"), ["tone", "film"]).alias("grade"), F.col("disabled").alias("grade_disabled"))
+    out = S.paste_grade(photos, grades, "project_id", F.col("selected"))
     return out.select("photo_id", *S.wide(F.col("overrides"), _PASTED), F.array_join("disabled", ",").alias("disabled"))
 
 

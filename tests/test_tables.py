@@ -212,6 +212,15 @@ def test_settings_as_rendered_build_no_maps(spark):
     assert sorted((r["photo_id"], r["setting"]) for r in settings.render_violations(wide).collect()) == [(1, "exposure"), (2, "tone_whites")]
 
 
+def test_grades_are_pasted_without_sorting_photos(spark):
+    import __spark_entry__ as entry
+    from tests.oracle import compare, connect
+    sf, query = "/root/testdata/sf0.001", entry.queries()["grade_paste"]
+    assert "min_by" not in query(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    ok, note = compare(spark, connect(sf), sf, "grade_paste", query, entry.oracle_sql()["grade_paste"])
+    assert ok, note
+
+
 def graph(spark, *nodes, output=None):
     parts = [recipes.node(k, F.array(*[F.lit(i) for i in ins]), None, 0.5 if k == "blend" else 1.0, n) for n, (k, *ins) in enumerate(nodes, 1)]
     return spark.range(1).select(F.array(*parts).cast(tables.RECIPE).alias("recipe"), F.lit(len(nodes) if output is None else output).alias("recipe_output"))
