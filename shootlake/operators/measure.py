@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -228,7 +229,7 @@ def signature(px: DataFrame, frames: DataFrame) -> DataFrame:
 # Longest edge analysed, border ring, likeness to the base, its least level, share of a
 # border line, least frame share, inset, and the tilts believed.
 ANALYSIS_EDGE, RING, LIKENESS, BASE_FLOOR, BORDER_SHARE, FRAME_SHARE, INSET = 512, 0.03, 0.3, 0.02, 0.55, 0.2, 0.015
-TILT_MAX, TILT_MIN, TILT_AGREE, TILT_POINTS = 7.0, 0.3, 0.03, 8
+TILT_MAX, TILT_MIN, TILT_AGREE, TILT_POINTS = 7.0, 0.3, Decimal("0.03"), 8
 
 
 def border_base(px: DataFrame, frames: DataFrame) -> DataFrame:
@@ -281,7 +282,8 @@ def content_spans(lines: DataFrame) -> DataFrame:
 def tilt(liked: DataFrame, spans: DataFrame) -> DataFrame:
     """Degrees that straighten the frame, from the slopes of its left and right edges; 0 when unsure.
 
-    `spans` has (image_id, width, row_start, row_length, column_start, column_length).
+    Places are whole numbers, so slopes are compared as fractions: edges apart by just TILT_AGREE agree, in whatever order
+    their rows are summed. `spans` has (image_id, width, row_start, row_length, column_start, column_length).
     """
     inset = F.greatest(F.floor(F.col("row_length") / 10), F.lit(2))
     margin = F.greatest(F.floor(F.col("column_length") / 4), F.lit(4))
@@ -292,11 +294,19 @@ def tilt(liked: DataFrame, spans: DataFrame) -> DataFrame:
     x = F.col("x")
     left = F.when((x >= F.col("column_start") - F.col("_margin")) & (x < F.col("column_start") + F.col("_margin")), x)
     right = F.when((x >= F.col("_right") - F.col("_margin")) & (x < F.col("_right") + F.col("_margin")), x)
-    rows = near.groupBy("image_id", "y").agg(F.min(left).alias("_l"), F.max(right).alias("_r"))
-    fits = rows.groupBy("image_id").agg(*[
-        F.when(F.count(e) >= TILT_POINTS, F.regr_slope(F.col(e), F.when(F.col(e).isNotNull(), F.col("y")))).alias(f"_s{e}") for e in ("_l", "_r")])
-    a, b = F.col("_s_l"), F.col("_s_r")
-    slope = F.when(F.abs(a - b) > TILT_AGREE, F.lit(0.0)).otherwise(F.coalesce((a + b) / 2, a, b, F.lit(0.0)))
+    rows = near.groupBy("image_id", "y").agg(F.min(left).cast("long").alias("_l"), F.max(right).cast("long").alias("_r"))
+    y = F.col("y").cast("long")
+
+    def fit(e: str) -> list[Column]:
+        """Rise and run of the line through an edge, whole numbers; no run where its points are too few."""
+        at = F.when(F.col(e).isNotNull(), y)
+        n, sy, se = F.count(e), F.sum(at), F.sum(e)
+        rise, run = n * F.sum(at * F.col(e)) - sy * se, n * F.sum(at * at) - sy * sy
+        return [F.when(n >= TILT_POINTS, v).cast("decimal(18,0)").alias(k + e) for k, v in (("_rise", rise), ("_run", run))]
+    fits = rows.groupBy("image_id").agg(*fit("_l"), *fit("_r"))
+    a, b = (F.col("_rise" + e).cast("double") / F.col("_run" + e).cast("double") for e in ("_l", "_r"))
+    apart = F.abs(F.col("_rise_l") * F.col("_run_r") - F.col("_rise_r") * F.col("_run_l")) > F.col("_run_l") * F.col("_run_r") * F.lit(TILT_AGREE)
+    slope = F.when(apart, F.lit(0.0)).otherwise(F.coalesce((a + b) / 2, a, b, F.lit(0.0)))
     degrees = K.clamp(F.degrees(F.atan(slope)), -TILT_MAX, TILT_MAX)
     return fits.select("image_id", F.when(F.abs(degrees) < TILT_MIN, F.lit(0.0)).otherwise(degrees).alias("tilt"))
 

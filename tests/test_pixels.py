@@ -179,3 +179,19 @@ def test_negative_tile_is_found(spark):
     found = measure.negative_frames(frame_of(spark, img), frames_of(spark, 100, 80)).first()
     assert abs(found["rect_left"] - 0.315) < 0.011 and abs(found["rect_width"] - 0.47) < 0.021
     assert abs(found["rect_top"] - 0.265) < 0.013 and abs(found["base_r"] - 0.6) < 1e-9 and found["angle"] == 0.0
+
+
+def test_edges_apart_by_just_the_limit_agree(spark):
+    """Over 25 rows two slopes differ by 0.03 where their rises differ by 39: the tilt is their mean, however sums are rounded."""
+    rng, rows, want = np.random.default_rng(3), [], {}
+    y = np.arange(2, 27)
+    while len(want) < 24:
+        left, right = rng.integers(4, 16, 25), rng.integers(44, 56, 25)
+        a, b = ((e * (y - 14)).sum() for e in (left, right))
+        if abs(a - b) == 39 and abs(a + b) > 20:
+            rows += [(len(want), int(v), int(x), False) for e in (left, right) for v, x in zip(y, e)]
+            want[len(want)] = np.clip(np.degrees(np.arctan((a + b) / 2 / 1300)), -7, 7)
+    spans = spark.createDataFrame([(i, 64, 0, 29, 10, 40) for i in want],
+                                  "image_id long, width int, row_start int, row_length int, column_start int, column_length int")
+    got = {r["image_id"]: r["tilt"] for r in measure.tilt(spark.createDataFrame(rows, "image_id long, y int, x int, like boolean"), spans).collect()}
+    assert got == pytest.approx(want, abs=1e-9)
