@@ -123,7 +123,10 @@ def match_lens(photos: DataFrame, lenses: DataFrame, mounts: DataFrame) -> DataF
     # rows alike but for their place never win against the last of them
     known = known.groupBy("_name", "_lm", "focal_min", "focal_max").agg(F.max("seq").alias("seq"))
     named = _matches(asked.select(F.col("_asked").alias("asked")).distinct(), known.select(F.col("_name").alias("name")).distinct())
-    pairs = asked.join(named, F.col("_asked") == F.col("asked")).join(known, F.col("_name") == F.col("name")).where(_in_window(F.col("focal")))
+    # of a name's rows that hold a focal, only the last of each mount can win: one row for them, found without the names asked
+    wanted = asked.join(named, F.col("_asked") == F.col("asked")).select("name", "focal").distinct()
+    last = wanted.join(known, F.col("_name") == F.col("name")).where(_in_window(F.col("focal"))).groupBy("_name", "focal", "_lm").agg(F.max("seq").alias("seq"))
+    pairs = asked.join(named, F.col("_asked") == F.col("asked")).withColumnRenamed("name", "_name").join(last, ["_name", "focal"])
     free = F.coalesce(F.col("_lm"), F.lit("")) == ""
     fits = compatible_mounts(mounts)
     own = pairs.where(free | (F.col("_lm") == F.col("_cm")))

@@ -269,6 +269,32 @@ def test_name_matches_find_every_pair(spark):
     assert got == {(a, n) for a in asked for n in names if a == n or (len(n) >= 5 and (a in n or n in a))}
 
 
+def test_lens_rows_do_not_meet_every_photo_of_their_name(spark):
+    """50 rows of one name and 600 different photos that ask for it: rows meet the 20 focal lengths asked, not the photos."""
+    rng = random.Random(6)
+    rows = [(i, "Abc def", rng.choice(["", "m1", "M2", "m9"]), 0.0 if i % 3 else float(rng.randrange(10, 30)), float(rng.randrange(30, 60))) for i in range(50)]
+    asked = [(f * 30 + m, "abc-DEF 2", float(10 + f), f"m{m}") for f in range(20) for m in range(30)]
+    photos = spark.createDataFrame(asked, "photo_id long, lens_name string, focal double, camera_mount string")
+    known = spark.createDataFrame(rows, "seq long, model string, mount string, focal_min double, focal_max double")
+    mounts = spark.createDataFrame([("M3", "m1"), ("m4", "m9")], "mount string, compatible string")
+    lent = {("m3", "m1"), ("m4", "m9")}
+    want = {i: max((s for s, _, lm, lo, hi in rows if lo - 0.1 <= f <= hi + 0.1 and (lm.lower() in ("", cm) or (cm, lm.lower()) in lent)), default=None)
+            for i, _, f, cm in asked}
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        df = lenses.match_lens(photos, known, mounts)
+        got = {r["photo_id"]: r["lens"] for r in df.collect()}
+        plan = df._jdf.queryExecution().executedPlan()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+
+    def joined(node) -> list[int]:
+        own = [node.metrics().apply("numOutputRows").value()] if "Join" in node.nodeName() else []
+        return own + [n for i in range(node.children().size()) for n in joined(node.children().apply(i))]
+    assert got == want and max(joined(plan)) <= 2000
+
+
 def test_orders_above_the_size_of_a_recipe(spark, tmp_path):
     import duckdb
 
